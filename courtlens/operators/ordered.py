@@ -9,7 +9,7 @@ Two families:
   small summary per range is scanned, and the carry is joined back. Both forms give
   the same rows. ``pick_chunk`` makes the choice from the data.
 * *Ranged scans* (row number, dense rank, prefix totals) over any sort key: one range
-  partitioning, frozen by a checkpoint, then a local pass plus partition offsets.
+  partitioning, frozen in a written table, then a local pass plus partition offsets.
 
 Key columns must be non-null.
 """
@@ -234,25 +234,26 @@ def contest_blocks(
 
 
 def chronological_split(
-    df: DataFrame, contest: str, date_text: str, partition: list[str],
+    df: DataFrame, contest: str, date_text: str, row_order: list[str], partition: list[str],
     train: float, valid: float, date_format: str = "MM/dd/yyyy",
 ) -> DataFrame:
     """Label every contest train / valid / test by its place in time.
 
     Orders by date when at least half of the rows of a partition carry one, by
-    contest id otherwise. Result: one row per contest with ``split``.
+    contest id otherwise. Result: one row per contest with ``split``. ``partition``
+    is the season, whose text form bounds the per-partition table that is broadcast.
     """
     date = F.to_date(F.try_to_timestamp(F.col(date_text), F.lit(date_format)))
     per_contest = df.groupBy(*partition, contest).agg(
         F.count(F.lit(1)).alias("__n"),
         F.count(date).alias("__dated"),
-        F.min_by(date, F.struct(F.col("__seq") if "__seq" in df.columns else F.lit(0))).alias("__d"),
+        F.min_by(date, F.struct(*row_order)).alias("__d"),
     )
     overall = per_contest.groupBy(*partition).agg(
         F.count(F.lit(1)).alias("__contests"),
         (F.sum("__dated") >= F.sum("__n") * F.lit(0.5)).alias("__by_date"),
     )
-    keyed = per_contest.join(overall, partition).withColumn(
+    keyed = per_contest.join(F.broadcast(overall), partition).withColumn(
         "__day", F.when(F.col("__by_date"), F.datediff(F.col("__d"), F.lit("1900-01-01")))
     )
     placed = row_numbers(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,24 +23,30 @@ def build_session(app: str = "courtlens", master: str | None = None, **conf) ->
     return b.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="courtlens-checkpoint-"))
-    else:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as named in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
+    )
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    folder = tempfile.mkdtemp(prefix="courtlens-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    Used where a plan is read several times or where a partition number must not
-    change on recomputation; the files outlive any executor.
+    Cuts the lineage where a table is read several times or where a partition number
+    must not change on recomputation. The files outlive any executor, stay columnar, and
+    give Spark the true size of the table for its join choices.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/courtlens/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
