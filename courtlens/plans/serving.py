@@ -118,12 +118,14 @@ def receive_attempts(
     })
 
 
-def serve_receive_value(
-    attempts: DataFrame, cfg: ModelConfig = DEFAULT
-) -> tuple[DataFrame, DataFrame]:
-    """Passer values over expectation, and the metrics of the expectation models."""
-    scored, metrics = expected_outcomes(attempts, SR_TARGETS, SR_FEATURES, RALLY_KEY, cfg)
-    return passer_values(scored, cfg), metrics
+def with_expectations(attempts: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
+    """Attempts with the expected rate of each outcome. Reads ``attempts`` twice."""
+    return expected_outcomes(attempts, SR_TARGETS, SR_FEATURES, RALLY_KEY, cfg)
+
+
+def serve_receive_value(attempts: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
+    """Passer values over expectation."""
+    return passer_values(with_expectations(attempts, cfg), cfg)
 
 
 def passer_values(scored: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:

@@ -26,7 +26,7 @@ def read_csv(
 
 
 def _season_of_file(df: DataFrame) -> DataFrame:
-    year = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})\.csv$", 1).try_cast("int")
+    year = F.regexp_extract(F.col("_metadata.file_path"), r"_(\d{4})\.csv(?:/|$)", 1).try_cast("int")
     return df.withColumn("season", F.concat_ws("-", year.cast("string"), (year + 1).cast("string")))
 
 

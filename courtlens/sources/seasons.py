@@ -84,13 +84,13 @@ def pick(df: DataFrame, seasons: list[str] | None = None, first: str | None = No
 
 def file_years(spark: SparkSession, folder: str) -> DataFrame:
     """(kind, year) of every source file in a folder, from file metadata only."""
-    files = spark.read.format("binaryFile").load(folder).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     kind = F
     for k, template in config.SOURCE_FILES.items():
         stem = re.escape(template.split("{")[0])
-        kind = kind.when(F.col("path").rlike(rf"/{stem}\d{{4}}\.csv$"), k)
+        kind = kind.when(F.col("path").rlike(rf"/{stem}\d{{4}}\.csv(/|$)"), k)
     return files.select(
-        kind.otherwise(None).alias("kind"), F.regexp_extract("path", r"(\d{4})\.csv$", 1).alias("year")
+        kind.otherwise(None).alias("kind"), F.regexp_extract("path", r"_(\d{4})\.csv(?:/|$)", 1).alias("year")
     ).filter("kind is not null")
 
 

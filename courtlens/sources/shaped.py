@@ -48,7 +48,7 @@ from (
   select *, concat(who, cast(cast(floor(file_row / 2) as bigint) % 7 as string)) as player,
     case when file_row % 29 = 0 then 'Timeout'
       else case event_type when 'signup' then 'Serve'
-        when 'view' then case file_row % 2 when 0 then 'Reception' else 'Reception' end
+        when 'view' then 'Reception'
         when 'click' then case file_row % 3 when 0 then 'Set' when 1 then 'Attack' else 'Dig' end
         when 'purchase' then case file_row % 4 when 0 then 'Kill' when 1 then 'Ace' when 2 then 'Block' else 'First ball kill' end
         else case file_row % 3 when 0 then 'Attack error' when 1 then 'Service error' else 'Reception error' end end end as label
@@ -88,22 +88,31 @@ from {{orders}}
 """
 
 PLAYER_BOX = f"""
-select {SEASON_OF.format('l_orderkey')} as season, l_orderkey as contestid,
-  concat('Team ', cast(l_suppkey % 10 as string)) as team,
-  concat('Team ', cast((l_suppkey + 3) % 12 as string)) as opponent,
-  concat('P', cast(l_suppkey % 10 as string), '-', cast(l_partkey % 7 as string)) as player,
-  case l_partkey % 7 when 0 then 'S' when 1 then 'OH' when 2 then 'MB' when 3 then 'OPP' when 4 then 'L/DS' when 5 then 'DS' else 'LS' end as pos,
-  case when l_returnflag = 'R' then 'Away' else 'Home' end as location,
-  l_linenumber as line_no,
-  cast(l_linenumber as bigint) as s,
-  cast(l_quantity as bigint) as kills, cast(l_linenumber as bigint) as errors,
-  cast(l_quantity as bigint) + cast(l_linenumber as bigint) + 10 as total_attacks,
-  round((l_quantity - l_linenumber) / (l_quantity + l_linenumber + 10), 6) as hit_pct,
-  cast(l_partkey % 20 as bigint) as assists, cast(l_partkey % 4 as bigint) as aces,
-  cast(l_partkey % 5 as bigint) as serr, cast(l_partkey % 15 as bigint) as digs, cast(l_partkey % 3 as bigint) as rerr,
-  case when l_partkey % 13 = 0 then null else cast(l_partkey % 3 as bigint) end as block_solos,
-  cast(l_partkey % 4 as bigint) as block_assists, cast(l_partkey % 9 as bigint) as retatt
-from {{lineitem}}
+select season, contestid, team, opponent, player, pos, location, line_no, s,
+  kills, errors, total_attacks,
+  case when total_attacks = 0 then null else round(cast(kills - errors as double) / total_attacks, 6) end as hit_pct,
+  assists, aces, serr, digs, rerr, block_solos, block_assists, retatt
+from (
+  select {SEASON_OF.format('l_orderkey')} as season, l_orderkey as contestid,
+    concat('Team ', cast(l_suppkey % 10 as string)) as team,
+    concat('Team ', cast((l_suppkey + 3) % 12 as string)) as opponent,
+    concat('P', cast(l_suppkey % 10 as string), '-', cast(l_partkey % 7 as string)) as player,
+    case l_partkey % 7 when 0 then 'S' when 1 then 'OH' when 2 then 'MB' when 3 then 'OPP' when 4 then 'L/DS' when 5 then 'DS' else 'LS' end as pos,
+    case when l_returnflag = 'R' then 'Away' else 'Home' end as location,
+    l_linenumber as line_no, cast(l_linenumber as bigint) as s,
+    case when l_partkey % 7 in (1, 2, 3, 6) then cast(l_quantity as bigint)
+      when l_partkey % 97 = 0 then cast(2 as bigint) else cast(0 as bigint) end as kills,
+    case when l_partkey % 7 in (1, 2, 3, 6) then cast(l_linenumber as bigint) else cast(0 as bigint) end as errors,
+    case when l_partkey % 7 in (1, 2, 3, 6) then cast(l_quantity as bigint) + cast(l_linenumber as bigint) + 10
+      when l_partkey % 97 = 0 then cast(5 as bigint) else cast(0 as bigint) end as total_attacks,
+    case when l_partkey % 7 = 0 then cast(l_partkey % 20 as bigint)
+      when l_partkey % 61 = 0 then cast(1 as bigint) else cast(0 as bigint) end as assists,
+    cast(l_partkey % 4 as bigint) as aces,
+    cast(l_partkey % 5 as bigint) as serr, cast(l_partkey % 15 as bigint) as digs, cast(l_partkey % 3 as bigint) as rerr,
+    case when l_partkey % 13 = 0 then null else cast(l_partkey % 3 as bigint) end as block_solos,
+    cast(l_partkey % 4 as bigint) as block_assists, cast(l_partkey % 9 as bigint) as retatt
+  from {{lineitem}}
+) x
 """
 
 
