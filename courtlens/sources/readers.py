@@ -56,6 +56,7 @@ def drop_pseudo_players(players: DataFrame) -> DataFrame:
 def read_pbp(spark: SparkSession, folder: str, seasons: list[str]) -> DataFrame:
     """Play-by-play rows as text, with the season of the file and an order column."""
     raw = read_csv(spark, season_paths(folder, "pbp", seasons), config.PBP_COLUMNS)
+    raw = raw.withColumnRenamed("set", "set_no")
     return ordered.with_file_row(_season_of_file(raw))
 
 
