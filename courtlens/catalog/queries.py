@@ -654,7 +654,7 @@ def _tbox(spark, folder):
     return marts.cleaned_team_box(shaped.team_box(spark, folder))
 
 
-@query("s: player team opponent season i: is_away kills assists aces digs blocks d: kill_efficiency", "select *  from cbox")
+@query("s: player team opponent season i: is_away kills assists aces digs blocks d: kill_efficiency", "select * replace (round(kill_efficiency, 4) as kill_efficiency) from cbox")
 def player_stats(spark, folder):
     return marts.player_stats(_box(spark, folder))
 
@@ -914,7 +914,7 @@ def csv_log_in_file_order(spark, folder):
     return back.groupBy("season", N.number(F.col("contestid"), "bigint").alias("contestid"),
                         N.number(F.col("set_no"), "int").alias("set_no")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct("event"), "file_row")["event"].alias("first_event"))
+        rallies.first_value("event").alias("first_event"))
 
 
 @query("s: season player team i: overall_rank event_rallies b: meets_volume_threshold", "select * from ranked where event_rallies >= 20")

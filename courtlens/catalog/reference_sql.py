@@ -321,7 +321,7 @@ CTES["ctx"] = f"""select *, team_attack_attempts / (team_attack_attempts + 500.0
 CTES["cred0"] = f"""select o.*, w.home_wpa, {weight('event_family')} as event_weight,
   {weight('event_family')} / nullif(sum({weight('event_family')}) over (partition by {', '.join('o.' + c for c in RK.split(', '))}), 0) as share
   from opp o left join wp w on {_RJ('o', 'w')} where o.player_clean <> '' and event_family <> 'admin'"""
-CTES["cred1"] = """select c.*, actor_team as team_clean, coalesce(share, 0) as event_weight_share,
+CTES["cred1"] = """select c.* exclude (team_clean), actor_team as team_clean, coalesce(share, 0) as event_weight_share,
   case when actor_side = 'home' then home_wpa else -home_wpa end as team_wpa,
   coalesce(x.team_block_strength_index, 0) as opp_block_strength_index, coalesce(x.team_attack_strength_index, 0) as opp_attack_strength_index
   from cred0 c left join ctx x on x.season = c.season and x.team_clean = c.opponent_team"""

@@ -59,19 +59,20 @@ def erf(x: Column) -> Column:
     """Error function to about 1e-15.
 
     Up to |x| = 3 the series 2x/sqrt(pi) e^(-x^2) sum (2x^2)^n / (2n+1)!! in nested
-    form; beyond it the continued fraction of erfc.
+    form; beyond it the continued fraction of erfc. Both are folds over a term index, so
+    the expression stays small.
     """
-    a = F.abs(x)
-    sq = x * x
-    series = F.lit(1.0)
-    for n in range(70, 0, -1):
-        series = F.lit(1.0) + sq * F.lit(2.0 / (2 * n + 1)) * series
+    a, sq = F.abs(x), x * x
+    series = F.aggregate(
+        F.sequence(F.lit(70), F.lit(1), F.lit(-1)), F.lit(1.0),
+        lambda s, n: F.lit(1.0) + sq * F.lit(2.0) / (F.lit(2.0) * n + F.lit(1.0)) * s,
+    )
     near = F.lit(2.0 / math.sqrt(math.pi)) * a * F.exp(-sq) * series
-    fraction = a
-    for n in range(40, 0, -1):
-        fraction = a + F.lit(n / 2.0) / fraction
+    fraction = F.aggregate(
+        F.sequence(F.lit(40), F.lit(1), F.lit(-1)), a, lambda f, n: a + n / F.lit(2.0) / f
+    )
     far = F.lit(1.0) - F.exp(-sq) / (F.lit(math.sqrt(math.pi)) * fraction)
-    return F.when(x < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) * F.when(a <= 3.0, near).otherwise(far)
+    return F.signum(x) * F.when(a <= 3.0, near).otherwise(far)
 
 
 def normal_cdf(x: Column) -> Column:

@@ -92,14 +92,22 @@ def _squeeze(c: Column) -> Column:
 
 
 def clean_name(c: Column) -> Column:
-    """Join-safe text: ASCII, lower case, few symbols, single spaces; null becomes ''."""
-    c = F.lower(ascii_fold(F.coalesce(c.cast("string"), F.lit(""))))
-    c = F.regexp_replace(F.replace(c, F.lit("&"), F.lit(" and ")), "['`]", "")
-    return _squeeze(F.regexp_replace(c, r"[^a-z0-9\s/@().,#:-]", " "))
+    """Join-safe text: ASCII, lower case, few symbols, single spaces; null becomes ''.
+
+    Text that only needs lower case, most names, passes after one match; the chain of
+    replacements runs for the rest.
+    """
+    raw = F.coalesce(c.cast("string"), F.lit(""))
+    low = F.lower(raw)
+    full = F.lower(ascii_fold(raw))
+    full = F.regexp_replace(F.replace(full, F.lit("&"), F.lit(" and ")), "['`]", "")
+    full = _squeeze(F.regexp_replace(full, r"[^a-z0-9\s/@().,#:-]", " "))
+    return F.when(low.rlike(r"[^a-z0-9 /@().,#:-]|  |^ | $"), full).otherwise(low)
 
 
 def clean_team(c: Column) -> Column:
-    return _squeeze(F.regexp_replace(clean_name(c), r"\bvs\.?\b", " "))
+    c = clean_name(c)
+    return F.when(c.contains("vs"), _squeeze(F.regexp_replace(c, r"\bvs\.?\b", " "))).otherwise(c)
 
 
 def strip_opponent_noise(c: Column) -> Column:
@@ -121,7 +129,7 @@ def display_team(c: Column) -> Column:
     """Short team name for display: no rank, brackets, venue mark, date or hyphen."""
     for pattern in [r"#\d+\s*", r"\(.*?\)", r"^@\s*", r"^vs\.?\s*", r"^at\s*"]:
         c = F.regexp_replace(c, pattern, "")
-    parts = F.filter(F.transform(F.split(c, "@"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(c, "@"), lambda p: F.trim(p)), lambda p: p != "")
     c = F.get(parts, F.lit(0))
     for pattern in [r"\d{2}-\d{2}.*", r"\d{4}.*"]:
         c = F.regexp_replace(c, pattern, "")

@@ -73,27 +73,29 @@ def name_map(raw: DataFrame, teams: DataFrame, use_aliases: bool = True) -> Data
     """(raw, canonical) for each distinct raw text in column ``raw``.
 
     Order of preference: manual alias, exact known name, the only fuzzy hit, the
-    cleaned text itself.
+    cleaned text itself. The facts are read once, for their distinct texts; everything
+    else works on that list.
     """
-    cleaned = raw.select("raw").distinct().withColumn("name", T.strip_opponent_noise(F.col("raw")))
     known = teams.select("team_clean").distinct()
     alias = F.element_at(_alias_map(), F.col("name")) if use_aliases else F.lit(None).cast("string")
-    marked = (
-        cleaned.withColumn("alias", alias)
-        .join(checked_broadcast(known.select(F.col("team_clean").alias("name"), F.lit(True).alias("exact"))),
-              "name", "left")
+    exact = checked_broadcast(known.select(F.col("team_clean").alias("name"), F.lit(True).alias("exact")))
+    marked = stable(
+        raw.select("raw").distinct()
+        .withColumn("name", T.strip_opponent_noise(F.col("raw")))
+        .withColumn("alias", alias)
+        .join(exact, "name", "left")
+        .select("raw", "name", F.coalesce("alias", F.when(F.col("exact"), F.col("name"))).alias("sure"))
     )
-    open_names = marked.filter(F.col("alias").isNull() & F.col("exact").isNull()).select("name").distinct()
+    unsure = marked.filter(F.col("sure").isNull()).select("name").distinct()
+    if unsure.isEmpty():
+        return marked.select("raw", F.col("sure").alias("canonical"))
     unique = (
-        fuzzy_hits(open_names, known)
+        fuzzy_hits(unsure, known)
         .groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("team_clean").alias("fuzzy"))
         .filter("n = 1").drop("n")
     )
     return marked.join(unique, "name", "left").select(
-        "raw",
-        F.coalesce(
-            F.col("alias"), F.when(F.col("exact"), F.col("name")), F.col("fuzzy"), F.col("name")
-        ).alias("canonical"),
+        "raw", F.coalesce("sure", "fuzzy", "name").alias("canonical")
     )
 
 

@@ -7,8 +7,12 @@ an ML transform over the full data.
 
 from __future__ import annotations
 
+import sys
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +24,9 @@ from courtlens.functions import numeric as N
 from courtlens.operators import ordered, shape, stats
 from courtlens.plans.playbyplay import RALLY_KEY
 
+# fitting functions travel to the workers by value, so these need only numpy and pandas
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SIDES = ["home", "away", "unknown"]
 WP_INPUTS = [*WP_FEATURES, *[f"server_{s}" for s in SIDES]]
 
@@ -167,25 +174,32 @@ def score_logistic(rallies: DataFrame, models: DataFrame) -> DataFrame:
     return d.withColumns(p).drop("intercept", "coefficients")
 
 
-def fit_mlp(train: DataFrame, cfg: ModelConfig = DEFAULT) -> dict:
-    """Perceptron per season: season -> (model, means, deviations)."""
-    out = {}
+def fit_mlp(train: DataFrame, cfg: ModelConfig = DEFAULT, parallelism: int = 4) -> dict:
+    """Perceptron per season: season -> (model, means, deviations).
+
+    Seasons are fitted side by side. A season is at most the training cap, so it is
+    packed into few partitions to keep the many passes of the optimiser short.
+    """
     scale = train.groupBy("season").agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.avg(c).alias(f"m_{c}") for c in WP_FEATURES],
         *[F.stddev_pop(c).alias(f"s_{c}") for c in WP_FEATURES],
     ).orderBy("season").collect()
-    for r in scale:
+
+    def fit(r):
         means = [r[f"m_{c}"] for c in WP_FEATURES]
         sds = [r[f"s_{c}"] or 1.0 for c in WP_FEATURES]
         season = train.filter(F.col("season") == r["season"])
         vectors = _mlp_vectors(season, {c: F.col(c) for c in WP_INPUTS}, means, sds, "label")
-        out[r["season"]] = (
-            MultilayerPerceptronClassifier(
-                layers=[len(WP_INPUTS), *cfg.mlp_hidden, 2], maxIter=cfg.mlp_max_iter, seed=SEED,
-            ).fit(vectors),
-            means, sds,
-        )
-    return out
+        packed = vectors.coalesce(1 + r["n"] // 50_000).cache()
+        model = MultilayerPerceptronClassifier(
+            layers=[len(WP_INPUTS), *cfg.mlp_hidden, 2], maxIter=cfg.mlp_max_iter, seed=SEED,
+        ).fit(packed)
+        packed.unpersist()
+        return r["season"], (model, means, sds)
+
+    with ThreadPool(parallelism) as pool:
+        return dict(pool.map(inheritable_thread_target(train.sparkSession)(fit), scale))
 
 
 def _mlp_vectors(df, inputs: dict[str, Column], means, sds, *keep: str) -> DataFrame:

@@ -185,9 +185,13 @@ def replacement_values(pbp: DataFrame, chunk: int | None = None) -> DataFrame:
 
 
 def rank_players(values: DataFrame) -> DataFrame:
-    """Mean over games, lowest first: the less a substitute would add, the better."""
+    """Mean over games, lowest first: the less a substitute would add, the better.
+
+    Scores that agree to twelve places are ties, broken by team and player.
+    """
     g = values.groupBy("season", "team", "player").agg(
         F.count(F.lit(1)).alias("games"), F.avg("replacement_value").alias("score")
     )
-    order = [F.col("score").asc(), F.col("team").asc(), F.col("player").asc()]
-    return ordered.row_numbers(g, ["season"], order, "rank")
+    order = [F.col("__s").asc(), F.col("team").asc(), F.col("player").asc()]
+    g = g.withColumn("__s", F.round("score", 12))
+    return ordered.row_numbers(g, ["season"], order, "rank").drop("__s")
