@@ -61,28 +61,42 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from), "".join(single_to), several
 
 
-def ascii_fold(c: Column) -> Column:
-    """Compatibility-decompose and drop everything outside ASCII.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Plain ASCII text, by far the most common, skips the table lookups; the map
-    of multi-character foldings is consulted only for rows that hold one.
+
+def _char_class(chars) -> str:
+    """Regular-expression class of single characters, neighbours merged into ranges."""
+    spans: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if spans and cp == spans[-1][1] + 1:
+            spans[-1][1] = cp
+        else:
+            spans.append([cp, cp])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+def ascii_fold(c: Column, drop: str = r"[^\x00-\x7F]+") -> Column:
+    """Compatibility-decompose and drop everything outside ASCII (or what ``drop`` matches).
+
+    Characters that fold to several letters are looked up one by one, but only in rows
+    that hold one.
     """
     single_from, single_to, several = _fold_tables()
-    ranges = "".join(rf"\x{{{ord(ch):X}}}" for ch in several)
     table = F.str_to_map(
         F.lit("\x01".join(f"{ch}\x02{to}" for ch, to in several.items())),
         F.lit("\x01"), F.lit("\x02"),
     )
-    folded = F.translate(c, single_from, single_to)
-    expanded = F.array_join(
-        F.transform(
-            F.split(folded, ""),
-            lambda ch: F.coalesce(F.element_at(table, ch), ch),
-        ),
-        "",
+    spread = lambda t: F.array_join(
+        F.transform(F.split(t, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), ""
+    )
+    rest = lambda t: F.regexp_replace(t, r"[\x00-\x7F]+", "")
+    folded = _let(
+        F.translate(c, single_from, single_to),
+        lambda t: F.when(rest(t).rlike(_char_class(several)), spread(t)).otherwise(t),
     )
-    wide = F.when(folded.rlike(f"[{ranges}]"), expanded).otherwise(folded)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(wide, r"[^\x00-\x7F]", "")).otherwise(c)
+    return F.regexp_replace(F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c), drop, "")
 
 
 # --- names ------------------------------------------------------------------
@@ -99,9 +113,9 @@ def clean_name(c: Column) -> Column:
     """
     raw = F.coalesce(c.cast("string"), F.lit(""))
     low = F.lower(raw)
-    full = F.lower(ascii_fold(raw))
-    full = F.regexp_replace(F.replace(full, F.lit("&"), F.lit(" and ")), "['`]", "")
-    full = _squeeze(F.regexp_replace(full, r"[^a-z0-9\s/@().,#:-]", " "))
+    full = F.lower(ascii_fold(raw, r"[^\x00-\x7F]+|['`]+"))
+    full = F.replace(full, F.lit("&"), F.lit(" and "))
+    full = F.trim(F.regexp_replace(full, r"[^a-z0-9/@().,#:-]+", " "))
     return F.when(low.rlike(r"[^a-z0-9 /@().,#:-]|  |^ | $"), full).otherwise(low)
 
 
