@@ -215,10 +215,14 @@ def with_scores(d: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
 
 
 def with_ranks(d: DataFrame) -> DataFrame:
-    """Dense ranks by final value, per role and overall, within the season."""
-    d = stable(d)
-    d = ordered.dense_rank(d, ["season", "role_family"], "final_value_z", "role_rank")
-    d = ordered.dense_rank(d, ["season"], "final_value_z", "overall_rank")
+    """Dense ranks by final value, per role and overall, within the season.
+
+    Values that agree to twelve places tie, so that ranks do not hang on the order in
+    which a run happened to add up its sums.
+    """
+    d = stable(d.withColumn("__v", F.round("final_value_z", 12)))
+    d = ordered.dense_rank(d, ["season", "role_family"], "__v", "role_rank")
+    d = ordered.dense_rank(d, ["season"], "__v", "overall_rank")
     extra = [
         c for c in d.columns
         if (c.startswith(("box_", "fb_", "sr_", "event_count_")) or c in _EXTRA)
