@@ -313,7 +313,7 @@ def score_flags(spark, folder):
 def _scores_in_chunks(spark, folder, chunk: int) -> DataFrame:
     t = tables(spark, folder)
     d = playbyplay.with_contest_ids(playbyplay.distinct_touches(t.pbp))
-    return playbyplay.with_score(d, chunk)
+    return playbyplay.with_score(d.select(*playbyplay.SET_KEY, "file_row", "score"), chunk)
 
 
 @query(_FLAGS, "select * from flagged")
@@ -394,6 +394,12 @@ def quality_counters(spark, folder):
         F.count_if("any_non_numeric_score").alias("non_numeric"), F.sum("unresolved_actor_rows").alias("unresolved"))
 
 
+@query("s: season i: contestid set_no rally_id home_sets_before away_sets_before home_sets_total away_sets_total home_sets_after away_sets_after home_match_win b: is_set_terminal", "select * from rallies")
+def rally_table_hot(spark, folder):
+    """Set results by the aggregate-and-join form used when one contest is very large."""
+    return rallies.rally_table(tables(spark, folder).clean_pbp, hot=True)
+
+
 # --- first ball -------------------------------------------------------------
 
 @query("s: season i: contestid set_no rally_id reception_row s: receiving_team passer_player_clean reception_event_family i: first_attack_row s: first_attack_player_clean "
@@ -526,6 +532,13 @@ def touch_credit(spark, folder):
     return tables(spark, folder).event_credit
 
 
+@query("s: season i: file_row d: event_weight_share event_credit", "select * from cred")
+def touch_credit_hot(spark, folder):
+    """Touch shares from pre-aggregated rally weights, as used for very long rallies."""
+    t = tables(spark, folder)
+    return credit.event_credit(t.event_table, t.rally_win_probability, t.team_phase_context, t.cfg, hot=True)
+
+
 @query("s: season team_clean player_clean i: event_touches event_rallies d: raw_event_credit raw_base_event_credit positive_event_credit negative_event_credit mean_event_credit "
        "avg_context_multiplier avg_opp_block_strength_index avg_opp_attack_strength_index i: " + " ".join(f"event_count_{f}" for f in config.FAMILIES), "select * from pcred")
 def player_event_credit(spark, folder):

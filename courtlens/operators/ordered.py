@@ -39,7 +39,12 @@ def pick_chunk(df: DataFrame, keys: list[str], limit: int | None = None) -> int
 
 
 def _chunked(df: DataFrame, order: str, chunk: int) -> DataFrame:
-    return df.withColumn(_C, F.floor(F.col(order) / F.lit(chunk)))
+    """Rows with their chunk number, written out because a chunked scan reads them twice.
+
+    Without the cut, a chain of n scans would recompute its source 2^n times. Callers hand
+    over only the columns the scan needs and join the result back by key and order.
+    """
+    return stable(df.withColumn(_C, F.floor(F.col(order) / F.lit(chunk))))
 
 
 def _before(keys: list[str]) -> W:
@@ -206,7 +211,9 @@ def contest_blocks(
     A block starts when a (forward-filled) block key changes or the set number falls.
     A block that holds a real id takes its first one, otherwise its running number.
     """
-    d = df.withColumns(
+    base = df
+    d = base.select(*dict.fromkeys([*partition, order, raw_id, *block_keys, set_col]))
+    d = d.withColumns(
         {f"__b_{k}": F.nullif(F.trim(F.coalesce(F.col(k), F.lit(""))), F.lit("")) for k in block_keys}
     )
     d = forward_fill(d, partition, order, {f"__f_{k}": f"__b_{k}" for k in block_keys}, chunk)
@@ -218,19 +225,17 @@ def contest_blocks(
     for c in now:
         changed = changed | F.coalesce(F.col(c) != F.col(f"__p{c}"), F.lit(False))
     reset = F.coalesce(F.col(set_col) < F.col("__p_set"), F.lit(False))
-    d = d.withColumn("__new", (~F.col("__has") | changed | reset).cast("int"))
-    d = running_sum(d, partition, order, {"__block": F.col("__new")}, chunk)
-    d = d.drop("__new", "__has", "__p_set", *now, *[f"__p{c}" for c in now],
-               *[f"__b_{k}" for k in block_keys])
-    real = d.groupBy(*partition, "__block").agg(
-        F.min_by(raw_id, F.when(F.col(raw_id).isNotNull(), F.col(order))).alias("__real")
+    d = d.select(
+        *partition, order, F.col(raw_id).alias("__raw"),
+        (~F.col("__has") | changed | reset).cast("int").alias("__new"),
     )
+    d = running_sum(d, partition, order, {"__block": F.col("__new")}, chunk)
+    d = stable(d.select(*partition, order, "__raw", "__block")) if chunk else d
+    real = F.min_by("__raw", F.when(F.col("__raw").isNotNull(), F.col(order)))
+    d = attach(d, [*partition, "__block"], {"__real": real}, hot=chunk is not None)
     synthetic = -F.col("__block") if negative_synthetic else F.col("__block")
-    return (
-        d.join(real, [*partition, "__block"], "left")
-        .withColumn(out, F.coalesce(F.col("__real"), synthetic).cast("bigint"))
-        .drop("__block", "__real")
-    )
+    ids = d.select(*partition, order, F.coalesce(F.col("__real"), synthetic).cast("bigint").alias("__id"))
+    return base.join(ids, [*partition, order]).withColumn(out, F.col("__id")).drop("__id")
 
 
 def chronological_split(

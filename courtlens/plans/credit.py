@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courtlens.config import DEFAULT, FAMILIES, ModelConfig
 from courtlens.functions import numeric as N
-from courtlens.operators import stats
+from courtlens.operators import ordered, stats
 from courtlens.operators.joins import checked_broadcast
 from courtlens.plans.firstball import ATTACKS
 from courtlens.plans.playbyplay import RALLY_KEY
@@ -96,13 +96,13 @@ def context_multiplier(cfg: ModelConfig = DEFAULT) -> Column:
 
 def event_credit(
     events: DataFrame, values: DataFrame, context: DataFrame | None = None,
-    cfg: ModelConfig = DEFAULT,
+    cfg: ModelConfig = DEFAULT, hot: bool = False,
 ) -> DataFrame:
     """Each touch's share of its rally's win-probability change, for the actor's side.
 
     The share is the touch weight over the weight of all credited touches of the rally,
-    of both teams. Rally weights are pre-aggregated and travel with the rally values, so
-    the touches are joined once and no window holds a whole rally.
+    of both teams. Rally weight and rally value share one exchange of the touches; with
+    ``hot`` the weights are pre-aggregated instead, so no window holds a large rally.
     """
     e = _with_opponent(events).filter(
         F.col("is_action_row") & F.col("event_family").isin(list(cfg.event_weights))
@@ -111,11 +111,10 @@ def event_credit(
     ).withColumns({
         "team_clean": F.col("actor_team"), "event_weight": event_weight(F.col("event_family"), cfg),
     })
-    weights = e.groupBy(*RALLY_KEY).agg(F.sum("event_weight").alias("rally_weight"))
-    per_rally = weights.join(
+    e = ordered.attach(e, RALLY_KEY, {"rally_weight": F.sum("event_weight")}, hot)
+    d = e.join(
         values.select(*RALLY_KEY, "home_wpa", "home_wp_before", "home_wp_after"), RALLY_KEY, "left"
     )
-    d = e.join(per_rally, RALLY_KEY, "left")
     d = d.withColumns({
         "event_weight_share": N.safe_rate(F.col("event_weight"), F.col("rally_weight")),
         "team_wpa": F.when(F.col("actor_side") == "home", F.col("home_wpa")).otherwise(-F.col("home_wpa")),

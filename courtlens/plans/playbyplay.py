@@ -10,6 +10,7 @@ from courtlens.functions import text as T
 from courtlens.operators import joins, ordered
 from courtlens.operators.resolve import resolve
 from courtlens.plans.roster import role_lookup
+from courtlens.session import stable
 from courtlens.sources.seasons import only_valid
 
 SET_KEY = ["season", "contestid", "set_no"]
@@ -38,13 +39,17 @@ def distinct_touches(pbp: DataFrame) -> DataFrame:
     )
 
 
-def with_contest_ids(pbp: DataFrame, negative_synthetic: bool = False) -> DataFrame:
-    """Numeric contest ids; seasons with a missing one get ids from row order."""
-    d = pbp.withColumns({
+def _typed_keys(pbp: DataFrame) -> DataFrame:
+    return pbp.withColumns({
         "contestid": N.number(F.col("contestid"), "bigint"),
         "set_no": N.number(F.col("set_no"), "int"),
     })
-    missing = [r[0] for r in d.filter("contestid is null").select("season").distinct().collect()]
+
+
+def with_contest_ids(pbp: DataFrame, negative_synthetic: bool = False) -> DataFrame:
+    """Numeric contest ids; seasons with a missing one get ids from row order."""
+    d = _typed_keys(pbp)
+    missing = _seasons_without_ids(pbp)
     if not missing:
         return d
     whole = d.filter(~F.col("season").isin(missing))
@@ -56,6 +61,25 @@ def with_contest_ids(pbp: DataFrame, negative_synthetic: bool = False) -> DataFr
     return whole.unionByName(rebuilt)
 
 
+def _seasons_without_ids(pbp: DataFrame) -> list[str]:
+    gaps = _typed_keys(pbp).filter("contestid is null").select("season").distinct()
+    return [r[0] for r in gaps.collect()]
+
+
+def distinct_typed_touches(pbp: DataFrame) -> DataFrame:
+    """Dedup and typed keys in one shuffle, for logs with ids and no oversized set.
+
+    Rows are spread by set first. The set is part of the dedup key and of every later
+    window, so neither needs another exchange.
+    """
+    raw = pbp.select("season", "file_row", F.col("contestid").alias("__c"), F.col("set_no").alias("__s"), *_TEXT)
+    d = raw.withColumns({
+        "contestid": N.number(F.col("__c"), "bigint"), "set_no": N.number(F.col("__s"), "int"),
+    }).dropna(subset=["contestid", "set_no"])
+    spread = d.repartition(*SET_KEY)
+    return ordered.keep_first(spread, [*SET_KEY, "__c", "__s", *_TEXT], "file_row").drop("__c", "__s")
+
+
 def with_actor(pbp: DataFrame, master: DataFrame) -> DataFrame:
     """Who owns the touch: the one roster that lists the player, else the team column."""
     d = joins.exists_in(
@@ -113,6 +137,16 @@ def with_rallies(pbp: DataFrame, chunk: int | None) -> DataFrame:
     )
 
 
+def with_score_and_rallies(pbp: DataFrame, chunk: int | None) -> DataFrame:
+    """Both scans. In chunks they run on a few columns only and are joined back by row."""
+    if chunk is None:
+        return with_rallies(with_score(pbp, None), None)
+    whole = stable(pbp)
+    core = whole.select(*SET_KEY, "file_row", "score", "is_action_row")
+    scanned = with_rallies(with_score(core, chunk), chunk).drop("score", "is_action_row")
+    return whole.join(scanned, [*SET_KEY, "file_row"])
+
+
 def clean_pbp(
     pbp: DataFrame, master: DataFrame, teams: DataFrame, *,
     dedup: bool = True, chunk: int | None | str = "auto", negative_synthetic: bool = False,
@@ -122,11 +156,13 @@ def clean_pbp(
     ``chunk`` is the row limit per task inside a set; 'auto' measures the largest set.
     """
     d = N.with_missing(only_valid(pbp), {c: "string" for c in [*_TEXT, "contestid"]})
-    if dedup:
-        d = distinct_touches(d)
-    d = with_contest_ids(d, negative_synthetic).dropna(subset=["contestid", "set_no"])
     if chunk == "auto":
-        chunk = ordered.pick_chunk(d, SET_KEY)
+        chunk = ordered.pick_chunk(_typed_keys(d), SET_KEY)
+    if dedup and chunk is None and not _seasons_without_ids(d):
+        d = distinct_typed_touches(d)
+    else:
+        d = distinct_touches(d) if dedup else d
+        d = with_contest_ids(d, negative_synthetic).dropna(subset=["contestid", "set_no"])
     d = resolve(
         d, {"team_clean": "team", "home_clean": "home_team", "away_clean": "away_team"}, teams
     )
@@ -143,7 +179,7 @@ def clean_pbp(
         ),
     })
     d = d.withColumn("is_action_row", F.col("event_family") != "admin")
-    d = with_rallies(with_score(d, chunk), chunk)
+    d = with_score_and_rallies(d, chunk)
     roles = role_lookup(master).withColumnRenamed("team_clean", "actor_team")
     d = joins.lookup(d, roles, ["season", "actor_team", "player_clean"])
     return d.select(*CLEAN_COLUMNS)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtlens.plans.playbyplay import RALLY_KEY, SET_KEY
+from courtlens.session import stable
 
 EVENT_COLUMNS = [
     "season", "date", "contestid", "set_no", "rally_id", "file_row", "row_in_rally", "action_seq",
@@ -84,35 +85,62 @@ def rally_rows(pbp: DataFrame) -> DataFrame:
     )
 
 
-def set_summary(rallies: DataFrame) -> DataFrame:
-    """Per set: winner, last rally, sets won before it; per contest: totals and result."""
-    s = rallies.groupBy(*SET_KEY).agg(
-        F.max_by(F.struct("score_home_end", "score_away_end"), "rally_id").alias("__f"),
-        F.max("rally_id").alias("last_rally"),
-    )
-    s = s.withColumns({
-        "home_set_win": (F.col("__f.score_home_end") > F.col("__f.score_away_end")).cast("int"),
-        "away_set_win": (F.col("__f.score_away_end") > F.col("__f.score_home_end")).cast("int"),
+_FINAL = ["score_home_end", "score_away_end"]
+
+
+def with_set_results(rallies: DataFrame) -> DataFrame:
+    """Last rally and winner of the set, sets won before it and in total, by two windows."""
+    of_set, contest = W.partitionBy(*SET_KEY), W.partitionBy("season", "contestid")
+    d = rallies.withColumns({
+        "last_rally": F.max("rally_id").over(of_set),
+        "__f": F.max_by(F.struct(*_FINAL), "rally_id").over(of_set),
+    })
+    d = _set_winner(d)
+    ended = F.col("rally_id") == F.col("last_rally")
+    won = lambda side: F.when(ended, F.col(f"{side}_set_win"))
+    before = contest.orderBy("set_no").rangeBetween(W.unboundedPreceding, -1)
+    return d.withColumns({
+        **{f"{s}_sets_before": F.coalesce(F.sum(won(s)).over(before), F.lit(0)) for s in ("home", "away")},
+        **{f"{s}_sets_total": F.sum(won(s)).over(contest) for s in ("home", "away")},
+    })
+
+
+def _set_winner(d: DataFrame) -> DataFrame:
+    home, away = F.col("__f.score_home_end"), F.col("__f.score_away_end")
+    return d.withColumns({
+        "home_set_win": (home > away).cast("int"), "away_set_win": (away > home).cast("int"),
     }).drop("__f")
+
+
+def set_summary(rallies: DataFrame) -> DataFrame:
+    """The same per set, from partial aggregates; windows see one row per set only."""
+    s = _set_winner(rallies.groupBy(*SET_KEY).agg(
+        F.max_by(F.struct(*_FINAL), "rally_id").alias("__f"), F.max("rally_id").alias("last_rally"),
+    ))
     contest = W.partitionBy("season", "contestid")
     before = contest.orderBy("set_no").rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumns({
-        "home_sets_before": F.coalesce(F.sum("home_set_win").over(before), F.lit(0)),
-        "away_sets_before": F.coalesce(F.sum("away_set_win").over(before), F.lit(0)),
-        "home_sets_total": F.sum("home_set_win").over(contest),
-        "away_sets_total": F.sum("away_set_win").over(contest),
+    return s.withColumns({
+        **{f"{x}_sets_before": F.coalesce(F.sum(f"{x}_set_win").over(before), F.lit(0)) for x in ("home", "away")},
+        **{f"{x}_sets_total": F.sum(f"{x}_set_win").over(contest) for x in ("home", "away")},
     })
-    return s.withColumn(
-        "home_match_win", (F.col("home_sets_total") > F.col("away_sets_total")).cast("int")
-    )
 
 
-def rally_table(pbp: DataFrame) -> DataFrame:
-    """Rallies with the state before and after each of them."""
+def rally_table(pbp: DataFrame, hot: bool = False) -> DataFrame:
+    """Rallies with the state before and after each of them.
+
+    The log is aggregated once. With ``hot``, when one contest may hold most rallies, the
+    set results come from aggregates joined back instead of windows over whole contests.
+    """
     rallies = rally_rows(pbp)
-    d = rallies.join(set_summary(rallies), SET_KEY)
-    last = F.col("rally_id") == F.col("last_rally")
-    d = d.withColumn("is_set_terminal", last)
+    if hot:
+        rallies = stable(rallies)
+        d = rallies.join(set_summary(rallies), SET_KEY)
+    else:
+        d = with_set_results(rallies)
+    d = d.withColumns({
+        "is_set_terminal": F.col("rally_id") == F.col("last_rally"),
+        "home_match_win": (F.col("home_sets_total") > F.col("away_sets_total")).cast("int"),
+    })
     step = F.col("is_set_terminal").cast("int")
     return d.withColumns({
         "home_sets_after": F.col("home_sets_before") + step * F.col("home_set_win"),

@@ -55,8 +55,12 @@ class SeasonTables:
 
     @cached_property
     def chunk(self) -> int | None:
-        """Row limit per task inside a set, None when no set is large."""
-        return ordered.pick_chunk(self.pbp, playbyplay.SET_KEY)
+        """Row limit per task inside a contest, None when no contest is large."""
+        return ordered.pick_chunk(self.pbp, ["season", "contestid"])
+
+    @property
+    def hot(self) -> bool:
+        return self.chunk is not None
 
     @cached_property
     def clean_pbp(self) -> DataFrame:
@@ -70,7 +74,7 @@ class SeasonTables:
 
     @cached_property
     def rally_table(self) -> DataFrame:
-        return self._keep(rallies.rally_table(self.clean_pbp))
+        return self._keep(rallies.rally_table(self.clean_pbp, self.hot))
 
     @cached_property
     def contest_master(self) -> DataFrame:
@@ -79,7 +83,7 @@ class SeasonTables:
     @cached_property
     def rally_pass(self) -> DataFrame:
         return self._keep(
-            firstball.rally_pass(self.event_table, self.rally_table, self.chunk is not None)
+            firstball.rally_pass(self.event_table, self.rally_table, self.hot)
         )
 
     @cached_property
@@ -117,7 +121,7 @@ class SeasonTables:
     @cached_property
     def event_credit(self) -> DataFrame:
         return credit.event_credit(
-            self.event_table, self.rally_win_probability, self.team_phase_context, self.cfg
+            self.event_table, self.rally_win_probability, self.team_phase_context, self.cfg, self.hot
         )
 
     @cached_property

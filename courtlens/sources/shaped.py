@@ -55,17 +55,16 @@ from (
   from {scored}) x
 """
 
-# every player of the play-by-play but one per season, so that some actors stay unresolved
-ROSTER = """
-select s.season, t.t as teamid, concat('Team ', cast(t.t as string)) as team,
-  concat('Conf ', cast(t.t % 3 as string)) as conference, k.k as number,
-  concat('P', cast(t.t as string), '-', cast(k.k as string)) as player,
-  case k.k when 0 then 'S' when 1 then 'OH' when 2 then 'MB' when 3 then 'OPP' when 4 then 'L/DS' when 5 then 'DS' else 'LS' end as pos
-from (select distinct user_id % 10 as t, 1 as j from {events}) t
-join (select distinct event_id % 7 as k, 1 as j from {events}) k on t.j = k.j
-join (select distinct """ + SEASON_OF.format("user_id") + """ as season, 1 as j from {events}) s on s.j = t.j
-where not (t.t = 9 and k.k = 6)
-"""
+# every player of the teams of a season but one, so that some actors stay unresolved
+_SIDES = f"""select distinct {SEASON_OF.format('user_id')} as season, user_id % 10 as t from {{events}}
+  union select distinct {SEASON_OF.format('user_id')} as season, (user_id + 1 + cast(floor(user_id / 10) as bigint) % 9) % 10 as t from {{events}}"""
+_POSITIONS = ["S", "OH", "MB", "OPP", "L/DS", "DS", "LS"]
+ROSTER = "select * from (" + " union all ".join(
+    f"""select season, t as teamid, concat('Team ', cast(t as string)) as team, concat('Conf ', cast(t % 3 as string)) as conference,
+  {k} as number, concat('P', cast(t as string), '-{k}') as player, '{pos}' as pos from ({_SIDES}) sides"""
+    for k, pos in enumerate(_POSITIONS)
+) + ") x where not (teamid = 9 and number = 6)"
+
 
 TEAM_BOX = f"""
 select {SEASON_OF.format('o_orderkey')} as season, o_orderkey as contestid,
