@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtlens.config import SEED
+from courtlens.operators.stats import bounded
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -54,7 +55,7 @@ def sample_rows(
     # 6 standard deviations of slack around the expected count, plus a floor
     bound = (F.lit(float(n)) + F.lit(6.0) * F.sqrt(F.lit(float(n))) + F.lit(50.0)) / F.col("__n")
     d = df.withColumns({"__h": h, "__u": u})
-    d = d.join(F.broadcast(sizes), per, "left")
+    d = d.join(bounded(sizes, per), per, "left")
     near = d.filter((F.col("__n") <= n) | (F.col("__u") <= bound))
     order = [F.col("__h"), *[F.col(k) for k in keys]]
     w = W.partitionBy(*per).orderBy(*order)

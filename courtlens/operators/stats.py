@@ -1,9 +1,9 @@
 """Group statistics brought back to rows, and exact model metrics.
 
 Standardising needs a group mean and deviation on every row. They are computed as a
-partial aggregate and joined back, so the wide frame is never shuffled. The statistics
-side is broadcast: its key is the season (validated ``YYYY-YYYY`` text, at most 10,000
-values), alone or with one of the six roles.
+partial aggregate and joined back. When the key is the season (validated ``YYYY-YYYY`` text,
+at most 10,000 values), alone or with one of the six roles, the statistics side is broadcast
+and the wide frame is never shuffled; for other keys Spark picks the join.
 """
 
 from __future__ import annotations
@@ -18,9 +18,14 @@ EPS = 2.220446049250313e-16
 
 
 def with_group_stats(df: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
-    """Add aggregates over ``keys`` (season, or season and role) to every row."""
+    """Add aggregates over ``keys`` to every row."""
     g = df.groupBy(*keys).agg(*[a.alias(o) for o, a in aggregates.items()])
-    return df.join(F.broadcast(g), keys, "left")
+    return df.join(bounded(g, keys), keys, "left")
+
+
+def bounded(g: DataFrame, keys: list[str]) -> DataFrame:
+    """Broadcast hint for one row per season (and role), whose number has a fixed bound."""
+    return F.broadcast(g) if set(keys) <= {"season", "role_family", "__all"} else g
 
 
 def zscores(

@@ -63,7 +63,10 @@ def serve_episodes(pbp: DataFrame, chunk: int | None = None) -> DataFrame:
 
     The last episode of a game is open and not counted.
     """
-    p = _playing(pbp).withColumn("is_serve", (F.col("event") == "Serve").cast("int"))
+    p = _playing(pbp).select(
+        *GAME, "file_row", "home_team", "away_team", "team", "event",
+        (F.col("event") == "Serve").cast("int").alias("is_serve"),
+    )
     d = ordered.running_sum(p, GAME, "file_row", {"episode": F.col("is_serve")}, chunk)
     served = F.min_by("team", F.when(F.col("event") == "Serve", F.col("file_row")))
     count = lambda e, side: F.count_if((F.col("event") == e) & (F.col("team") == F.col(side)))
