@@ -139,15 +139,25 @@ def strip_opponent_noise(c: Column) -> Column:
     return _squeeze(c)
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def display_team(c: Column) -> Column:
-    """Short team name for display: no rank, brackets, venue mark, date or hyphen."""
+    """Short team name for display: no rank, brackets, venue mark, date or hyphen.
+
+    Names without any of those marks are returned after one test; '' becomes null.
+    """
+    full = c
     for pattern in [r"#\d+\s*", r"\(.*?\)", r"^@\s*", r"^vs\.?\s*", r"^at\s*"]:
-        c = F.regexp_replace(c, pattern, "")
-    parts = F.filter(F.transform(F.split(c, "@"), lambda p: F.trim(p)), lambda p: p != "")
-    c = F.get(parts, F.lit(0))
+        full = F.regexp_replace(full, pattern, "")
+    parts = F.filter(F.transform(F.split(full, "@"), lambda p: _strip(p)), lambda p: p != "")
+    full = F.get(parts, F.lit(0))
     for pattern in [r"\d{2}-\d{2}.*", r"\d{4}.*"]:
-        c = F.regexp_replace(c, pattern, "")
-    return F.trim(F.replace(c, F.lit("-"), F.lit(" ")))
+        full = F.regexp_replace(full, pattern, "")
+    full = _strip(F.replace(full, F.lit("-"), F.lit(" ")))
+    marked = c.rlike(r"[#(@-]|^vs|^at|\d{4}|^\s|\s$|^$")
+    return F.when(marked, full).otherwise(c)
 
 
 def compact(c: Column) -> Column:
