@@ -18,7 +18,7 @@ from courtlens.catalog import reference_sql as R
 from courtlens.config import DEFAULT
 from courtlens.functions import numeric as N
 from courtlens.functions import text as T
-from courtlens.operators import joins, ordered, resolve, shape, stats
+from courtlens.operators import ordered, resolve, shape, stats
 from courtlens.plans import credit, firstball, marts, models, playbyplay, rallies, rankings
 from courtlens.plans import replacement, roster, serving
 from courtlens.plans.season import SeasonTables
