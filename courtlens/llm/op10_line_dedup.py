@@ -90,12 +90,13 @@ def repeated_ranges(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
-                deleted: str | None = None) -> DataFrame:
+                deleted: str | None = None, length: str | None = None) -> DataFrame:
     """``docs`` with later repeated runs of lines cut from ``text``; every row stays.
 
     A text whose lines all go becomes empty; null stays null. Rows that repeat key and text
     are the same document and get the same result; rows that share a key but not the text
-    are ordered by the hash of the text. ``deleted`` names a column for the count of lines cut.
+    are ordered by the hash of the text. ``deleted`` names a column for the count of lines cut,
+    ``length`` a column of ``docs`` that holds the length of the text and follows it where lines are cut.
     """
     named = docs.withColumn("__k", F.struct(F.col(key).alias("d"), F.xxhash64(F.col(text)).alias("h")))
     ranges = repeated_ranges(named.where(F.col(text).isNotNull()).select(F.col("__k").alias("k"), F.col(text).alias("t")),
@@ -106,4 +107,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
         " array_join(transform(array_except(sequence(0, size(ls) - 1), __places), p -> ls[p]), '\\n')), 1))")
     joined = joined.withColumn("__cut", cut).withColumn("__n", F.coalesce(F.size("__places"), F.lit(0)).cast("bigint"))
     more = [F.col("__n").alias(deleted)] if deleted else []
-    return joined.select(*[F.col("__cut").alias(c) if c == text else F.col(c) for c in docs.columns], *more)
+    new = {text: F.col("__cut")}
+    if length:
+        new[length] = F.when(F.col("__n") > 0, F.length("__cut").cast(dict(docs.dtypes)[length])).otherwise(F.col(length))
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns], *more)

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtlens.llm import op3_host_rules, op9_simhash, op10_line_dedup
+from courtlens.llm import (
+    op2_toxicity, op3_host_rules, op4_embedding_lsh, op5_language, op7_packing, op8_main_text, op9_simhash,
+    op10_line_dedup,
+)
 from courtlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +21,19 @@ def query(f):
     return f
 
 
+def vocabulary(name: str = op7_packing.VOCABULARY) -> str:
+    """Path of a public vocabulary file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_restored_toxicity(spark, folder):
+    """Toxicity of every document, learnt from two of three folds of the labels."""
+    return op2_toxicity.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query
 def op3_host_rules_report(spark, folder):
     """Base rules of every document and the verdict on its source."""
@@ -46,6 +62,30 @@ select b.doc_id, b.source, n_words, word_chars, n_symbols, cast(len(ls) - len(li
 from b join k on b.source is not distinct from k.source"""
 
 
+@query
+def op4_vector_buckets(spark, folder):
+    """Links and component of every vector."""
+    return op4_embedding_lsh.near_vectors(read(spark, folder, "embeddings"))
+
+
+@query
+def op5_rank_order_language(spark, folder):
+    """Language of every document, learnt from three of four folds."""
+    return op5_language.report(read(spark, folder, "documents"))
+
+
+@query
+def op7_best_fit_packing(spark, folder):
+    """Every document as pieces packed into sequences of 2048 tokens."""
+    return op7_packing.pack(read(spark, folder, "documents"), vocabulary())
+
+
+@query
+def op8_host_main_text(spark, folder):
+    """Main text of every page."""
+    return op8_main_text.main_text(read(spark, folder, "pages"))
+
+
 @query
 def op9_simhash_groups(spark, folder):
     """Fingerprint and near-duplicate component of every document."""
