@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from courtlens.llm import (
-    op2_toxicity, op3_host_rules, op4_embedding_lsh, op5_language, op7_packing, op8_main_text, op9_simhash,
-    op10_line_dedup,
+    op1_ordinal_quality, op2_toxicity, op3_host_rules, op4_embedding_lsh, op5_language, op6_sentencepiece,
+    op7_packing, op8_main_text, op9_simhash, op10_line_dedup,
 )
 from courtlens.llm.common import read
 
@@ -28,6 +28,12 @@ def vocabulary(name: str = op7_packing.VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_ordinal_quality_scores(spark, folder):
+    """Expected grade and chance of good quality of every document, learnt from two of three folds."""
+    return op1_ordinal_quality.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query
 def op2_restored_toxicity(spark, folder):
     """Toxicity of every document, learnt from two of three folds of the labels."""
@@ -74,6 +80,14 @@ def op5_rank_order_language(spark, folder):
     return op5_language.report(read(spark, folder, "documents"))
 
 
+@query
+def op6_sentencepiece_ids(spark, folder):
+    """Digest of the piece ids of every document and whether they decode to the text."""
+    with open(vocabulary(op6_sentencepiece.MODEL), "rb") as f:
+        model = f.read()
+    return op6_sentencepiece.report(read(spark, folder, "documents"), model)
+
+
 @query
 def op7_best_fit_packing(spark, folder):
     """Every document as pieces packed into sequences of 2048 tokens."""
