@@ -67,7 +67,7 @@ def _pairs(p: dict) -> tuple[np.ndarray, ...]:
     left = np.flatnonzero(block == half[0])
     right = np.flatnonzero(block == half[1])
     n = np.zeros(len(u), np.int64)
-    ends_a, ends_b = [], []
+    ends_a, ends_b = [left[:0]], [left[:0]]
     for s in range(0, len(left), 512):
         rows = left[s: s + 512]
         near = u[rows] @ u[right].T >= MIN_COSINE
