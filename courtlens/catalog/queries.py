@@ -72,6 +72,16 @@ _TEST = DEFAULT.but(min_rallies=10, tabular_min_rallies=1 << 40, aux_min_rows=1
 _FITTED = DEFAULT.but(min_rallies=10, tabular_min_rallies=5)
 
 
+def fixed_curve(rally_rows: DataFrame, slope: float = 0.15, set_slope: float = 0.8) -> DataFrame:
+    """Win probability as a fixed logistic of point and set lead, which SQL can follow."""
+    out = {}
+    for s in ("before", "after"):
+        st = models.wp_state(s)
+        out[f"home_wp_{s}"] = models.sigmoid(
+            st["home_score_diff"] * slope + (st["home_sets"] - st["away_sets"]) * set_slope)
+    return rally_rows.withColumns(out)
+
+
 def tables(spark: SparkSession, folder: str, wp_model: str = "fixed") -> SeasonTables:
     """Season tables of a data folder, written once per application and read by all queries.
 
@@ -83,7 +93,8 @@ def tables(spark: SparkSession, folder: str, wp_model: str = "fixed") -> SeasonT
         cfg = _TEST if wp_model == "fixed" else _FITTED
         made = SeasonTables(
             shaped.roster(spark, folder), shaped.player_box(spark, folder),
-            shaped.team_box(spark, folder), shaped.pbp(spark, folder), cfg, wp_model,
+            shaped.team_box(spark, folder), shaped.pbp(spark, folder), cfg,
+            fixed_curve if wp_model == "fixed" else wp_model,
         )
         if wp_model != "fixed":
             base = tables(spark, folder)
@@ -479,14 +490,42 @@ def win_probability_fixed(spark, folder):
     return tables(spark, folder).rally_win_probability
 
 
-@query("s: season i: contestid set_no rally_id d: home_wp_before home_wp_after home_wpa")
+def _sound(values):
+    """Whether fitted probabilities lie between 0 and 1 and the added value is their difference."""
+    inside = lambda c: F.col(c).between(0, 1)
+    return values.withColumns({
+        "fitted": F.col("home_wp_before").isNotNull() & F.col("home_wp_after").isNotNull(),
+        "sound": F.coalesce(inside("home_wp_before") & inside("home_wp_after")
+                            & (F.abs(F.col("home_wpa") - F.col("home_wp_after") + F.col("home_wp_before")) < 1e-12), F.lit(True)),
+    })
+
+
+_TRAINED = "exists (select 1 from split s where s.season = wp.season and s.split = 'train')"
+_SOUND = f"select season, contestid, set_no, rally_id, {_TRAINED} as fitted, true as sound from wp"
+
+
+@query("s: season i: contestid set_no rally_id b: fitted sound", _SOUND)
 def win_probability_logistic(spark, folder):
-    return tables(spark, folder, "logistic").rally_win_probability
+    """Every rally, whether its season has a model, and the laws its values obey."""
+    return _sound(tables(spark, folder, "logistic").rally_win_probability)
 
 
-@query("s: season i: contestid set_no rally_id d: home_wp_before home_wp_after home_wpa")
+@query("s: season i: contestid set_no rally_id b: fitted sound", _SOUND)
 def win_probability_mlp(spark, folder):
-    return tables(spark, folder, "mlp").rally_win_probability
+    """As the logistic one, for the perceptron."""
+    return _sound(tables(spark, folder, "mlp").rally_win_probability)
+
+
+@query("s: season i: rows won", """select w.season, count(*) as rows, cast(sum(home_match_win) as bigint) as won from wp w
+  join split s on s.season = w.season and s.contestid = w.contestid where s.split = 'train' and w.point_delta_total = 1 group by w.season""")
+def win_probability_calibration(spark, folder):
+    """With a free intercept the fitted chances of the training rallies add up to the rallies of the winners."""
+    t = tables(spark, folder, "logistic")
+    valid = models.valid_rallies(t.rally_table)
+    train = models.time_split(valid, t.cfg).filter("split = 'train'")
+    d = t.rally_win_probability.join(valid.select(*playbyplay.RALLY_KEY), playbyplay.RALLY_KEY, "left_semi").join(
+        train, ["season", "contestid"])
+    return d.groupBy("season").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("home_wp_before"), 1).alias("won"))
 
 
 _METRICS = """select season, split, count(*) as rows, avg(home_match_win) as positive_rate,
@@ -505,12 +544,15 @@ def classifier_metrics(spark, folder):
     return tables(spark, folder).win_probability_metrics
 
 
-@query("s: season split i: rows d: positive_rate log_loss brier auc")
+@query("s: season split i: rows d: positive_rate b: sound", f"select season, split, rows, positive_rate, true as sound from ({_METRICS}) m")
 def win_probability_metrics_logistic(spark, folder):
-    return tables(spark, folder, "logistic").win_probability_metrics
+    m = tables(spark, folder, "logistic").win_probability_metrics
+    return m.withColumn("sound", (F.col("log_loss") > 0) & F.col("brier").between(0, 1)
+                        & F.coalesce(F.col("auc").between(0, 1), F.lit(True)))
 
 
-@query("i: sf_rows distinct_rows")
+@query("s: season i: sf_rows distinct_rows", """select season, least(300, count(*)) as sf_rows, least(300, count(*)) as distinct_rows
+  from wp where point_delta_total = 1 group by season""")
 def seeded_sample(spark, folder):
     """Capped sample per season: how many training rallies, how many distinct."""
     valid = models.valid_rallies(tables(spark, folder).rally_table)
@@ -585,20 +627,33 @@ def serve_receive_value(spark, folder):
     return tables(spark, folder).passers
 
 
-@query("s: season team_clean player_clean i: sr_attempts d: sr_value_total sr_shrunk_value")
+@query("s: season team_clean player_clean i: sr_attempts sr_reception_errors b: sound", "select *, true as sound from sr")
 def serve_receive_value_fitted(spark, folder):
-    return tables(spark, folder, "logistic").passers
+    """Passer table with fitted expectations: counts, and values that are numbers and shrink towards the mean."""
+    p = tables(spark, folder, "logistic").passers
+    return p.withColumn("sound", ~F.isnan("sr_value_total") & F.col("sr_shrunk_value").isNotNull()
+                        & F.col("sr_expected_reception_errors").between(0, F.col("sr_attempts")))
+
+
+_OUTCOMES = "select season, target, cast(y as double) as y from (" + " union all ".join(
+    f"select season, '{t}' as target, {t} as y from att" for t in serving.SR_TARGETS) + ") z"
 
 
-@query("s: season target kind i: train_rows d: positive_rate intercept")
+@query("s: season target kind i: train_rows d: positive_rate", f"""select season, target, case when count(*) < 50 or count(distinct y) < 2 then 'mean' else 'logistic' end as kind,
+  count(*) as train_rows, avg(y) as positive_rate from ({_OUTCOMES}) o group by season, target""")
 def expected_outcome_models(spark, folder):
     t = tables(spark, folder, "logistic")
     return models.fit_outcomes(t.receive_attempts, serving.SR_TARGETS, serving.SR_FEATURES, playbyplay.RALLY_KEY, t.cfg)
 
 
-@query("s: season target i: rows d: positive_rate log_loss brier auc")
+@query("s: season target i: rows d: positive_rate mean_expected", f"""select season, target, count(*) as rows, avg(y) as positive_rate,
+  round(avg(y), 4) as mean_expected from ({_OUTCOMES}) o group by season, target""")
 def expected_outcome_metrics(spark, folder):
-    return models.expected_outcome_metrics(tables(spark, folder, "logistic").receive_scored, serving.SR_TARGETS)
+    """Rows and rates; with a free intercept the mean expectation of the training rows is the rate."""
+    scored = tables(spark, folder, "logistic").receive_scored
+    means = scored.groupBy("season").agg(*[F.round(F.avg(f"expected_{t}"), 4).alias(t) for t in serving.SR_TARGETS])
+    means = means.unpivot(["season"], serving.SR_TARGETS, "target", "mean_expected")
+    return models.expected_outcome_metrics(scored, serving.SR_TARGETS).join(means, ["season", "target"])
 
 
 # --- rankings ---------------------------------------------------------------
@@ -631,10 +686,14 @@ def player_rankings(spark, folder):
     return tables(spark, folder).player_rankings
 
 
-@query(_KEY + "role_family i: role_rank overall_rank d: overall_score final_value_z tabular_pred_value")
+@query(_KEY + "role_family b: sound", "select *, true as sound from ranked")
 def player_rankings_fitted(spark, folder):
-    """Rankings with fitted win probability, expected outcomes and ridge."""
-    return tables(spark, folder, "logistic").player_rankings
+    """Rankings with fitted win probability, expected outcomes and ridge: players, roles, and ranks that follow scores."""
+    r = tables(spark, folder, "logistic").player_rankings
+    best = r.groupBy("season").agg(F.max("overall_score").alias("top"), F.max("overall_rank").alias("last"),
+                                   F.count_distinct("overall_rank").alias("ranks"))
+    return r.join(best, "season").withColumn("sound", F.col("overall_score").between(0, 100)
+        & ((F.col("overall_rank") > 1) | (F.abs(F.col("overall_score") - F.col("top")) < 1e-9)) & (F.col("last") == F.col("ranks")))
 
 
 @query("s: season role_family kind i: train_rows d: alpha")
@@ -812,18 +871,29 @@ def player_labels(spark, folder):
 
 # --- sets, seasons, sources, sinks ------------------------------------------
 
+def _seasons_of(df):
+    return [r.season for r in seasons.available(df).collect()]
+
+
+def _season_files(out, df, kind, change=lambda d, n: d):
+    """Write one CSV file a season, each as ``change`` makes it of its rows and its number."""
+    for n, s in enumerate(_seasons_of(df)):
+        rows = change(seasons.pick(df, [s]).drop("season"), n)
+        sinks.save_csv(rows, out, config.SOURCE_FILES[kind].format(year=seasons.Season.parse(s).start))
+
+
 def _season_kinds(spark, folder):
     frames = [
         (shaped.roster(spark, folder), "players"), (shaped.player_box(spark, folder), "player_match"),
         (shaped.team_box(spark, folder), "team_match"),
-        (shaped.pbp(spark, folder).filter("contestid % 4 <> 1"), "pbp"),
+        (shaped.pbp(spark, folder), "pbp"),
     ]
     return shape.union_all([
         d.select(F.substring("season", 1, 4).alias("year"), F.lit(k).alias("kind")).distinct() for d, k in frames])
 
 
 @query("s: season", """select distinct season from roster where season in (select season from player_box) and season in (select season from team_box)
-  and season in (select season from pbp where contestid % 4 <> 1)""")
+  and season in (select season from pbp)""")
 def complete_seasons(spark, folder):
     """Seasons for which all four sources have rows."""
     return seasons.complete_seasons(_season_kinds(spark, folder))
@@ -836,7 +906,7 @@ def available_seasons(spark, folder):
 
 @query("s: season i: contestid", "select season, contestid from team_box where season in ('2023-2024', '2024-2025')")
 def season_range_rows(spark, folder):
-    wanted = seasons.select_seasons(season_range=("2023-2024", "2024-2025"))
+    wanted = seasons.wanted(span=("2023-2024", "2024-2025"))
     return seasons.pick(shaped.team_box(spark, folder), wanted)
 
 
@@ -846,7 +916,7 @@ def combined_seasons(spark, folder):
     box = shaped.team_box(spark, folder)
     parts = [
         seasons.pick(box, [s]).groupBy("season", "team").agg(F.count(F.lit(1)).alias("matches"))
-        for s in seasons.expand_range("2022-2023", "2025-2026")
+        for s in _seasons_of(box)
     ]
     return sinks.combine_seasons(parts)
 
@@ -903,31 +973,63 @@ def csv_source_bundle(spark, folder):
     pseudo = r.withColumn("player", F.when(F.col("number") == 0, "TEAM").when(F.col("number") == 1, " Totals ")
                           .when(F.col("number") == 2, "Opponent Totals").otherwise("opponent"))
     both = r.unionByName(pseudo)
-    wanted = seasons.expand_range("2022-2023", "2025-2026")
-    for s in wanted:
-        year = seasons.start_year(s)
-        for kind, df in (("players", both), ("player_match", shaped.player_box(spark, folder)),
-                         ("team_match", shaped.team_box(spark, folder))):
-            sinks.save_csv(seasons.pick(df, [s]).drop("season"), out, config.SOURCE_FILES[kind].format(year=year))
+    _season_files(out, both, "players")
+    for kind, df in (("player_match", shaped.player_box(spark, folder)), ("team_match", shaped.team_box(spark, folder))):
+        _season_files(out, seasons.pick(df, _seasons_of(both)), kind)
     found = [x.season for x in seasons.discover_local(spark, out).collect()]
-    return roster.player_master(readers.read_box_tables(spark, out, seasons.select_seasons(all_of=found))["players"])
+    return roster.player_master(readers.read_box_tables(spark, out, seasons.wanted(found=found))["players"])
+
+
+@query("s: kind season team name detail i: n", """select kind, season, team, name, detail, count(*) as n from (
+  select 'players' as kind, season, team, player as name, pos as detail from roster
+  union all select 'player_match', season, team, player, detail from (select distinct season, team, player, location || ' ' || kills || ' ' || digs as detail from player_box)
+  union all select 'team_match', season, team, opponent, result from team_box
+  union all select 'pbp', season, home_team, coalesce(nullif(event, ''), 'none'), 'said "well, ' || chr(10) || event || '" and left' from pbp) x
+  group by kind, season, team, name, detail""")
+def csv_mixed_headers(spark, folder):
+    """Season files whose headers differ in order and number, with line breaks inside quotes."""
+    out = f"{shared_folder(spark)}/courtlens/{uuid.uuid4().hex}"
+
+    def change(d, n):
+        named = d.select(*sorted(d.columns, reverse=n % 2 == 1))
+        return named.withColumn(f"only_here_{n}", F.lit(n)) if n % 3 == 0 else named
+
+    box, team, log = shaped.player_box(spark, folder), shaped.team_box(spark, folder), shaped.pbp(spark, folder)
+    said = F.concat(F.lit('said "well, \n'), F.col("event"), F.lit('" and left'))
+    every = sorted({*_seasons_of(box), *_seasons_of(team)})
+    people = shaped.roster(spark, folder)
+    # the roster has one season; the others get an empty file with a header
+    for n, s in enumerate(every):
+        rows = change(seasons.pick(people, [s]).drop("season"), n).coalesce(1)
+        sinks.save_csv(rows, out, config.SOURCE_FILES["players"].format(year=seasons.Season.parse(s).start))
+    _season_files(out, box.select("season", "team", "player", "location", "kills", "digs"), "player_match", change)
+    _season_files(out, team, "team_match", change)
+    log = log.withColumn("description", said).withColumnRenamed("set_no", "set").drop("file_row", "ts")
+    _season_files(out, log, "pbp", change)
+    read = readers.read_box_tables(spark, out, every)
+    stats = read["player_match"]
+    parts = [
+        read["players"].select(F.lit("players").alias("kind"), "season", "team", F.col("player").alias("name"), F.col("pos").alias("detail")),
+        stats.select(F.lit("player_match"), "season", "team", "player", F.concat_ws(" ", "location", "kills", "digs")),
+        read["team_match"].select(F.lit("team_match"), "season", "team", "opponent", "result"),
+        readers.read_pbp(spark, out, _seasons_of(log)).select(
+            F.lit("pbp"), "season", "home_team", F.coalesce("event", F.lit("none")), "description"),
+    ]
+    return shape.union_all([p.toDF("kind", "season", "team", "name", "detail") for p in parts]).groupBy(
+        "kind", "season", "team", "name", "detail").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s: season i: contestid set_no n s: first_event", """select season, contestid, set_no, count(*) as n, arg_min(event, file_row) as first_event
-  from (select season, contestid, set_no, nullif(event, '') as event, file_row from pbp) x group by season, contestid, set_no""")
+@query("s: season i: contestid set_no n s: event", """select season, contestid, set_no, nullif(event, '') as event,
+  row_number() over (partition by season order by file_row) as n from pbp""")
 def csv_log_in_file_order(spark, folder):
-    """Log written to season CSV files in order and read back with an order column."""
+    """Log written to season CSV files in order and read back: every row with its number in the file."""
     out = f"{shared_folder(spark)}/courtlens/{uuid.uuid4().hex}"
     p = shaped.pbp(spark, folder)
-    wanted = seasons.expand_range("2022-2023", "2025-2026")
-    for s in wanted:
-        log = seasons.pick(p, [s]).orderBy("file_row").withColumnRenamed("set_no", "set").drop("season", "file_row")
-        sinks.save_csv(log, out, config.SOURCE_FILES["pbp"].format(year=seasons.start_year(s)))
-    back = readers.read_pbp(spark, out, wanted)
-    return back.groupBy("season", N.number(F.col("contestid"), "bigint").alias("contestid"),
-                        N.number(F.col("set_no"), "int").alias("set_no")).agg(
-        F.count(F.lit(1)).alias("n"),
-        rallies.first_value("event").alias("first_event"))
+    _season_files(out, p, "pbp", lambda d, n: d.orderBy("file_row").withColumnRenamed("set_no", "set").drop("file_row"))
+    back = readers.read_pbp(spark, out, _seasons_of(p))
+    back = ordered.row_numbers(back, ["season"], [F.col("file_row")], "n")
+    return back.select("season", N.number(F.col("contestid"), "bigint").alias("contestid"),
+                       N.number(F.col("set_no"), "int").alias("set_no"), "event", "n")
 
 
 @query("s: season player team i: overall_rank event_rallies b: meets_volume_threshold", "select * from ranked where event_rallies >= 20")

@@ -15,6 +15,8 @@ PBP_COLUMNS = [
     "rally", "rally_event", "team", "event", "player", "description",
 ]
 
+DEFAULT_SEASON = "2025-2026"
+
 SOURCE_FILES = {
     "players": "wvb_playerseason_div1_{year}.csv",
     "player_match": "wvb_playermatch_div1_{year}.csv",

@@ -8,6 +8,7 @@ an ML transform over the full data.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -23,6 +24,7 @@ from courtlens.config import DEFAULT, SEED, WP_FEATURES, ModelConfig
 from courtlens.functions import numeric as N
 from courtlens.operators import ordered, shape, stats
 from courtlens.plans.playbyplay import RALLY_KEY
+from courtlens.session import stable
 
 # fitting functions travel to the workers by value, so these need only numpy and pandas
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,7 +44,7 @@ def wp_state(state: str) -> dict[str, Column]:
         names = ("set_after", "home_sets_after", "away_sets_after", "score_home_after_state",
                  "score_away_after_state", "server_side_after")
     else:
-        raise ValueError("state must be 'before' or 'after'")
+        raise ValueError(f"a scoreboard is taken before or after a rally, not {state!r}")
     set_no, hs, as_, hp, ap = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names[:5])
     side = F.coalesce(F.col(names[5]), F.lit("unknown"))
     diff, total = hp - ap, hp + ap
@@ -211,32 +213,24 @@ def _mlp_vectors(df, inputs: dict[str, Column], means, sds, *keep: str) -> DataF
 
 
 def score_mlp(rallies: DataFrame, models: dict) -> DataFrame:
-    """As ``score_logistic`` for the perceptrons; scores each distinct state once."""
-    parts = []
-    for season, (model, means, sds) in models.items():
-        d = rallies.filter(F.col("season") == season)
-        for s in ("before", "after"):
-            inputs = wp_state(s)
-            v = _mlp_vectors(d.withColumns({f"i_{c}": x for c, x in inputs.items()}),
-                             {c: F.col(f"i_{c}") for c in inputs}, means, sds, *d.columns)
-            d = model.transform(v).withColumn(
-                f"home_wp_{s}", vector_to_array("probability")[1]
-            ).drop("features", "rawPrediction", "probability", "prediction")
-        parts.append(d)
-    return shape.union_all(parts)
-
-
-def score_fixed(rallies: DataFrame, slope: float = 0.15, set_slope: float = 0.8) -> DataFrame:
-    """Win probability from a fixed logistic of point and set lead, with no fit.
-
-    A stand-in for tests and for seasons too short to train on.
+    """As ``score_logistic`` for the perceptrons; each distinct scoreboard state is scored once.
+
+    Rallies of seasons without a model stay, with null probabilities.
     """
-    out = {}
-    for s in ("before", "after"):
-        st = wp_state(s)
-        lead = st["home_score_diff"] * slope + (st["home_sets"] - st["away_sets"]) * set_slope
-        out[f"home_wp_{s}"] = sigmoid(lead)
-    return rallies.withColumns(out)
+    sides = ("before", "after")
+    d = rallies.withColumns({f"__{s}": F.array(*wp_state(s).values()) for s in sides})
+    states = d.select("season", F.explode(F.array(*[f"__{s}" for s in sides])).alias("state")).distinct()
+    states = stable(states)
+    scored = [states.limit(0).withColumn("p", F.lit(0.0))]
+    for season, (model, means, sds) in models.items():
+        v = _mlp_vectors(states.filter(F.col("season") == season), {c: F.col("state")[i] for i, c in enumerate(WP_INPUTS)},
+                         means, sds, "season", "state")
+        scored.append(model.transform(v).select("season", "state", vector_to_array("probability")[1].alias("p")))
+    known = stable(shape.union_all(scored))
+    for s in sides:
+        named = known.select("season", F.col("state").alias(f"__{s}"), F.col("p").alias(f"home_wp_{s}"))
+        d = d.join(named, ["season", f"__{s}"], "left")
+    return d.select(*rallies.columns, *[f"home_wp_{s}" for s in sides])
 
 
 def rally_values(scored: DataFrame) -> DataFrame:
@@ -249,13 +243,16 @@ def rally_values(scored: DataFrame) -> DataFrame:
 
 
 def win_probability(
-    rallies: DataFrame, model: str = "mlp", cfg: ModelConfig = DEFAULT
+    rallies: DataFrame, model: str | Callable[[DataFrame], DataFrame] = "mlp", cfg: ModelConfig = DEFAULT
 ) -> DataFrame:
-    """Fit on the training contests of each season and score every rally."""
-    if model not in ("logistic", "mlp", "fixed"):
-        raise ValueError(f"Unknown wp model type: {model}")
-    if model == "fixed":
-        return rally_values(score_fixed(rallies))
+    """Fit on the training contests of each season and score every rally.
+
+    ``model`` may also be a function that adds ``home_wp_before`` and ``home_wp_after``.
+    """
+    if callable(model):
+        return rally_values(model(rallies))
+    if model not in ("logistic", "mlp"):
+        raise ValueError(f"no win-probability model is called {model!r}; there are logistic and mlp")
     train = training_rows(rallies, cfg).cache()
     try:
         if model == "logistic":
@@ -320,6 +317,8 @@ def fit_outcomes(
 
     Small or one-class samples get their mean instead. Coefficients are on the raw scale.
     """
+    if cfg.aux_max_rows <= 0:
+        raise ValueError("aux_max_rows bounds the rows of a fit and must be positive")
     sample = shape.sample_rows(rows, row_key, cfg.aux_max_rows, ["season"])
     stacked = sample.select(
         "season",

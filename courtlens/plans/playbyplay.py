@@ -11,7 +11,7 @@ from courtlens.operators import joins, ordered
 from courtlens.operators.resolve import resolve
 from courtlens.plans.roster import role_lookup
 from courtlens.session import stable
-from courtlens.sources.seasons import only_valid
+from courtlens.sources.seasons import checked
 
 SET_KEY = ["season", "contestid", "set_no"]
 RALLY_KEY = [*SET_KEY, "rally_id"]
@@ -155,7 +155,7 @@ def clean_pbp(
 
     ``chunk`` is the row limit per task inside a set; 'auto' measures the largest set.
     """
-    d = N.with_missing(only_valid(pbp), {c: "string" for c in [*_TEXT, "contestid"]})
+    d = N.with_missing(checked(pbp), {c: "string" for c in [*_TEXT, "contestid"]})
     if chunk == "auto":
         chunk = ordered.pick_chunk(_typed_keys(d), SET_KEY)
     if dedup and chunk is None and not _seasons_without_ids(d):

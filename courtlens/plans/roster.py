@@ -10,7 +10,7 @@ from courtlens.functions import text as T
 from courtlens.operators import stats
 from courtlens.operators.joins import checked_broadcast, lookup, name_dimension
 from courtlens.operators.resolve import resolve
-from courtlens.sources.seasons import only_valid
+from courtlens.sources.seasons import checked
 
 PLAYER_KEY = ["season", "team_clean", "player_clean"]
 _MASTER = [
@@ -22,7 +22,7 @@ _MASTER = [
 def player_master(players: DataFrame) -> DataFrame:
     """One row per distinct roster entry, with role bucket and composite id."""
     p = N.with_missing(
-        only_valid(players),
+        checked(players),
         {c: "string" for c in ("teamid", "conference", "number", "pos")},
     )
     p = p.withColumns({
@@ -51,7 +51,7 @@ def prepare_player_match(player_match: DataFrame, master: DataFrame, teams: Data
 
     Two roster entries with the same name give two rows, as a plain lookup would.
     """
-    pm = only_valid(player_match)
+    pm = checked(player_match)
     pm = N.with_missing(pm, {"contestid": "bigint"})
     pm = pm.withColumns({
         "player_clean": T.clean_name(F.col("player")),
@@ -63,14 +63,14 @@ def prepare_player_match(player_match: DataFrame, master: DataFrame, teams: Data
 
 
 def prepare_team_match(team_match: DataFrame, teams: DataFrame) -> DataFrame:
-    tm = only_valid(team_match).withColumn("team_clean", T.clean_team(F.col("team")))
+    tm = checked(team_match).withColumn("team_clean", T.clean_team(F.col("team")))
     return resolve(tm, {"opp_clean": "opponent"}, teams)
 
 
 def team_strength(team_match: DataFrame, master: DataFrame | None = None) -> DataFrame:
     """Season record per team and the index 0.50 wins + 0.35 set margin + 0.15 hitting."""
     won, sets_for, sets_against = T.result_parts(F.col("result"))
-    tm = N.with_missing(only_valid(team_match), {"hit_pct": "double", "pts": "double"})
+    tm = N.with_missing(checked(team_match), {"hit_pct": "double", "pts": "double"})
     g = tm.groupBy("season", "team_clean").agg(
         F.count(F.lit(1)).alias("matches"),
         F.avg(won).alias("win_pct"),

@@ -23,7 +23,7 @@ class SeasonTables:
 
     def __init__(
         self, players: DataFrame, player_match: DataFrame, team_match: DataFrame, pbp: DataFrame,
-        cfg: ModelConfig = DEFAULT, wp_model: str = "mlp", materialize: bool = True,
+        cfg: ModelConfig = DEFAULT, wp_model = "mlp", materialize: bool = True,
     ):
         self.players, self.player_box, self.team_box, self.pbp = players, player_match, team_match, pbp
         self.cfg, self.wp_model = cfg, wp_model

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,33 +18,39 @@ def read_csv(
     spark: SparkSession, path: str | list[str], columns: list[str] | None = None,
     types: dict[str, str] | None = None,
 ) -> DataFrame:
-    """CSV scan pruned to the wanted columns that exist, with coercing types."""
-    raw = spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
+    """CSV scan pruned to the wanted columns that exist, with coercing types.
+
+    One header holds for all files of a call. Quoted values may hold line breaks, so a file
+    is one split; convert large files to Parquet once.
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if columns is not None:
         raw = raw.select(*[c for c in raw.columns if c in columns])
     typed = {c: F.col(f"`{c}`").try_cast(t) for c, t in (types or {}).items() if c in raw.columns}
     return raw.withColumns(typed) if typed else raw
 
 
-def _season_of_file(df: DataFrame) -> DataFrame:
-    year = F.regexp_extract(F.col("_metadata.file_path"), r"_(\d{4})\.csv(?:/|$)", 1).try_cast("int")
-    return df.withColumn("season", F.concat_ws("-", year.cast("string"), (year + 1).cast("string")))
+def season_path(folder: str, kind: str, season: str) -> str:
+    return os.path.join(folder, config.SOURCE_FILES[kind].format(year=S.Season.parse(season).start))
+
 
+def _by_name(frames: list[DataFrame]) -> DataFrame:
+    """All rows of all frames; a column that a frame lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
-def season_paths(folder: str, kind: str, seasons: list[str]) -> list[str]:
-    paths = [os.path.join(folder, config.SOURCE_FILES[kind].format(year=S.start_year(s))) for s in seasons]
-    return paths
+
+def _box_file(spark: SparkSession, folder: str, kind: str, season: str) -> DataFrame:
+    df = T.standardize_columns(read_csv(spark, season_path(folder, kind, season)))
+    return df if "season" in df.columns else df.withColumn("season", F.lit(season))
 
 
 def read_box_tables(spark: SparkSession, folder: str, seasons: list[str]) -> dict[str, DataFrame]:
-    """Roster without pseudo-players, deduplicated player box score, team box score."""
-    out = {}
-    for kind in ("players", "player_match", "team_match"):
-        df = read_csv(spark, season_paths(folder, kind, seasons))
-        named = [T.header_name(c) for c in df.columns]
-        if "season" not in named:
-            df = _season_of_file(df)
-        out[kind] = S.only_valid(T.standardize_columns(df))
+    """Roster without pseudo-players, deduplicated player box score, team box score.
+
+    Every season file is read by its own header, then all are put together by column name.
+    """
+    out = {kind: S.checked(_by_name([_box_file(spark, folder, kind, s) for s in seasons]))
+           for kind in ("players", "player_match", "team_match")}
     out["players"] = drop_pseudo_players(out["players"])
     out["player_match"] = out["player_match"].dropDuplicates()
     return out
@@ -54,10 +61,16 @@ def drop_pseudo_players(players: DataFrame) -> DataFrame:
 
 
 def read_pbp(spark: SparkSession, folder: str, seasons: list[str]) -> DataFrame:
-    """Play-by-play rows as text, with the season of the file and an order column."""
-    raw = read_csv(spark, season_paths(folder, "pbp", seasons), config.PBP_COLUMNS)
-    raw = raw.withColumnRenamed("set", "set_no")
-    return ordered.with_file_row(_season_of_file(raw))
+    """Play-by-play rows as text, with the season of the file and an order column.
+
+    Files are read by their own headers. The order column grows by season, file and row.
+    """
+    frames = []
+    for n, season in enumerate(seasons):
+        raw = ordered.with_file_row(read_csv(spark, season_path(folder, "pbp", season), config.PBP_COLUMNS))
+        frames.append(raw.withColumnRenamed("set", "set_no").withColumns({
+            "season": F.lit(season), "file_row": F.col("file_row") + F.lit(n << 52)}))
+    return _by_name(frames)
 
 
 def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:

@@ -23,7 +23,9 @@ def save_table(df: DataFrame, folder: str, name: str, partition: str | None = "s
     if partition and partition in df.columns:
         w = w.partitionBy(partition)
     if fmt == "csv":
-        w = w.option("header", True)
+        # quotes are doubled and blanks kept, as the readers expect
+        w = w.option("header", True).option("escape", '"').option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     w.format(fmt).save(os.path.join(folder, name))
     return int(seen.get["rows"])
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from courtlens.catalog.queries import fixed_curve
 from courtlens.config import DEFAULT
 from courtlens.operators import ordered
 from courtlens.plans import playbyplay
@@ -15,7 +16,7 @@ CFG = DEFAULT.but(min_rallies=3, tabular_min_rallies=1 << 40, aux_min_rows=1 <<
 
 def build(spark, sf):
     return SeasonTables(shaped.roster(spark, sf), shaped.player_box(spark, sf), shaped.team_box(spark, sf),
-                        shaped.pbp(spark, sf), CFG, "fixed")
+                        shaped.pbp(spark, sf), CFG, fixed_curve)
 
 
 def rows(df):

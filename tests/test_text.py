@@ -121,14 +121,16 @@ def test_fuzzy_joins_equal_the_pairwise_definition(spark):
 
 
 def test_seasons(spark):
-    assert S.select_seasons(seasons=["2023-2024,2022-2023"]) == ["2023-2024", "2022-2023"]
-    assert S.select_seasons(season_range=("2022-2023", "2024-2025")) == ["2022-2023", "2023-2024", "2024-2025"]
-    assert S.select_seasons() == ["2025-2026"]
-    assert S.select_seasons(all_of=["2025-2026", "2022-2023"]) == ["2022-2023", "2025-2026"]
+    assert S.wanted(["2023-2024,2022-2023"]) == ["2023-2024", "2022-2023"]
+    assert S.wanted(span=("2022-2023", "2024-2025")) == ["2022-2023", "2023-2024", "2024-2025"]
+    assert S.wanted() == ["2025-2026"]
+    assert S.wanted(found=["2025-2026", "2022-2023"]) == ["2022-2023", "2025-2026"]
     for bad in ("2023", "2023-2025", "x"):
         with pytest.raises(ValueError):
-            S.normalize(bad)
+            S.Season.parse(bad)
     with pytest.raises(ValueError):
-        S.expand_range("2025-2026", "2024-2025")
+        S.between("2025-2026", "2024-2025")
     df = spark.createDataFrame([("2023-2024",), ("2023-2025",), (None,), ("abc",)], "season string")
-    assert [r[0] for r in S.only_valid(df).collect()] == ["2023-2024"]
+    assert S.checked(df.filter("season = '2023-2024'")).count() == 1
+    with pytest.raises(Exception, match="no season"):
+        S.checked(df).collect()
