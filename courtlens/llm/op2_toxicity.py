@@ -1,10 +1,10 @@
 """Toxicity of texts after a noisy-channel decoding of disguised spellings.
 
-1. Letter trigrams are counted over all documents (one small table per task, then summed).
+1. Runs of four letters are counted over all documents (one small table per task, then summed).
 2. Tokens that hold digits or signs among letters, long repetitions, and runs of single
    letters become character lattices. A sign may stand for a letter, a separator may be
    dropped, a repeated letter may be one or two; Viterbi finds the most probable reading
-   under the trigram model.
+   under that letter model.
 3. Words of the restored text, and their beginnings, are the hashed features of a logistic
    model (the two-grade case of the cumulative-link fit), fitted on a bounded labelled sample.
 """
@@ -31,8 +31,8 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou",
 }
 #: Log probabilities of the channel: a sign for a letter, a dropped separator, a sign that ends
-#: a word, a doubled letter read as one.
-SUBSTITUTED, DROPPED, BROKEN, HALVED = -1.0, -1.0, -7.0, -4.0
+#: a word, a dropped sign that could be a letter, a doubled letter read as one.
+SUBSTITUTED, DROPPED, BROKEN, LOST, HALVED = -1.0, -1.0, -10.0, -16.0, -4.0
 #: Letter classes: 0 word boundary, 1 to 26 a to z, 27 any other letter.
 CLASSES = 28
 REJECT = 0.7
@@ -53,33 +53,38 @@ _TABLE = np.array([letter_class(chr(i)) for i in range(0x3000)], np.int64)
 
 
 def _count(parts):
-    total = np.zeros(CLASSES ** 3, np.int64)
+    total = np.zeros(CLASSES ** 4, np.int64)
     for p in parts:
         for t in p["t"]:
             if t:
                 u = np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4")
-                c = np.concatenate([[0, 0], np.where(u < len(_TABLE), _TABLE[np.minimum(u, len(_TABLE) - 1)], 27), [0]])
-                # two boundaries before each word: what stands before a boundary does not matter
-                first = np.where(c[1:-1] == 0, 0, c[:-2])
-                total += np.bincount(first * CLASSES ** 2 + c[1:-1] * CLASSES + c[2:], minlength=len(total))
+                c = np.where(u < len(_TABLE), _TABLE[np.minimum(u, len(_TABLE) - 1)], 27)
+                c = np.concatenate([[0, 0, 0], c, [0]])
+                # what stands before a boundary does not matter
+                one, two, three = c[2:-1], c[1:-2], c[:-3]
+                two = np.where(one == 0, 0, two)
+                three = np.where(two == 0, 0, three)
+                total += np.bincount(((three * CLASSES + two) * CLASSES + one) * CLASSES + c[3:], minlength=len(total))
     at = np.flatnonzero(total)
     yield pd.DataFrame({"g": at, "n": total[at]})
 
 
 def letter_model(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """log P(c | a b) of letter classes over all texts, interpolated with lower orders.
+    """log P(d | a b c) of letter classes over all texts, interpolated with lower orders.
 
-    Each task sends at most 28^3 sums, and so many come to the driver.
+    Each task sends at most 28^4 sums, and so many come to the driver.
     """
     sums = docs.select(F.col(text).alias("t")).mapInPandas(_count, "g bigint, n bigint").groupBy("g").agg(
         F.sum("n").alias("n")).toPandas()
-    n = np.zeros(CLASSES ** 3)
+    n = np.zeros(CLASSES ** 4)
     n[sums["g"].to_numpy(np.int64)] = sums["n"].to_numpy(float)
-    n = n.reshape(CLASSES, CLASSES, CLASSES)
-    n[0, 0, 0] = 0
-    one = (n.sum((0, 1)) + 1) / (n.sum() + CLASSES)
-    two = (n.sum(0) + 5 * one) / (n.sum(0).sum(-1, keepdims=True) + 5)
-    return np.log((n + 5 * two) / (n.sum(-1, keepdims=True) + 5))
+    n = n.reshape((CLASSES,) * 4)
+    n[0, 0, 0, 0] = 0
+    p = (n.sum((0, 1, 2)) + 1) / (n.sum() + CLASSES)
+    for order in ((0, 1), (0,), ()):
+        c = n.sum(order)
+        p = (c + 5 * p) / (c.sum(-1, keepdims=True) + 5)
+    return np.log(p).astype(np.float32)
 
 
 def _options(c: str, n: int) -> list[tuple[str, float]]:
@@ -89,27 +94,27 @@ def _options(c: str, n: int) -> list[tuple[str, float]]:
     if c.isspace():
         return [("", 0.0), (" ", -3.0)]
     found = [(x * k, SUBSTITUTED) for x in LEET.get(c, "") for k in range(1, min(n, 2) + 1)]
-    return found + [("", DROPPED if c not in LEET else BROKEN + 2), (" ", BROKEN)]
+    return found + [("", DROPPED if c not in LEET else LOST), (" ", BROKEN)]
 
 
 def decode(token: str, model: list) -> str:
     """Most probable reading of a lower-case token; words it falls into are split by spaces."""
-    best = {(0, 0): (0.0, None)}
+    best = {(0, 0, 0): (0.0, None)}
     for run in _RUN.finditer(token):
         c, n = run.group(1), len(run.group())
         step: dict = {}
-        for (a, b), (score, path) in best.items():
+        for (x, y, z), (score, path) in best.items():
             for out, cost in _options(c, n):
-                s, x, y = score + cost, a, b
+                s, a, b, d = score + cost, x, y, z
                 for ch in out:
                     k = letter_class(ch)
-                    if not (k == 0 and y == 0):
-                        s += model[x][y][k]
-                    x, y = (0, 0) if k == 0 else (y, k)
-                if (x, y) not in step or s > step[x, y][0]:
-                    step[x, y] = (s, (path, out))
+                    if k or d:
+                        s += model[a][b][d][k]
+                    a, b, d = (b, d, k) if k else (0, 0, 0)
+                if (a, b, d) not in step or s > step[a, b, d][0]:
+                    step[a, b, d] = (s, (path, out))
         best = step
-    ends = [(s + (model[a][b][0] if b else 0.0), path) for (a, b), (s, path) in best.items()]
+    ends = [(s + (model[a][b][d][0] if d else 0.0), path) for (a, b, d), (s, path) in best.items()]
     path, out = max(ends, key=lambda e: e[0])[1], []
     while path:
         path, piece = path
@@ -129,6 +134,9 @@ class Restorer:
             if len(self.seen) >= self.keep:
                 self.seen.clear()
             core = _EDGE.sub("", t)
+            tail = t[t.rfind(core) + len(core):] if core else ""
+            if len(tail) == 1 and tail in "+$@|":
+                core += tail
             if core.isalpha() and not _REPEAT.search(core):
                 got = (core,)
             elif any(c.isalpha() for c in core):
@@ -209,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # copies of one text would make its rare words look telling
     find = _column(letters, _Features, T.ArrayType(T.IntegerType()))
     sample = sample.dropDuplicates(["t", "y"]).select("y", find("t").alias("features"))
-    return letters, linear.fit(stable(sample), "y")
+    return letters, linear.fit(stable(sample), "y", l2=0.2)
 
 
 def score_column(letters: np.ndarray, model: linear.Model):
