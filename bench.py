@@ -14,7 +14,7 @@ import time
 from courtlens.catalog import queries as catalog
 from courtlens.catalog.queries import QUERIES
 from courtlens.plans.season import SeasonTables
-from courtlens.session import build_session
+from courtlens.session import build_session, close
 from courtlens.sources import shaped
 
 CHAIN = [
@@ -60,6 +60,7 @@ def main() -> None:
         "metric": "total wall time of headline queries", "value": round(sum(times.values()), 3),
         "unit": "sec", "queries": times, "sf": os.path.basename(folder.rstrip("/")),
     }))
+    close(spark)
     spark.stop()
 
 

@@ -22,7 +22,7 @@ from courtlens.operators import ordered, resolve, shape, stats
 from courtlens.plans import credit, firstball, marts, models, playbyplay, rallies, rankings
 from courtlens.plans import replacement, roster, serving
 from courtlens.plans.season import SeasonTables
-from courtlens.session import shared_folder
+from courtlens.session import run_folder
 from courtlens.sources import readers, seasons, shaped, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -968,7 +968,7 @@ def csv_source_bundle(spark, folder):
 
     Pseudo-player lines are added on the way out and must be gone on the way in.
     """
-    out = f"{shared_folder(spark)}/courtlens/{uuid.uuid4().hex}"
+    out = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     r = shaped.roster(spark, folder)
     pseudo = r.withColumn("player", F.when(F.col("number") == 0, "TEAM").when(F.col("number") == 1, " Totals ")
                           .when(F.col("number") == 2, "Opponent Totals").otherwise("opponent"))
@@ -988,7 +988,7 @@ def csv_source_bundle(spark, folder):
   group by kind, season, team, name, detail""")
 def csv_mixed_headers(spark, folder):
     """Season files whose headers differ in order and number, with line breaks inside quotes."""
-    out = f"{shared_folder(spark)}/courtlens/{uuid.uuid4().hex}"
+    out = f"{run_folder(spark)}/{uuid.uuid4().hex}"
 
     def change(d, n):
         named = d.select(*sorted(d.columns, reverse=n % 2 == 1))
@@ -1023,7 +1023,7 @@ def csv_mixed_headers(spark, folder):
   row_number() over (partition by season order by file_row) as n from pbp""")
 def csv_log_in_file_order(spark, folder):
     """Log written to season CSV files in order and read back: every row with its number in the file."""
-    out = f"{shared_folder(spark)}/courtlens/{uuid.uuid4().hex}"
+    out = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     p = shaped.pbp(spark, folder)
     _season_files(out, p, "pbp", lambda d, n: d.orderBy("file_row").withColumnRenamed("set_no", "set").drop("file_row"))
     back = readers.read_pbp(spark, out, _seasons_of(p))
@@ -1035,7 +1035,7 @@ def csv_log_in_file_order(spark, folder):
 @query("s: season player team i: overall_rank event_rallies b: meets_volume_threshold", "select * from ranked where event_rallies >= 20")
 def saved_and_downloaded(spark, folder):
     """Rankings saved by season, read back pruned, filtered, exported as CSV and loaded again."""
-    out = f"{shared_folder(spark)}/courtlens/{uuid.uuid4().hex}"
+    out = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     ranked = tables(spark, folder).player_rankings
     sinks.save_table(ranked, out, "player_rankings")
     back = readers.table_or_build(spark, out, "player_rankings", lambda: ranked)

@@ -99,13 +99,16 @@ def name_map(raw: DataFrame, teams: DataFrame, use_aliases: bool = True) -> Data
     )
 
 
-def resolve(df: DataFrame, columns: dict[str, str], teams: DataFrame) -> DataFrame:
+def resolve(df: DataFrame, columns: dict[str, str], teams: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Add the canonical name of each raw team column (out -> source).
 
+    The distinct texts are read from ``source``, which must hold every text of ``df``; give
+    the scan that ``df`` comes from, so that what ``df`` costs is not spent twice.
+
     Every distinct raw text is cleaned and matched once; the resulting map is small
     next to the facts and comes back by a size-checked broadcast join.
     """
-    texts = df.select(F.explode(F.array(*[
+    texts = (source or df).select(F.explode(F.array(*[
         F.coalesce(F.col(s), F.lit("")) for s in columns.values()
     ])).alias("raw")).distinct()
     mapping = stable(name_map(texts, teams))

@@ -155,7 +155,7 @@ def clean_pbp(
 
     ``chunk`` is the row limit per task inside a set; 'auto' measures the largest set.
     """
-    d = N.with_missing(checked(pbp), {c: "string" for c in [*_TEXT, "contestid"]})
+    d = scan = N.with_missing(checked(pbp), {c: "string" for c in [*_TEXT, "contestid"]})
     if chunk == "auto":
         chunk = ordered.pick_chunk(_typed_keys(d), SET_KEY)
     if dedup and chunk is None and not _seasons_without_ids(d):
@@ -164,7 +164,7 @@ def clean_pbp(
         d = distinct_touches(d) if dedup else d
         d = with_contest_ids(d, negative_synthetic).dropna(subset=["contestid", "set_no"])
     d = resolve(
-        d, {"team_clean": "team", "home_clean": "home_team", "away_clean": "away_team"}, teams
+        d, {"team_clean": "team", "home_clean": "home_team", "away_clean": "away_team"}, teams, scan
     )
     d = d.withColumns({
         "player_clean": T.clean_name(F.col("player")),

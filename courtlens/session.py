@@ -40,13 +40,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application; ``close`` removes it."""
+    return f"{shared_folder(spark)}/courtlens/{spark.sparkContext.applicationId}"
+
+
+def close(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application; call it when results are saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+    """Write ``df`` as a table in the run folder and read it back.
 
     Cuts the lineage where a table is read several times or where a partition number
     must not change on recomputation. The files outlive any executor, stay columnar, and
     give Spark the true size of the table for its join choices.
     """
-    path = f"{shared_folder(df.sparkSession)}/courtlens/{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

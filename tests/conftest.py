@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from courtlens.session import build_session  # noqa: E402
+from courtlens.session import build_session, close  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,6 +16,7 @@ def spark():
     })
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    close(s)
     s.stop()
 
 
