@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from courtlens.llm import op2_toxicity, op3_host_rules, op7_packing, op9_simhash, op10_line_dedup
 from courtlens.llm.common import read
 from courtlens.llm.queries import vocabulary
-from courtlens.session import shared_folder
+from courtlens.session import run_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is written to the shared folder."""
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/courtlens/{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
