@@ -13,6 +13,7 @@ import time
 
 from courtlens.catalog import queries as catalog
 from courtlens.catalog.queries import QUERIES
+from courtlens.plans import models
 from courtlens.plans.season import SeasonTables
 from courtlens.session import build_session, close
 from courtlens.sources import shaped
@@ -52,6 +53,9 @@ def main() -> None:
         t = time.perf_counter()
         run(getattr(made, name))
         times[name] = round(time.perf_counter() - t, 3)
+    t = time.perf_counter()
+    run(models.win_probability(made.rally_table, "mlp", catalog._FITTED))
+    times["rally_win_probability_mlp"] = round(time.perf_counter() - t, 3)
     for name in DIRECT:
         t = time.perf_counter()
         run(QUERIES[name](spark, folder))

@@ -13,6 +13,8 @@ from courtlens.plans.models import ridge_by_group
 from courtlens.plans.roster import PLAYER_KEY
 from courtlens.session import stable
 
+# --- fixed values: names of published columns, in their published order ---
+
 CREDIT_COLUMNS = [
     "event_touches", "event_rallies", "raw_event_credit", "raw_base_event_credit",
     "positive_event_credit", "negative_event_credit", "mean_event_credit",
@@ -277,6 +279,7 @@ def role_audit(ranked: DataFrame, cfg: ModelConfig = DEFAULT, shares: bool = Fal
         & (c("calc_hit_pct") < cfg.low_efficiency_hit_pct),
         "low_volume_high_rank_flag": high & (c("event_rallies") < cfg.low_volume_rallies),
     })
+    # fixed values: the published texts of the reasons
     d = d.withColumn("audit_reason", T.join_reasons(
         (c("hitter_in_libero_bucket_flag"), F.lit("libero_ds label with hitter-level attack volume")),
         (c("role_mismatch_flag"), F.concat(
