@@ -53,9 +53,9 @@ with d as (select doc_id, source, coalesce(text, '') as t, regexp_extract_all(co
 w as (select doc_id, unnest(range(1, len(ws) - 1)) as i, ws from d where len(ws) >= 3),
 g as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as n from w),
 r as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where n > 1) group by doc_id),
-m as (select d.doc_id, source, cast(len(ws) as bigint) as n_words, cast(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) as bigint) as word_chars,
+m as (select d.doc_id, source, cast(len(ws) as bigint) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars,
     cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls,
     cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
   from d left join r on r.doc_id = d.doc_id),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
