@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from courtlens.llm.common import text_batches
+
 MODEL = "piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 #: Penalty of a character without a piece below the lowest score.
@@ -89,6 +91,7 @@ class Vocabulary:
         inner = any("▁" in t.lstrip("▁") for t in self.id_of)
         self.words = re.compile(r"(?s:.+)" if inner else "▁+[^▁]*|[^▁]+").findall
         self.pairs: dict[int, bool] = {}
+        self.pair, self.fit = np.array([-1], np.int64), np.array([False])
         mark = "▁".encode()
         self.out = [b"" if sp.is_control(i) else bytes([int(self.text[i][3:5], 16)]) if sp.is_byte(i)
                     else " ⁇ ".encode() if sp.is_unknown(i) else self.text[i].encode().replace(mark, b" ") for i in range(n)]
@@ -123,18 +126,27 @@ class Vocabulary:
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the merges leave these neighbours as they are; left is -1 at the start of a word, -2 after an unknown."""
         code = (left + 2) * (len(self.text) + 1) + right
-        some, back = np.unique(code, return_inverse=True)
-        known = []
-        for c in some.tolist():
-            ok = self.pairs.get(c)
-            if ok is None:
-                if len(self.pairs) >= 2_000_000:
-                    self.pairs.clear()
-                a, b = divmod(c, len(self.text) + 1)
-                two = [self.text[b]] if a < 2 else [self.text[a - 2], self.text[b]]
-                ok = self.pairs[c] = self.merged("".join(two)) == two
-            known.append(ok)
-        return np.array(known, bool)[back]
+        at = np.minimum(np.searchsorted(self.pair, code), len(self.pair) - 1)
+        ok, new = self.fit[at], np.flatnonzero(self.pair[at] != code)
+        if len(new):
+            some, back = np.unique(code[new], return_inverse=True)
+            ok[new] = np.array([self._fits(c) for c in some.tolist()], bool)[back]
+        return ok
+
+    def _fits(self, code: int) -> bool:
+        """One pair that is not among the sorted ones yet; they are taken up in lots."""
+        ok = self.pairs.get(code)
+        if ok is None:
+            a, b = divmod(code, len(self.text) + 1)
+            two = [self.text[b]] if a < 2 else [self.text[a - 2], self.text[b]]
+            ok = self.pairs[code] = self.merged("".join(two)) == two
+            if len(self.pairs) >= 4_000:
+                pair = np.concatenate([self.pair, np.fromiter(self.pairs, np.int64)])
+                fit = np.concatenate([self.fit, np.fromiter(self.pairs.values(), bool)])
+                order = np.argsort(pair)[-2_000_000:]
+                self.pair, self.fit = pair[order], fit[order]
+                self.pairs.clear()
+        return ok
 
 
 def viterbi(words: list[str], v: Vocabulary) -> list[list[int]]:
@@ -183,7 +195,7 @@ def viterbi(words: list[str], v: Vocabulary) -> list[list[int]]:
 class Codec:
     """Encoder and decoder of whole texts; ids of words are kept up to a bound."""
 
-    def __init__(self, model: bytes, keep: int = 300_000):
+    def __init__(self, model: bytes, keep: int = 200_000):
         self.v, self.keep, self.known = Vocabulary(model), keep, {}
 
     def _whole(self, ids: list[int]) -> bytes:
@@ -230,8 +242,8 @@ def encoder(model: bytes):
         for texts in parts:
             rows = list(texts)
             out = []
-            for i in range(0, len(rows), 500):
-                out.extend(codec.encode(rows[i: i + 500]))
+            for i in range(0, len(rows), 2_000):
+                out.extend(codec.encode(rows[i: i + 2_000]))
             yield pd.Series(out, dtype=object)
     return F.pandas_udf(run, T.ArrayType(T.IntegerType()))
 
@@ -245,9 +257,20 @@ def decoder(model: bytes):
     return F.pandas_udf(run, T.StringType())
 
 
-@F.pandas_udf(T.LongType())
-def _crc(ids: pd.Series) -> pd.Series:
-    return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
+def digest(model: bytes):
+    """Column function from text to (n_tokens, ids_crc32, round_trip), with one codec for both ways."""
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = Codec(model)
+        for texts in parts:
+            ids = codec.encode(list(texts))
+            yield pd.DataFrame({
+                "n_tokens": [len(x) for x in ids],
+                "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids],
+                "round_trip": [codec.decode(x) == (t or "") for x, t in zip(ids, texts)]})
+
+    kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
+                         T.StructField("round_trip", T.BooleanType())])
+    return F.pandas_udf(run, kind)
 
 
 def report(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,7 +279,4 @@ def report(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     round_trip says whether the decoded ids are the text again; a null text counts as empty.
     Repeated rows are encoded as often as they stand; an empty table gives an empty result.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(key, t.alias("__t"), encoder(model)(t).alias("__ids"))
-    return rows.select(key, F.size("__ids").cast("bigint").alias("n_tokens"), _crc("__ids").alias("ids_crc32"),
-                       (decoder(model)(F.col("__ids")) == F.col("__t")).alias("round_trip"))
+    return text_batches(docs).select(key, digest(model)(F.col(text)).alias("x")).select(key, "x.*")
