@@ -20,6 +20,15 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{table}.parquet"))
 
 
+def text_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``rows`` rows, as whole texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+    return df
+
+
 def fold(key: str, n: int) -> Column:
     """Remainder of crc32 of the key written as text; a null key falls in no fold (-1)."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % n, F.lit(-1))

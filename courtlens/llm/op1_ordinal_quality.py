@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courtlens.llm import linear
-from courtlens.llm.common import fold
+from courtlens.llm.common import fold, text_batches
 from courtlens.session import stable
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+")
@@ -50,7 +50,7 @@ def _size(share: float) -> int:
 class Features:
     """Feature numbers of texts; those of words and shapes are kept up to a bound."""
 
-    def __init__(self, wanted: Callable[[int], bool] = lambda f: True, keep: int = 300_000):
+    def __init__(self, wanted: Callable[[int], bool] = lambda f: True, keep: int = 150_000):
         self.wanted, self.keep = wanted, keep
         self.words: dict[str, tuple] = {}
         self.pairs: dict[tuple, tuple] = {}
@@ -135,6 +135,7 @@ def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     are not learnt from; repeated rows are scored as often as they stand; without usable
     labels every row gets the prior.
     """
+    docs = text_batches(docs)
     model = train(docs, rated(labels.where(fold(key, 3) != 1)), key, text)
     rows = docs.select(key, scorer(model)(F.col(text)).alias("x"))
     return rows.select(key, (fold(key, 3) == 1).alias("held_out"), "x.expected_grade", F.col("x.tails")[0].alias("score"),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courtlens.llm import linear
-from courtlens.llm.common import fold
+from courtlens.llm.common import fold, text_batches
 from courtlens.session import stable
 
 #: What a sign may stand for.
@@ -125,7 +125,7 @@ def decode(token: str, model: list) -> str:
 class Restorer:
     """Words of the restored text; readings of tokens are kept up to a bound."""
 
-    def __init__(self, model: np.ndarray, keep: int = 200_000):
+    def __init__(self, model: np.ndarray, keep: int = 100_000):
         self.model, self.keep, self.seen = model.tolist(), keep, {}
 
     def token(self, t: str) -> tuple[str, ...]:
@@ -178,7 +178,7 @@ def _column(letters: np.ndarray, per_text, kind: T.DataType):
                 for w in restorer.words(t) if t else ():
                     f = known.get(w)
                     if f is None:
-                        if len(known) >= 300_000:
+                        if len(known) >= 150_000:
                             known.clear()
                         f = known[w] = per_text.word(w)
                     if f:
@@ -211,7 +211,7 @@ class _Score:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "toxic",
           rows: int = linear.SAMPLE_ROWS) -> tuple[np.ndarray, linear.Model]:
     """Letter model of all ``docs`` and the classifier fitted to at most ``rows`` rows of ``labels``."""
-    letters = letter_model(docs, text)
+    letters = letter_model(text_batches(docs), text)
     sample = linear.labelled_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("t")),
                                     labels.select(F.col(key).alias("k"), F.col(grade).cast("int").alias("y")), "y", "k", rows)
     # copies of one text would make its rare words look telling

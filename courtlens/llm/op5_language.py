@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtlens.llm.common import fold
+from courtlens.llm.common import fold, text_batches
 
 #: Length of a profile.
 RANKS = 400
@@ -117,6 +117,6 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     nothing can be learnt. Equal distances go to the first language in order of names. Null
     keys are in no fold and are not learnt from; repeated rows count as often as they stand.
     """
-    known = profiles(docs.where((fold(key, 4) != 2) & F.col(key).isNotNull()), text, lang)
+    known = profiles(text_batches(docs).where((fold(key, 4) != 2) & F.col(key).isNotNull()), text, lang)
     rows = docs.select(key, predictor(known)(F.col(text)).alias("x"))
     return rows.select(key, (fold(key, 4) == 2).alias("held_out"), "x.lang_pred", "x.score")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtlens.llm.common import components
+from courtlens.llm.common import components, text_batches
 from courtlens.session import stable
 
 #: Links join fingerprints at this distance or less; the two-segment index is exact up to 3.
@@ -62,7 +62,7 @@ def _simhash(texts: pd.Series) -> pd.Series:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    return docs.withColumn(name, _simhash(F.col(text)))
+    return text_batches(docs).withColumn(name, _simhash(F.col(text)))
 
 
 def _hex(fp: str) -> Column:

@@ -163,3 +163,5 @@ def test_codec_columns(spark):
         ids = lib.encode(t or "")
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and got[i].round_trip
     assert sp.report(d.limit(0), model_bytes()).count() == 0
+    both = d.select("doc_id", "text", sp.encoder(model_bytes())("text").alias("ids")).withColumn("back", sp.decoder(model_bytes())("ids"))
+    assert all(r.back == (r.text or "") and len(r.ids) == got[r.doc_id].n_tokens for r in both.collect())
