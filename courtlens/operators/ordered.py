@@ -240,15 +240,16 @@ def contest_blocks(
 
 def chronological_split(
     df: DataFrame, contest: str, date_text: str, row_order: list[str], partition: list[str],
-    train: float, valid: float, date_format: str = "MM/dd/yyyy",
+    train: float, valid: float, date_formats: tuple[str, ...] = ("M/d/yyyy", "M-d-yyyy", "MMM d, yyyy"),
 ) -> DataFrame:
     """Label every contest train / valid / test by its place in time.
 
     Orders by date when at least half of the rows of a partition carry one, by
-    contest id otherwise. Result: one row per contest with ``split``. ``partition``
+    contest id otherwise. A date is what a format or the ISO form reads. Result: one row per contest with ``split``. ``partition``
     is the season, whose text form bounds the per-partition table that is broadcast.
     """
-    date = F.to_date(F.try_to_timestamp(F.col(date_text), F.lit(date_format)))
+    text = F.trim(F.col(date_text).cast("string"))
+    date = F.to_date(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in date_formats], text.try_cast("timestamp")))
     per_contest = df.groupBy(*partition, contest).agg(
         F.count(F.lit(1)).alias("__n"),
         F.count(date).alias("__dated"),

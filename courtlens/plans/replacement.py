@@ -58,11 +58,14 @@ def opportunities(pbp: DataFrame, events: list[str] = GAME_EVENTS) -> DataFrame:
     })
 
 
-def serve_episodes(pbp: DataFrame, chunk: int | None = None) -> DataFrame:
+def serve_episodes(pbp: DataFrame, chunk: int | None | str = "auto") -> DataFrame:
     """From one serve to the next: server's side and sets and attacks of both sides.
 
-    The last episode of a game is open and not counted.
+    The last episode of a game is open and not counted. ``chunk`` is the row limit per task
+    inside a game; 'auto' measures the largest game.
     """
+    if chunk == "auto":
+        chunk = ordered.pick_chunk(pbp, GAME)
     p = _playing(pbp).select(
         *GAME, "file_row", "home_team", "away_team", "team", "event",
         (F.col("event") == "Serve").cast("int").alias("is_serve"),
@@ -79,7 +82,7 @@ def serve_episodes(pbp: DataFrame, chunk: int | None = None) -> DataFrame:
     return e.join(last, GAME).filter(F.col("episode") < F.col("last_episode")).drop("last_episode")
 
 
-def team_rates(pbp: DataFrame, chunk: int | None = None) -> DataFrame:
+def team_rates(pbp: DataFrame, chunk: int | None | str = "auto") -> DataFrame:
     """Team totals per game and what follows a serve: sets, attacks, attacks after a return."""
     e = serve_episodes(pbp, chunk)
     sides = F.explode(F.array(*[
@@ -140,7 +143,7 @@ def player_rates(chances: DataFrame) -> DataFrame:
     )
 
 
-def replacement_values(pbp: DataFrame, chunk: int | None = None) -> DataFrame:
+def replacement_values(pbp: DataFrame, chunk: int | None | str = "auto") -> DataFrame:
     """Mean expected point change of a game if each other player took the player's chances."""
     rates = player_rates(opportunities(pbp))
     teams = team_rates(pbp, chunk).select(

@@ -19,8 +19,6 @@ def con(sf):
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, con, sf, name):
-    if name == "win_probability_mlp":
-        pytest.skip("fitted in test_mlp_rows")
     df = queries()[name](spark, sf)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if name not in SQL:
@@ -30,10 +28,5 @@ def test_query(spark, con, sf, name):
     assert got == rows_of([d[0] for d in cur.description], cur.fetchall())
 
 
-def test_mlp_rows(spark, sf):
-    df = queries()["win_probability_mlp"](spark, sf)
-    assert df.filter("home_wp_before between 0 and 1 and home_wp_after between 0 and 1").count() == df.count() > 0
-
-
 def test_entry(spark):
     assert entry(spark).count() > 0

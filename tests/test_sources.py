@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from courtlens.catalog.queries import fixed_curve
 from courtlens.config import DEFAULT
+from courtlens.operators import ordered
 from courtlens.plans import models
 from courtlens.sources import readers
 
@@ -61,3 +62,15 @@ def test_unfitted_seasons_keep_their_rallies(spark):
     none = models.score_mlp(rallies, {})
     assert none.count() == 45 and none.filter("home_wp_before is null and home_wp_after is null").count() == 45
     assert fixed_curve(rallies).count() == 45
+
+
+def test_split_reads_several_date_forms(spark):
+    days = [(i, f"{1 + i % 12}/{1 + i}/2023", f"2023-{1 + i % 12:02d}-{1 + i:02d}") for i in range(20)]
+    split = lambda rows: {(r.contestid, r.split) for r in ordered.chronological_split(
+        spark.createDataFrame([("s", c, d, 1) for c, d in rows], "season string, contestid int, date string, n int"),
+        "contestid", "date", ["n"], ["season"], 0.7, 0.85).collect()}
+    by_date = split([(i, a) for i, a, _ in days])
+    assert by_date == split([(i, b) for i, _, b in days])
+    by_id = split([(i, "no date") for i, _, _ in days])
+    assert by_id != by_date and {c for c, s in by_id if s == "train"} == set(range(14))
+    assert {c for c, s in by_date if s == "train"} == {i for i, _, _ in sorted(days, key=lambda x: x[2])[:14]}
