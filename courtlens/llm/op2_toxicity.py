@@ -52,19 +52,31 @@ def letter_class(c: str) -> int:
 _TABLE = np.array([letter_class(chr(i)) for i in range(0x3000)], np.int64)
 
 
-def _count(parts):
-    total = np.zeros(CLASSES ** 4, np.int64)
+def _lots(parts, size: int = 500_000) -> Iterator[str]:
+    """All texts in lots of about ``size`` characters; a longer text is cut, and a cut counts as a word boundary."""
+    held, n = [], 0
     for p in parts:
         for t in p["t"]:
-            if t:
-                u = np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4")
-                c = np.where(u < len(_TABLE), _TABLE[np.minimum(u, len(_TABLE) - 1)], 27)
-                c = np.concatenate([[0, 0, 0], c, [0]])
-                # what stands before a boundary does not matter
-                one, two, three = c[2:-1], c[1:-2], c[:-3]
-                two = np.where(one == 0, 0, two)
-                three = np.where(two == 0, 0, three)
-                total += np.bincount(((three * CLASSES + two) * CLASSES + one) * CLASSES + c[3:], minlength=len(total))
+            for at in range(0, len(t or ""), size):
+                held.append(t[at: at + size])
+                n += len(held[-1])
+                if n >= size:
+                    yield "\n".join(held)
+                    held, n = [], 0
+    yield "\n".join(held)
+
+
+def _count(parts):
+    total = np.zeros(CLASSES ** 4, np.int64)
+    for t in _lots(parts):
+        u = np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4")
+        c = np.where(u < len(_TABLE), _TABLE[np.minimum(u, len(_TABLE) - 1)], 27)
+        c = np.concatenate([[0, 0, 0], c, [0]])
+        # what stands before a boundary does not matter
+        one, two, three = c[2:-1], c[1:-2], c[:-3]
+        two = np.where(one == 0, 0, two)
+        three = np.where(two == 0, 0, three)
+        total += np.bincount(((three * CLASSES + two) * CLASSES + one) * CLASSES + c[3:], minlength=len(total))
     at = np.flatnonzero(total)
     yield pd.DataFrame({"g": at, "n": total[at]})
 
