@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courtlens.llm.common import text_batches
 from courtlens.session import stable
 
 CAPACITY = 2048
@@ -34,34 +36,47 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the word pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts of these characters split into words alike in every Unicode version.
-_COMMON = re.compile("[\x00-ɏ‐-‧]*")
+_COMMON = re.compile("[\\t-\\r\\x20-\u024f\u2010-\u2027]*")
+#: A blank between two other characters begins a word, whatever stands around it.
+_BLANK = re.compile(r"(?<=\S) (?=\S)")
+_DOUBLE = re.compile(r"\s\s")
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, as the library gives them.
+    """Ids of whole texts as little-endian bytes, as the tokenizer file gives them.
 
-    Words of common characters are encoded once and kept up to a bound; texts with other
-    characters, with special tokens or with very long words go to the library whole.
+    Texts of common characters are cut at blanks; cuts and words are encoded once and kept up
+    to a bound. Words go through the ranks of the same vocabulary, which make the same merges.
+    Texts with other characters or special tokens go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 150_000):
+        import tiktoken
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.keep, self.words = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.words: dict[str, bytes] = {}
+        self.cuts: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the file writes bytes as characters: printable ones as themselves, the others from 256 on
+        own = ByteLevel.alphabet()
+        plain = [b for b in range(256) if chr(b) in own]
+        byte = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(x for x in range(256) if x not in set(plain))}
+        ranks = {bytes(byte[c] for c in w): i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items()
+                 if w not in self.special}
+        self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if not _COMMON.fullmatch(text) or any(s in text for s in self.special):
-            return self.whole(text)
+    def _cut(self, cut: str) -> bytes:
         words, out = self.words, []
-        for w in self.find(text):
+        for w in self.find(cut):
             ids = words.get(w)
             if ids is None:
-                ids = self.whole(w)
+                ids = array("I", self.merge(w)).tobytes()
                 if len(w) <= 64:
                     if len(words) >= self.keep:
                         words.clear()
@@ -69,6 +84,25 @@ class Encoder:
             out.append(ids)
         return b"".join(out)
 
+    def __call__(self, text: str) -> bytes:
+        if not _COMMON.fullmatch(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        parts = _BLANK.split(text) if _DOUBLE.search(text) or text[-1:] == " " or text[:1] == " " else text.split(" ")
+        cuts, out, first = self.cuts, [], True
+        for c in parts:
+            if not first:
+                c = " " + c
+            first = False
+            ids = cuts.get(c)
+            if ids is None:
+                ids = self._cut(c)
+                if len(c) <= 64:
+                    if len(cuts) >= self.keep:
+                        cuts.clear()
+                    cuts[c] = ids
+            out.append(ids)
+        return b"".join(out)
+
 
 def _cut(capacity: int, path: str):
     tail = np.array([END], "<u4").tobytes()
@@ -96,7 +130,7 @@ def _cut(capacity: int, path: str):
 
 def pieces(docs: DataFrame, path: str, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
     """(k, piece, start, length, ids_crc32): documents as pieces of at most ``capacity`` tokens."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = text_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = dict(rows.dtypes)["k"]
     return rows.mapInPandas(_cut(capacity, path),
                             f"k {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
