@@ -166,6 +166,24 @@ def test_host_suffix_array(spark, shard):
     assert web.main_text(d, shard_tokens=shard).count() == len(pages) and web.main_text(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [500_000, 60])
+def test_copies_and_quotations_stay(spark, shard):
+    """Only what stands on a share of a host's distinct pages goes; copies of a page are one page."""
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    menu, quote, own = text(10), text(12), [text(20) for _ in range(16)]
+    body = [f"{menu} {o} {quote if i in (3, 7) else ''}" for i, o in enumerate(own)]
+    pages = [(i, "http://big.example/", f"<div>{b}</div>") for i, b in enumerate(body)]
+    pages += [(100 + i, "http://big.example/copy", f"<div>{body[0]}</div>") for i in range(9)]
+    pages += [(110, "http://big.example/copy", f"<p>{menu}</p><p>{own[0]}</p>")]
+    pages += [(200 + i, "http://small.example/", f"<div>{own[1]}</div>") for i in range(4)]
+    got = {r.page_id: r.text for r in web.main_text(
+        spark.createDataFrame(pages, "page_id bigint, url string, html string"), shard_tokens=shard).collect()}
+    assert all(got[i] == f"{own[i]} {quote}" if i in (3, 7) else got[i] == own[i] for i in range(16))
+    assert {got[100 + i] for i in range(9)} == {own[0]} == {got[110]} and {got[200 + i] for i in range(4)} == {own[1]}
+    assert len(got) == len(pages)
+
+
 def test_repeated_against_brute_force():
     rng = np.random.default_rng(3)
     tokens, page = rng.integers(0, 3, 400), np.sort(rng.integers(0, 9, 400))
