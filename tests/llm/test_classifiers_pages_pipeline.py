@@ -150,6 +150,30 @@ def test_declared_pages(page, text):
     assert "\n".join(own) == text
 
 
+NAMED = [
+    ("<div class='content has-sidebar'><article><p>x y</article></div>", "x y"),
+    ("<div class='elementor-widget elementor-widget-text'><article>x</article></div>", "x"),
+    ("<body class='search'><div id='page' class='no-comments'><article>x</article><p>y</p></div>", "x"),
+    ("<article class='post category-social'>x<p class='related-work'>y</p></article>", "x\ny"),
+    ("<div class='sidebar'><div class='box'><article>x</article></div></div><p>y</p>", "x"),
+    ("<form id='aspnetForm'><nav>n</nav><main>x</main></form>", "x"),
+    ("<main><h1>t</h1><div class='widget'><article>a b c</article></div></main>", "t\na b c"),
+    ("<article class='search'><p>x</p><div class='entry-content'>y</div></article>", "x\ny"),
+    ("<article>one two three<div class='related'><article>a b</article><article>c d</article></div></article>", "one two three"),
+    ("<article>a</article><ol class='comment-list'><article class='comment-body'>b c d</article></ol>", "a"),
+    ("<aside><article>teaser</article></aside><div hidden><article>old</article></div><p>x</p>", "x"),
+    ("<article>a<math><mi>x</mi><mo>=</mo><mn>2</mn></math> b<object data='f'>c</object><xmp>&lt;<i></xmp>d</article>", "ax=2 bc\n&lt;<i>\nd"),
+    ("<article>a<img class='banner' src='i'> b</article>", "a b"), ("<div class='widget'><p>a</p><p>b</p></div><nav>n</nav>", "a\nb"),
+]
+
+
+@pytest.mark.parametrize("page, text", NAMED)
+def test_badly_named_containers(page, text):
+    found = web.blocks(page)
+    own = [t for v, t in found if v > 0] or [t for v, t in found if v == 0]
+    assert "\n".join(own) == text
+
+
 @pytest.mark.parametrize("shard", [500_000, 40])
 def test_host_suffix_array(spark, shard):
     rng = random.Random(1)
