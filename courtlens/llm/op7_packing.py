@@ -4,6 +4,10 @@ Every group of pieces is packed best-fit by itself, longest first. Bins that are
 are done; the others become items of their own, and a tree of groups packs those items
 best-fit again, ``FAN_IN`` groups at a time, up to the root. A node hands on at most
 ``HANDED_ON`` bins, the emptiest ones, so neither a group nor the root grows with the input.
+The cap costs no sequence. Best-fit leaves at most one bin of a node at or below half, and two
+bins above half never go together, so a node merges at most ``FAN_IN`` bins into others. If a
+bin that was not handed on could take one of them, so could the ``HANDED_ON`` emptier ones, and
+of those no more than ``FAN_IN`` a level are used: far more are left at any depth there can be.
 The place of a piece is its place in its bin plus the places of the bins that took its bin.
 """
 
@@ -169,6 +173,11 @@ def _open(fill: np.ndarray, capacity: int) -> np.ndarray:
     return order[fill[order] < capacity - NEARLY_FULL][:HANDED_ON]
 
 
+def _dealt(p: DataFrame, groups: int) -> DataFrame:
+    """``p`` with the group of every row. The written row number spreads rows that are equal."""
+    return p.withColumn("node", F.pmod(F.xxhash64("k", "piece", "ids_crc32", "start", "row"), F.lit(groups))).drop("row")
+
+
 def _pack_group(capacity: int):
     """Bins of one group; ``bin`` counts within (level, node), ``fill`` is set for bins handed on."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -199,12 +208,11 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
     Null text is empty and is the end id alone; a document longer than ``capacity`` is cut
     so that only its first piece is shorter; repeated rows and keys are packed each for itself.
     """
-    p = stable(pieces(docs, path, key, text, capacity))
+    p = stable(pieces(docs, path, key, text, capacity).withColumn("row", F.monotonically_increasing_id()))
     rows = p.count()
     groups = max(1, -(-rows // GROUP_ROWS))
     kind = dict(p.dtypes)["k"]
-    spread = p.withColumn("node", F.pmod(F.xxhash64("k", "piece", "ids_crc32", "start"), F.lit(groups)))
-    placed = stable(spread.groupBy("node").applyInPandas(
+    placed = stable(_dealt(p, groups).groupBy("node").applyInPandas(
         _pack_group(capacity), f"k {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, node bigint,"
                                " bin bigint, offset bigint, fill bigint"))
     # (node, bin) at the first level to (top, add): the bin that holds it in the end, and its place there

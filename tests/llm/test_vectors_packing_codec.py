@@ -114,6 +114,35 @@ def test_packing_is_whole(spark, sf, monkeypatch, group):
     assert packing.pack(empty, vocabulary()).count() == 0
 
 
+def test_equal_rows_spread(spark):
+    p = spark.range(4000, numPartitions=5).selectExpr(
+        "cast(null as bigint) as k", "0 as piece", "0L as start", "1L as length", "7L as ids_crc32", "monotonically_increasing_id() as row")
+    d = packing._dealt(p, 8)
+    sizes = [r["count"] for r in d.groupBy("node").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 700 and "row" not in d.columns
+
+
+def test_bins_not_handed_on_cost_no_sequence(monkeypatch):
+    """The number of sequences with few bins handed on, and with all."""
+    rng = np.random.default_rng(4)
+
+    def sequences(groups, cap):
+        monkeypatch.setattr(packing, "HANDED_ON", cap)
+        level, done = [packing.best_fit(g, 2048)[2] for g in groups], 0
+        while len(level) > 1:
+            above = []
+            for i in range(0, len(level), 3):
+                handed = [f[packing._open(f, 2048)] for f in level[i: i + 3]]
+                done += sum(map(len, level[i: i + 3])) - sum(map(len, handed))
+                above.append(packing.best_fit(np.concatenate(handed), 2048)[2])
+            level = above
+        return done + len(level[0])
+
+    for low, high in ((1030, 1400), (1030, 2048), (1, 2049), (600, 1300), (1500, 1600)):
+        groups = [np.append(rng.integers(low, high, 300), rng.integers(1, 1025, rng.integers(0, 3))) for _ in range(27)]
+        assert sequences(groups, 20) == sequences(groups, 10**9)
+
+
 def model_bytes():
     with open(vocabulary(sp.MODEL), "rb") as f:
         return f.read()
