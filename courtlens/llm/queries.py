@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from courtlens.llm import (
     op1_ordinal_quality, op2_toxicity, op3_host_rules, op4_embedding_lsh, op5_language, op6_sentencepiece,
-    op7_packing, op8_main_text, op9_simhash, op10_line_dedup,
+    op7_packing, op8_main_text, op9_simhash, op10_line_dedup, op13_periodic_runs,
 )
 from courtlens.llm.common import read
 
@@ -134,3 +134,9 @@ g as (select distinct b.doc_id, a.p from b join a on a.doc_id = b.doc_id and a.p
 k as (select a.doc_id, string_agg(a.line, chr(10) order by a.p) as text from a where not exists (select 1 from g where g.doc_id = a.doc_id and g.p = a.p) group by a.doc_id)
 select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text, cast(coalesce(n, 0) as bigint) as n_deleted
 from documents d left join k on k.doc_id = d.doc_id left join (select doc_id, count(*) as n from g group by doc_id) n on n.doc_id = d.doc_id"""
+
+
+@query
+def op13_word_runs(spark, folder):
+    """Periodic runs of words of every document, whose tails the query makes periodic in one of ten."""
+    return op13_periodic_runs.report(read(spark, folder, "documents"))
