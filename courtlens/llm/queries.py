@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from courtlens.llm import (
     op1_ordinal_quality, op2_toxicity, op3_host_rules, op4_embedding_lsh, op5_language, op6_sentencepiece,
     op7_packing, op8_main_text, op9_simhash, op10_line_dedup, op13_periodic_runs,
+    op11_ranked_search as ranked_search, op12_warc_archive as warc_archive,
 )
 from courtlens.llm.common import read
+from courtlens.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -136,6 +139,42 @@ select d.doc_id, case when d.text is null then null else coalesce(k.text, '') en
 from documents d left join k on k.doc_id = d.doc_id left join (select doc_id, count(*) as n from g group by doc_id) n on n.doc_id = d.doc_id"""
 
 
+@query
+def op11_ranked_search(spark, folder):
+    """The ten best documents for every benchmark item."""
+    return ranked_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+CHECKS["op11_ranked_search"] = r"""
+with t as (select doc_id, row_number() over () as d, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents where text is not null),
+s as (select cast(count(*) as bigint) as n_docs, cast(sum(len(ts)) as bigint) as n_terms from t where len(ts) > 0),
+q as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w from benchmark),
+p as (select d, w, count(*) as tf from (select d, unnest(ts) as w from t) where w in (select w from q) group by d, w),
+f as (select w, count(*) as df from p group by w),
+v as (select w, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as weight from f, s),
+m as (select d, doc_id, 100 - 75 + (75 * len(ts) * n_docs) // n_terms as m from t, s),
+r as (select item_id, doc_id, d, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from q join v using (w) join p using (w) join m using (d) group by item_id, doc_id, d),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from k where rank <= 10"""
+
+
+@query
+def op12_page_archive(spark, folder):
+    """Every page as a record of a content-addressed archive, read back from it."""
+    return warc_archive.report(read(spark, folder, "pages"), f"{run_folder(spark)}/{uuid.uuid4().hex}")
+
+
+CHECKS["op12_page_archive"] = """
+with p as (select page_id, coalesce(html, '') as t from pages),
+f as (select *, min(page_id) over (partition by t) as first, strlen(t) as n from p)
+select page_id, cast(n as bigint) as payload_bytes, sha256(t) as payload_digest,
+  case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id <> first then first end as refers_to from f"""
+
+
 @query
 def op13_word_runs(spark, folder):
     """Periodic runs of words of every document, whose tails the query makes periodic in one of ten."""
