@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtlens import config
@@ -490,30 +490,75 @@ def win_probability_fixed(spark, folder):
     return tables(spark, folder).rally_win_probability
 
 
-def _sound(values):
-    """Whether fitted probabilities lie between 0 and 1 and the added value is their difference."""
-    inside = lambda c: F.col(c).between(0, 1)
-    return values.withColumns({
-        "fitted": F.col("home_wp_before").isNotNull() & F.col("home_wp_after").isNotNull(),
-        "sound": F.coalesce(inside("home_wp_before") & inside("home_wp_after")
-                            & (F.abs(F.col("home_wpa") - F.col("home_wp_after") + F.col("home_wp_before")) < 1e-12), F.lit(True)),
-    })
+_TRAINED = "exists (select 1 from split s where s.season = wp.season and s.split = 'train')"
+_FITTED_ROWS = f"select season, contestid, set_no, rally_id, {_TRAINED} as fitted, 0 as outside from wp"
 
 
-_TRAINED = "exists (select 1 from split s where s.season = wp.season and s.split = 'train')"
-_SOUND = f"select season, contestid, set_no, rally_id, {_TRAINED} as fitted, true as sound from wp"
+def _fitted(values):
+    """Whether a rally has a model, and how far its chances lie outside 0 to 1 or the added value off their difference."""
+    beyond = lambda c: F.greatest(F.lit(0.0), -F.col(c), F.col(c) - 1)
+    gap = F.abs(F.col("home_wpa") - F.col("home_wp_after") + F.col("home_wp_before"))
+    return values.withColumns({
+        "fitted": F.col("home_wp_before").isNotNull() & F.col("home_wp_after").isNotNull(),
+        "outside": F.coalesce(beyond("home_wp_before") + beyond("home_wp_after") + gap, F.lit(0.0))})
 
 
-@query("s: season i: contestid set_no rally_id b: fitted sound", _SOUND)
+@query("s: season i: contestid set_no rally_id b: fitted d: outside", _FITTED_ROWS)
 def win_probability_logistic(spark, folder):
-    """Every rally, whether its season has a model, and the laws its values obey."""
-    return _sound(tables(spark, folder, "logistic").rally_win_probability)
+    """Every rally and whether its season has a model."""
+    return _fitted(tables(spark, folder, "logistic").rally_win_probability)
 
 
-@query("s: season i: contestid set_no rally_id b: fitted sound", _SOUND)
+@query("s: season i: contestid set_no rally_id b: fitted d: outside", _FITTED_ROWS)
 def win_probability_mlp(spark, folder):
     """As the logistic one, for the perceptron."""
-    return _sound(tables(spark, folder, "mlp").rally_win_probability)
+    return _fitted(tables(spark, folder, "mlp").rally_win_probability)
+
+
+def _residuals(df):
+    """Residuals to three places, and no negative zero."""
+    return df.withColumn("residual", F.round("residual", 3) + F.lit(0.0))
+
+
+def _zero(keys: str, rows: str, inputs: list[str]) -> str:
+    names = ", ".join(f"'{i}'" for i in ["intercept", *inputs])
+    return f"select {keys}, input, 0.0 as residual from ({rows}) g cross join (select unnest([{names}]) as input) n"
+
+
+@query("s: season input d: residual", _zero("season", "select distinct season from split where split = 'train'", models.WP_INPUTS))
+def win_probability_optimum(spark, folder):
+    """The gradient of the penalised loss of every season's logistic model, which is 0 at the only optimum."""
+    t = tables(spark, folder, "logistic")
+    train = models.training_rows(t.rally_table, t.cfg)
+    return _residuals(models.optimality(train, models.fit_logistic(train, t.cfg), ["season"], {
+        c: F.col(c) for c in models.WP_INPUTS}, F.col("label"), len(models.WP_FEATURES)))
+
+
+_STATES = f"""select season, home_match_win as y, count(*) over (partition by season) as n, sum(home_match_win) over (partition by season) as won,
+  avg(home_match_win) over (partition by season, set_no, home_sets_before, away_sets_before, score_home_start, score_away_start, server_side) as p
+  from wp join split using (season, contestid) where split = 'train' and point_delta_total = 1"""
+_BOUNDS = f"""select season, count(*) as rows, avg(-(y * ln(won / n) + (1 - y) * ln(1 - won / n))) as base_loss,
+  avg(case when p > 0 and p < 1 then -(y * ln(p) + (1 - y) * ln(1 - p)) else 0 end) as least_loss, 0 as outside from ({_STATES}) z group by season"""
+
+
+@query("s: season i: rows d: base_loss least_loss outside", _BOUNDS)
+def win_probability_mlp_loss(spark, folder):
+    """The training loss of the perceptron against the rate of the season and the rates of all states, between which it lies."""
+    t = tables(spark, folder, "mlp")
+    state = ["season", "set_no", "home_sets_before", "away_sets_before", "score_home_start", "score_away_start", "server_side"]
+    train = models.valid_rallies(t.rally_table).join(
+        models.time_split(models.valid_rallies(t.rally_table), t.cfg).where("split = 'train'"), ["season", "contestid"])
+    d = train.select(*playbyplay.RALLY_KEY, *state[2:6], "server_side").join(
+        t.rally_win_probability.select(*playbyplay.RALLY_KEY, "home_match_win", "home_wp_before"), playbyplay.RALLY_KEY)
+    y, q = F.col("home_match_win"), F.col("home_wp_before")
+    g = d.groupBy(*state).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("won"),
+                              F.sum(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("loss"))
+    part = lambda p, n: -n * F.when((p > 0) & (p < 1), p * F.log(p) + (1 - p) * F.log(1 - p)).otherwise(0.0)
+    g = g.withColumn("least", part(F.col("won") / F.col("n"), F.col("n"))).groupBy("season").agg(
+        F.sum("n").alias("rows"), F.sum("won").alias("won"), F.sum("loss").alias("loss"), F.sum("least").alias("least"))
+    per_row = {"base_loss": part(F.col("won") / F.col("rows"), F.col("rows")), "least_loss": F.col("least"), "loss": F.col("loss")}
+    g = g.withColumns({c: v / F.col("rows") for c, v in per_row.items()})
+    return g.withColumn("outside", F.greatest(F.lit(0.0), F.col("loss") - F.col("base_loss"), F.col("least_loss") - F.col("loss")))
 
 
 @query("s: season i: rows won", """select w.season, count(*) as rows, cast(sum(home_match_win) as bigint) as won from wp w
@@ -544,11 +589,14 @@ def classifier_metrics(spark, folder):
     return tables(spark, folder).win_probability_metrics
 
 
-@query("s: season split i: rows d: positive_rate b: sound", f"select season, split, rows, positive_rate, true as sound from ({_METRICS}) m")
+@query("s: season split i: rows d: positive_rate outside", f"select season, split, rows, positive_rate, 0 as outside from ({_METRICS}) m")
 def win_probability_metrics_logistic(spark, folder):
+    """Rows and rates of the fitted curve; its metrics lie in their ranges, and the training loss under that of the rate."""
     m = tables(spark, folder, "logistic").win_probability_metrics
-    return m.withColumn("sound", (F.col("log_loss") > 0) & F.col("brier").between(0, 1)
-                        & F.coalesce(F.col("auc").between(0, 1), F.lit(True)))
+    p, beyond = F.col("positive_rate"), lambda c: F.coalesce(F.greatest(F.lit(0.0), -F.col(c), F.col(c) - 1), F.lit(0.0))
+    base = F.when((p > 0) & (p < 1), -(p * F.log(p) + (1 - p) * F.log(1 - p))).otherwise(0.0)
+    worse = F.when(F.col("split") == "train", F.greatest(F.lit(0.0), F.col("log_loss") - base)).otherwise(0.0)
+    return m.withColumn("outside", worse + beyond("brier") + beyond("auc"))
 
 
 @query("s: season i: sf_rows distinct_rows", """select season, least(300, count(*)) as sf_rows, least(300, count(*)) as distinct_rows
@@ -627,12 +675,13 @@ def serve_receive_value(spark, folder):
     return tables(spark, folder).passers
 
 
-@query("s: season team_clean player_clean i: sr_attempts sr_reception_errors b: sound", "select *, true as sound from sr")
+@query("s: season i: passers sr_attempts sr_reception_errors d: expected", """select season, count(*) as passers, sum(sr_attempts) as sr_attempts,
+  sum(sr_reception_errors) as sr_reception_errors, round(sum(sr_reception_errors), 3) as expected from sr group by season""")
 def serve_receive_value_fitted(spark, folder):
-    """Passer table with fitted expectations: counts, and values that are numbers and shrink towards the mean."""
-    p = tables(spark, folder, "logistic").passers
-    return p.withColumn("sound", ~F.isnan("sr_value_total") & F.col("sr_shrunk_value").isNotNull()
-                        & F.col("sr_expected_reception_errors").between(0, F.col("sr_attempts")))
+    """Passer table with fitted expectations: with a free intercept the expected errors of a season add up to the errors."""
+    return tables(spark, folder, "logistic").passers.groupBy("season").agg(
+        F.count(F.lit(1)).alias("passers"), F.sum("sr_attempts").alias("sr_attempts"), F.sum("sr_reception_errors").alias("sr_reception_errors"),
+        F.round(F.sum("sr_expected_reception_errors"), 3).alias("expected"))
 
 
 _OUTCOMES = "select season, target, cast(y as double) as y from (" + " union all ".join(
@@ -646,6 +695,20 @@ def expected_outcome_models(spark, folder):
     return models.fit_outcomes(t.receive_attempts, serving.SR_TARGETS, serving.SR_FEATURES, playbyplay.RALLY_KEY, t.cfg)
 
 
+@query("s: season target input d: residual", _zero("season, target", f"""select season, target from ({_OUTCOMES}) o
+  group by season, target having count(*) >= 50 and count(distinct y) = 2""", serving.SR_FEATURES))
+def expected_outcome_optimum(spark, folder):
+    """The gradient of the penalised loss of every outcome model, which is 0 at the only optimum."""
+    t = tables(spark, folder, "logistic")
+    att = t.receive_attempts
+    fits = models.fit_outcomes(att, serving.SR_TARGETS, serving.SR_FEATURES, playbyplay.RALLY_KEY, t.cfg.but(aux_max_rows=0))
+    x = {c: N.finite_or_zero(F.col(c)) for c in serving.SR_FEATURES}
+    rows = att.select("season", *[c.alias(n) for n, c in x.items()], F.explode(F.array(*[
+        F.struct(F.lit(g).alias("target"), F.col(g).cast("double").alias("y")) for g in serving.SR_TARGETS])).alias("t")).select(
+        "season", "t.*", *x)
+    return _residuals(models.optimality(rows, fits.where("kind = 'logistic'"), ["season", "target"], {c: F.col(c) for c in x}, F.col("y")))
+
+
 @query("s: season target i: rows d: positive_rate mean_expected", f"""select season, target, count(*) as rows, avg(y) as positive_rate,
   round(avg(y), 4) as mean_expected from ({_OUTCOMES}) o group by season, target""")
 def expected_outcome_metrics(spark, folder):
@@ -686,19 +749,35 @@ def player_rankings(spark, folder):
     return tables(spark, folder).player_rankings
 
 
-@query(_KEY + "role_family b: sound", "select *, true as sound from ranked")
+@query("s: season role_family i: players misplaced d: outside", "select season, role_family, count(*) as players, 0 as misplaced, 0 as outside from ranked group by season, role_family")
 def player_rankings_fitted(spark, folder):
-    """Rankings with fitted win probability, expected outcomes and ridge: players, roles, and ranks that follow scores."""
+    """Rankings with fitted win probability, outcomes and ridge: players, ranks that differ from a plain window's, scores outside 0 to 100."""
     r = tables(spark, folder, "logistic").player_rankings
-    best = r.groupBy("season").agg(F.max("overall_score").alias("top"), F.max("overall_rank").alias("last"),
-                                   F.count_distinct("overall_rank").alias("ranks"))
-    return r.join(best, "season").withColumn("sound", F.col("overall_score").between(0, 100)
-        & ((F.col("overall_rank") > 1) | (F.abs(F.col("overall_score") - F.col("top")) < 1e-9)) & (F.col("last") == F.col("ranks")))
+    by = lambda *keys: F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("final_value_z", 12))))
+    wrong = (F.col("overall_rank") != by("season")) | (F.col("role_rank") != by("season", "role_family"))
+    d = r.withColumns({"wrong": wrong, "beyond": F.greatest(F.lit(0.0), -F.col("overall_score"), F.col("overall_score") - 100)})
+    return d.groupBy("season", "role_family").agg(
+        F.count(F.lit(1)).alias("players"), F.count_if("wrong").alias("misplaced"), F.sum("beyond").alias("outside"))
 
 
-@query("s: season role_family kind i: train_rows d: alpha")
+@query("s: season role_family kind i: train_rows d: off_grid", """select season, role_family, case when count_if(event_rallies >= 5) >= 10 then 'ridge_cv' else 'role_mean' end as kind,
+  count_if(event_rallies >= 5) as train_rows, 0 as off_grid from ranked group by season, role_family""")
 def tabular_models(spark, folder):
-    return tables(spark, folder, "logistic").tabular_models
+    """Kind and training rows of the ridge of every role, and how far its penalty lies from the grid."""
+    m = tables(spark, folder, "logistic").tabular_models
+    grid = F.array_min(F.transform(F.array(*map(F.lit, models.ALPHAS)), lambda a: F.abs(a - F.col("alpha"))))
+    return m.withColumn("off_grid", F.coalesce(grid, F.lit(0.0)))
+
+
+@query("s: season role_family input d: residual", _zero("season, role_family", """select season, role_family from ranked
+  where event_rallies >= 5 group by season, role_family having count(*) >= 10""", rankings.TABULAR_FEATURES))
+def tabular_optimum(spark, folder):
+    """The normal equations of every role's ridge at its penalty."""
+    t = tables(spark, folder, "logistic")
+    rows = t.impact_rows.where(F.col("event_rallies") >= t.cfg.tabular_min_rallies)
+    inputs = {c: N.finite_or_zero(F.col(c)) for c in rankings.tabular_inputs(rows)}
+    return _residuals(models.optimality(rows, t.tabular_models, ["season", "role_family"], inputs, F.col("shrunk_event_value"),
+                                        linear=True, penalty=F.col("alpha")))
 
 
 @query(_KEY + "role_family i: role_rank overall_rank d: overall_score", """select * from (select *, row_number() over (partition by season, role_family

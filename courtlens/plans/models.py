@@ -1,28 +1,24 @@
 """Win probability, expected outcomes and the season-stat ridge.
 
-Fits run on bounded input: the training caps are part of the method, and the scoreboard
-model first combines rallies with equal state. Scoring is always a Column expression or
-an ML transform over the full data.
+All models of a kind are fitted at once by sums over their rows (``operators/optimise.py``); the
+training caps are part of the method and 0 lifts them. The scoreboard models first combine rallies with equal
+state. Scoring is a Column expression over the full data, or one pass over the distinct states.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle, inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtlens.config import DEFAULT, SEED, WP_FEATURES, ModelConfig
 from courtlens.functions import numeric as N
-from courtlens.operators import ordered, shape, stats
+from courtlens.operators import optimise, ordered, shape, stats
 from courtlens.plans.playbyplay import RALLY_KEY
 from courtlens.session import stable
 
@@ -108,62 +104,63 @@ def wp_states(train: DataFrame) -> DataFrame:
     return train.groupBy("season", "label", *WP_INPUTS).agg(F.count(F.lit(1)).alias("w"))
 
 
+def _state_blocks(states: DataFrame):
+    return optimise.blocks(states, "season", [F.col(c) for c in WP_INPUTS], [F.col("label")], F.col("w"))
+
+
+def _seasons(states: DataFrame) -> list[str]:
+    """Season texts are checked on the way in, so there are at most 10,000."""
+    return [r["season"] for r in states.select("season").distinct().collect()]
+
+
 def fit_logistic(train: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
-    """L2 logistic (C = 1) per season on standardised inputs.
+    """L2 logistic (C = 1) per season on standardised inputs, all seasons at once.
 
-    Returns one row per season with intercept and coefficients on the raw scale. With a
-    training cap the states of a season are a bounded group, and all seasons are fitted
-    in parallel in one job; without a cap each season is fitted by the distributed trainer.
+    Returns one row per season with intercept and coefficients on the raw scale. Rallies of equal state are one
+    weighted row; a round of the fit is one sum over the states, with or without a training cap.
     """
-    if cfg.wp_max_rallies <= 0:
-        return fit_logistic_distributed(train, cfg)
-    k = len(WP_FEATURES)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w = pdf[WP_INPUTS].to_numpy(), pdf["w"].to_numpy().astype(float)
-        mean, sd = np.zeros(x.shape[1]), np.ones(x.shape[1])
-        mean[:k] = np.average(x[:, :k], axis=0, weights=w)
-        var = np.average((x[:, :k] - mean[:k]) ** 2, axis=0, weights=w)
-        sd[:k] = np.where(var > 1e-24, np.sqrt(var), 1.0)
-        b = newton_logistic((x - mean) / sd, pdf["label"].to_numpy(), w)
-        raw = b[1:] / sd
-        return pd.DataFrame([{
-            "season": pdf["season"].iloc[0], "intercept": float(b[0] - (raw * mean).sum()),
-            "coefficients": [float(v) for v in raw],
-        }])
-
-    return wp_states(train).groupBy("season").applyInPandas(
-        fit, "season string, intercept double, coefficients array<double>"
-    )
+    states = stable(wp_states(train))
+    data = _state_blocks(states)
+    scale = optimise.scales(data, _seasons(states), len(WP_INPUTS), len(WP_FEATURES))
+    fits = optimise.logistic(data, scale, {k: [0] for k in scale}, rounds=cfg.logistic_max_iter)
+    data.unpersist()
+    return train.sparkSession.createDataFrame(
+        [(season, f.intercept, f.coefficients) for (season, _), f in sorted(fits.items())],
+        "season string, intercept double, coefficients array<double>")
 
 
-def fit_logistic_distributed(train: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
-    """The same fit with one distributed trainer run per season."""
-    states = wp_states(train).cache()
-    scale = train.groupBy("season").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"m_{c}") for c in WP_FEATURES],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in WP_FEATURES],
-    ).orderBy("season").collect()
-    rows = []
-    for r in scale:
-        mean = np.array([r[f"m_{c}"] for c in WP_FEATURES] + [0.0] * len(SIDES))
-        sd = np.array([r[f"s_{c}"] or 1.0 for c in WP_FEATURES] + [1.0] * len(SIDES))
-        scaled = states.filter(F.col("season") == r["season"]).select(
-            "label", "w",
-            *[((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(WP_INPUTS, mean, sd)],
-        )
-        vectors = VectorAssembler(inputCols=WP_INPUTS, outputCol="features").transform(scaled)
-        model = LogisticRegression(
-            weightCol="w", regParam=1.0 / r["n"], elasticNetParam=0.0, standardization=False,
-            maxIter=cfg.logistic_max_iter, tol=1e-9, family="binomial",
-        ).fit(vectors)
-        raw = np.asarray(model.coefficients.toArray()) / sd
-        rows.append((r["season"], float(model.intercept - (raw * mean).sum()), [float(v) for v in raw]))
-    states.unpersist()
-    return train.sparkSession.createDataFrame(
-        rows, "season string, intercept double, coefficients array<double>"
-    )
+def optimality(
+    rows: DataFrame, models: DataFrame, keys: list[str], inputs: dict[str, Column], label: Column,
+    scaled: int | None = None, linear: bool = False, penalty: Column | float = 1.0,
+) -> DataFrame:
+    """(keys, input, residual): the gradient of the penalised loss of each model at its training rows.
+
+    On scaled inputs it is sum (prediction - label) * input + penalty * coefficient, without the last part for the
+    intercept. The loss is convex, so all residuals are 0 at the optimum and nowhere else. ``models`` has
+    (keys, intercept, coefficients) on the raw scale, at most one row per season, role or target; groups
+    without coefficients are left out. None of the fitting code is used here.
+    """
+    names = list(inputs)
+    scaled = len(names) if scaled is None else scaled
+    at = lambda c, i: F.get(F.col(c), F.lit(i))
+    d = rows.select(*keys, label.cast("double").alias("y"), F.array(*[c.cast("double") for c in inputs.values()]).alias("x"))
+    scale = d.groupBy(*keys).agg(
+        F.array(*[F.avg(at("x", i)) if i < scaled else F.lit(0.0) for i in range(len(names))]).alias("mean"),
+        F.array(*[F.stddev_pop(at("x", i)) if i < scaled else F.lit(1.0) for i in range(len(names))]).alias("sd"))
+    scale = scale.withColumn("sd", F.zip_with(
+        "sd", "mean", lambda s, m: F.when(s > 1e-12 * F.greatest(F.lit(1.0), F.abs(m)), s).otherwise(1.0)))
+    penalty = F.lit(penalty) if isinstance(penalty, float) else penalty
+    fitted = models.where("coefficients is not null").select(*keys, "intercept", "coefficients", penalty.alias("penalty"))
+    known = stable(scale.join(fitted, keys))
+    d = d.join(F.broadcast(known), keys)
+    z = F.col("intercept") + dot(F.col("coefficients"), [at("x", i) for i in range(len(names))])
+    d = d.withColumn("miss", (z if linear else sigmoid(z)) - F.col("y"))
+    sums = d.groupBy(*keys).agg(F.sum("miss").alias("intercept"), *[
+        F.sum(F.col("miss") * (at("x", i) - at("mean", i)) / at("sd", i)).alias(n) for i, n in enumerate(names)])
+    sums = sums.join(F.broadcast(known.drop("intercept")), keys)
+    return sums.select(*keys, "intercept", *[
+        (F.col(n) + F.col("penalty") * at("coefficients", i) * at("sd", i)).alias(n) for i, n in enumerate(names)
+    ]).unpivot(keys, ["intercept", *names], "input", "residual")
 
 
 def score_logistic(rallies: DataFrame, models: DataFrame) -> DataFrame:
@@ -176,57 +173,34 @@ def score_logistic(rallies: DataFrame, models: DataFrame) -> DataFrame:
     return d.withColumns(p).drop("intercept", "coefficients")
 
 
-def fit_mlp(train: DataFrame, cfg: ModelConfig = DEFAULT, parallelism: int = 4) -> dict:
-    """Perceptron per season: season -> (model, means, deviations).
+def fit_mlp(train: DataFrame, cfg: ModelConfig = DEFAULT) -> dict[str, optimise.Network]:
+    """Perceptron with rectified units per season, trained by Adam with early stop on the distinct states."""
+    states = stable(wp_states(train))
+    data = _state_blocks(states)
+    scale = optimise.scales(data, _seasons(states), len(WP_INPUTS), len(WP_FEATURES))
+    nets = optimise.networks(data, scale, cfg.mlp_hidden, cfg.mlp_max_iter, SEED)
+    data.unpersist()
+    return nets
 
-    Seasons are fitted side by side. A season is at most the training cap, so it is
-    packed into few partitions to keep the many passes of the optimiser short.
-    """
-    scale = train.groupBy("season").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"m_{c}") for c in WP_FEATURES],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in WP_FEATURES],
-    ).orderBy("season").collect()
-
-    def fit(r):
-        means = [r[f"m_{c}"] for c in WP_FEATURES]
-        sds = [r[f"s_{c}"] or 1.0 for c in WP_FEATURES]
-        season = train.filter(F.col("season") == r["season"])
-        vectors = _mlp_vectors(season, {c: F.col(c) for c in WP_INPUTS}, means, sds, "label")
-        packed = vectors.coalesce(1 + r["n"] // 50_000).cache()
-        model = MultilayerPerceptronClassifier(
-            layers=[len(WP_INPUTS), *cfg.mlp_hidden, 2], maxIter=cfg.mlp_max_iter, seed=SEED,
-        ).fit(packed)
-        packed.unpersist()
-        return r["season"], (model, means, sds)
-
-    with ThreadPool(parallelism) as pool:
-        return dict(pool.map(inheritable_thread_target(train.sparkSession)(fit), scale))
-
-
-def _mlp_vectors(df, inputs: dict[str, Column], means, sds, *keep: str) -> DataFrame:
-    scaled = {c: (inputs[c] - float(m)) / float(s) for c, m, s in zip(WP_FEATURES, means, sds)}
-    cols = [scaled.get(c, inputs[c]).alias(f"x_{c}") for c in WP_INPUTS]
-    flat = df.select(*keep, *cols)
-    names = [f"x_{c}" for c in WP_INPUTS]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(flat).drop(*names)
-
-
-def score_mlp(rallies: DataFrame, models: dict) -> DataFrame:
+
+def score_mlp(rallies: DataFrame, nets: dict[str, optimise.Network]) -> DataFrame:
     """As ``score_logistic`` for the perceptrons; each distinct scoreboard state is scored once.
 
     Rallies of seasons without a model stay, with null probabilities.
     """
     sides = ("before", "after")
+    shared = rallies.sparkSession.sparkContext.broadcast(nets)
+
+    def run(season: pd.Series, state: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=season.index)
+        for s, rows in state.groupby(season):
+            if s in shared.value:
+                out[rows.index] = optimise.chance(shared.value[s], np.stack(rows.to_numpy()))
+        return out.astype(object).where(out.notna(), None)
+
     d = rallies.withColumns({f"__{s}": F.array(*wp_state(s).values()) for s in sides})
     states = d.select("season", F.explode(F.array(*[f"__{s}" for s in sides])).alias("state")).distinct()
-    states = stable(states)
-    scored = [states.limit(0).withColumn("p", F.lit(0.0))]
-    for season, (model, means, sds) in models.items():
-        v = _mlp_vectors(states.filter(F.col("season") == season), {c: F.col("state")[i] for i, c in enumerate(WP_INPUTS)},
-                         means, sds, "season", "state")
-        scored.append(model.transform(v).select("season", "state", vector_to_array("probability")[1].alias("p")))
-    known = stable(shape.union_all(scored))
+    known = stable(states.withColumn("p", F.pandas_udf(run, "double")("season", "state")))
     for s in sides:
         named = known.select("season", F.col("state").alias(f"__{s}"), F.col("p").alias(f"home_wp_{s}"))
         d = d.join(named, ["season", f"__{s}"], "left")
@@ -278,78 +252,35 @@ def win_probability_metrics(
 
 # --- expected outcomes ------------------------------------------------------
 
-def newton_logistic(
-    x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, steps: int = 60
-) -> np.ndarray:
-    """Minimise weighted log-loss + |beta|^2 / 2 with a free intercept (first coefficient)."""
-    w = np.ones(len(x)) if w is None else w
-    a = np.column_stack([np.ones(len(x)), x])
-    penalty = np.ones(a.shape[1])
-    penalty[0] = 0.0
-    b = np.zeros(a.shape[1])
-
-    def loss(b):
-        z = a @ b
-        return w @ np.logaddexp(0.0, z) - (w * y) @ z + 0.5 * (penalty * b * b).sum()
-
-    now = loss(b)
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-(a @ b)))
-        grad = a.T @ (w * (p - y)) + penalty * b
-        hess = (a * (w * p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-12)
-        step = np.linalg.solve(hess, grad)
-        t = 1.0
-        while loss(b - t * step) > now and t > 1e-6:
-            t /= 2
-        b = b - t * step
-        new = loss(b)
-        if abs(now - new) < 1e-11 * max(1.0, abs(now)):
-            break
-        now = new
-    return b
-
-
 def fit_outcomes(
     rows: DataFrame, targets: list[str], features: list[str], row_key: list[str],
     cfg: ModelConfig = DEFAULT,
 ) -> DataFrame:
-    """One model per (season, target), all fitted in parallel on at most the cap of rows.
+    """One model per (season, target), all fitted at once on at most the cap of rows, or on all (cap 0).
 
-    Small or one-class samples get their mean instead. Coefficients are on the raw scale.
+    Small or one-class samples get their mean instead. Coefficients are on the raw scale. A row
+    is held once for all of its targets.
     """
-    if cfg.aux_max_rows <= 0:
-        raise ValueError("aux_max_rows bounds the rows of a fit and must be positive")
-    sample = shape.sample_rows(rows, row_key, cfg.aux_max_rows, ["season"])
-    stacked = sample.select(
-        "season",
-        F.explode(F.array(*[
-            F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets
-        ])).alias("t"),
-        F.array(*[N.finite_or_zero(F.col(c)) for c in features]).alias("x"),
-    ).select("season", "t.target", "t.y", "x")
-    k, least = len(features), cfg.aux_min_rows
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf["y"].to_numpy()
-        head = {"season": pdf["season"].iloc[0], "target": pdf["target"].iloc[0],
-                "train_rows": len(y), "positive_rate": float(y.mean())}
-        if len(y) < least or len(np.unique(y)) < 2:
-            return pd.DataFrame([{**head, "kind": "mean", "constant": float(y.mean()),
-                                  "intercept": 0.0, "coefficients": [0.0] * k}])
-        x = np.stack(pdf["x"].to_numpy())
-        mean, sd = x.mean(axis=0), x.std(axis=0)
-        sd = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(mean)), sd, 1.0)
-        b = newton_logistic((x - mean) / sd, y)
-        raw = b[1:] / sd
-        return pd.DataFrame([{**head, "kind": "logistic", "constant": None,
-                              "intercept": float(b[0] - (raw * mean).sum()),
-                              "coefficients": [float(v) for v in raw]}])
-
-    return stacked.groupBy("season", "target").applyInPandas(
-        fit,
-        "season string, target string, train_rows bigint, positive_rate double, kind string, "
-        "constant double, intercept double, coefficients array<double>",
-    )
+    sample = shape.sample_rows(rows, row_key, cfg.aux_max_rows, ["season"]) if cfg.aux_max_rows > 0 else rows
+    x = [N.finite_or_zero(F.col(c)) for c in features]
+    sample = stable(sample.select("season", *[c.alias(f) for c, f in zip(x, features)],
+                                  *[F.col(t).cast("double").alias(t) for t in targets]))
+    data = optimise.blocks(sample, "season", [F.col(c) for c in features], [F.col(t) for t in targets], F.lit(1.0))
+    k = len(features)
+    scale = optimise.scales(data, _seasons(sample), k, k)
+    fitted = lambda s, t: s.n >= cfg.aux_min_rows and 0 < s.positive[t] < s.n
+    fits = optimise.logistic(data, scale, {
+        season: [t for t in range(len(targets)) if fitted(s, t)] for season, s in scale.items()}, rounds=cfg.logistic_max_iter)
+    data.unpersist()
+    out = []
+    for season, s in sorted(scale.items()):
+        for t, target in enumerate(targets):
+            rate, f = float(s.positive[t] / s.n), fits.get((season, t))
+            out.append((season, target, int(s.n), rate, "logistic" if f else "mean", None if f else rate,
+                        f.intercept if f else 0.0, f.coefficients if f else [0.0] * k))
+    return rows.sparkSession.createDataFrame(
+        out, "season string, target string, train_rows bigint, positive_rate double, kind string, "
+             "constant double, intercept double, coefficients array<double>")
 
 
 def expected_outcomes(
@@ -488,4 +419,4 @@ def ridge_by_group(
     ).withColumn(out, F.coalesce(F.col("intercept") + product, F.col("__mean"))).drop(
         "__mean", "intercept", "coefficients"
     )
-    return scored, models.select(*keys, "kind", "train_rows", "alpha")
+    return scored, models.select(*keys, "kind", "train_rows", "alpha", "intercept", "coefficients")

@@ -175,18 +175,25 @@ def player_values(
     )
 
 
-def rankings(
+def impact_rows(
     features: DataFrame, credit: DataFrame, receive: DataFrame | None, cfg: ModelConfig = DEFAULT
-) -> tuple[DataFrame, DataFrame]:
-    """Final scores and ranks per season, and the ridge model chosen for each role."""
-    d = with_shrunk_impact(with_basic_rates(player_values(features, credit, receive, cfg)), cfg)
-    d = stable(d)
+) -> DataFrame:
+    """One written row per player and season with rates and shrunk impact: the input of the ridge and the scores."""
+    return stable(with_shrunk_impact(with_basic_rates(player_values(features, credit, receive, cfg)), cfg))
+
+
+def tabular_inputs(d: DataFrame) -> list[str]:
+    return [c for c in TABULAR_FEATURES if c in d.columns]
+
+
+def rankings(d: DataFrame, cfg: ModelConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Final scores and ranks per season of ``impact_rows``, and the ridge model chosen for each role."""
     d, models = ridge_by_group(
-        d, ["season", "role_family"], [c for c in TABULAR_FEATURES if c in d.columns],
+        d, ["season", "role_family"], tabular_inputs(d),
         "shrunk_event_value", F.col("event_rallies") >= cfg.tabular_min_rallies,
         "tabular_pred_value", cfg.tabular_min_players,
     )
-    return stable(with_ranks(with_scores(d, cfg))), models
+    return stable(with_ranks(with_scores(d, cfg))), stable(models)
 
 
 def with_scores(d: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from courtlens.config import DEFAULT, ModelConfig
+from courtlens.functions.text import clean_team
 from courtlens.operators import ordered
 from courtlens.plans import credit, firstball, models, playbyplay, rallies, rankings, roster, serving
 from courtlens.session import stable
@@ -23,7 +26,7 @@ class SeasonTables:
 
     def __init__(
         self, players: DataFrame, player_match: DataFrame, team_match: DataFrame, pbp: DataFrame,
-        cfg: ModelConfig = DEFAULT, wp_model = "mlp", materialize: bool = True,
+        cfg: ModelConfig = DEFAULT, wp_model: str | Callable[[DataFrame], DataFrame] = "mlp", materialize: bool = True,
     ):
         self.players, self.player_box, self.team_box, self.pbp = players, player_match, team_match, pbp
         self.cfg, self.wp_model = cfg, wp_model
@@ -47,9 +50,6 @@ class SeasonTables:
 
     @cached_property
     def team_strength(self) -> DataFrame:
-        from courtlens.functions.text import clean_team
-        from pyspark.sql import functions as F
-
         named = self.team_box.withColumn("team_clean", clean_team(F.col("team")))
         return self._keep(roster.team_strength(named, self.player_master))
 
@@ -155,11 +155,15 @@ class SeasonTables:
         return serving.with_player_display(self.passers, self.player_season_features)
 
     @cached_property
-    def _ranked(self) -> tuple[DataFrame, DataFrame]:
-        return rankings.rankings(
+    def impact_rows(self) -> DataFrame:
+        return rankings.impact_rows(
             self.player_season_features, self.player_event_credit, self.passers, self.cfg
         )
 
+    @cached_property
+    def _ranked(self) -> tuple[DataFrame, DataFrame]:
+        return rankings.rankings(self.impact_rows, self.cfg)
+
     @property
     def player_rankings(self) -> DataFrame:
         return self._ranked[0]

@@ -3,41 +3,132 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtlens.config import DEFAULT
-from courtlens.operators import stats
+from courtlens.operators import optimise, stats
 from courtlens.plans import models, rankings
 
 
-def test_newton_reaches_the_optimum():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 3))
-    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1, -2, 0.5] + 0.3)))).astype(float)
-    b = models.newton_logistic(x, y)
-    a = np.column_stack([np.ones(400), x])
-    p = 1 / (1 + np.exp(-a @ b))
-    assert np.abs(a.T @ (p - y) + np.r_[0, b[1:]]).max() < 1e-6
-    w = rng.integers(1, 4, 400)
-    assert np.allclose(models.newton_logistic(x, y, w.astype(float)),
-                       models.newton_logistic(np.repeat(x, w, axis=0), np.repeat(y, w)), atol=1e-8)
+def newton(x, y, w):
+    """L2 logistic with a free intercept by plain Newton steps."""
+    a = np.column_stack([np.ones(len(x)), x])
+    b, free = np.zeros(a.shape[1]), np.r_[0.0, np.ones(x.shape[1])]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ b))
+        b = b - np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.diag(free + 1e-12), a.T @ (w * (p - y)) + free * b)
+    return b
 
 
-def test_logistic_fits_agree(spark):
-    """The parallel fit on combined states and the distributed trainer give one model."""
-    rng = np.random.default_rng(2)
+def labelled(rng, n=700):
     rows = []
-    for i in range(600):
-        hp, ap = map(int, rng.integers(0, 25, 2))
-        side = ["home", "away", "unknown"][int(rng.integers(0, 3))]
-        label = float(rng.random() < 1 / (1 + np.exp(-(hp - ap) / 5)))
-        rows.append(("2024-2025", label, int(rng.integers(1, 6)), int(rng.integers(0, 2)), int(rng.integers(0, 2)), hp, ap, side))
-    d = spark.createDataFrame(rows, "season string, label double, set_no int, home_sets_before int, away_sets_before int, score_home_start int, score_away_start int, server_side string")
-    train = d.select("season", "label", *[c.alias(n) for n, c in models.wp_state("before").items()]).cache()
-    a = models.fit_logistic(train).first()
-    b = models.fit_logistic_distributed(train, DEFAULT).first()
-    # the scoreboard inputs are collinear, so compare predictions rather than coefficients
-    x = np.array(train.select(*models.WP_INPUTS).collect(), dtype=float)
-    pa = x @ np.array(a.coefficients) + a.intercept
-    pb = x @ np.array(b.coefficients) + b.intercept
-    assert np.abs(pa - pb).max() < 1e-3
+    for season in ("2022-2023", "2023-2024"):
+        for _ in range(n if season == "2022-2023" else n // 3):
+            x = rng.normal(size=3) * [1, 10, 0.1] + [0, 5, 1]
+            z = x @ [1, -0.2, 8] - 8
+            rows.append((season, *map(float, x), 4.0, float(rng.random() < 1 / (1 + np.exp(-z))), float(rng.random() < 0.3),
+                         float(rng.integers(1, 4))))
+    return rows
+
+
+def test_many_fits_at_once_match_newton(spark):
+    rows = labelled(np.random.default_rng(1))
+    d = spark.createDataFrame(rows, "season string, a double, b double, c double, k double, y double, z double, w double").repartition(7)
+    col = lambda *names: [F.col(n) for n in names]
+    data = optimise.blocks(d, "season", col("a", "b", "c", "k"), col("y", "z"), F.col("w"))
+    scale = optimise.scales(data, ["2022-2023", "2023-2024"], 4, 3)
+    fits = optimise.logistic(data, scale, {s: [0, 1] for s in scale})
+    assert optimise.logistic(data, scale, {}) == {}
+    for season in scale:
+        v = np.array([r[1:] for r in rows if r[0] == season])
+        x, w = v[:, :4], v[:, 6]
+        mean = np.average(x, axis=0, weights=w)
+        sd = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=w))
+        mean[3], sd[3] = 0.0, 1.0     # the last input is not scaled
+        assert np.allclose(scale[season].mean, mean) and np.allclose(scale[season].sd, sd)
+        for t in (0, 1):
+            b = newton((x - mean) / sd, v[:, 4 + t], w)
+            f = fits[season, t]
+            assert np.allclose(np.array(f.coefficients) * sd, b[1:], atol=1e-7)
+            assert f.intercept + mean @ np.array(f.coefficients) == pytest.approx(b[0], abs=1e-7)
+    data.unpersist()
+
+
+def test_separable_labels_still_converge(spark):
+    """The penalty keeps a perfect split finite, and steps that overshoot are halved."""
+    d = spark.createDataFrame([("s", float(i), float(i >= 50)) for i in range(100)], "season string, x double, y double")
+    data = optimise.blocks(d, "season", [F.col("x")], [F.col("y")], F.lit(1.0))
+    scale = optimise.scales(data, ["s"], 1, 1)
+    f = optimise.logistic(data, scale, {"s": [0]})["s", 0]
+    b = newton((np.arange(100.0)[:, None] - 49.5) / scale["s"].sd, (np.arange(100) >= 50).astype(float), np.ones(100))
+    assert f.coefficients[0] * scale["s"].sd[0] == pytest.approx(b[1], rel=1e-6)
+
+
+def test_network_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    scale = optimise.Scale(1.0, np.zeros(1), np.zeros(4), np.ones(4))
+    net = optimise.new_network(scale, (5, 3), 1)
+    block = ("s", rng.normal(size=(40, 4)), rng.integers(0, 2, (40, 1)).astype(float), rng.random(40) + 0.5)
+    part, v = optimise.network_part(net, block, 0.3), optimise.flat(net)
+    assert part[0] > 0 and part[2] > 0 and part[0] + part[2] == pytest.approx(block[3].sum())
+    for i in range(0, len(v), 3):
+        up, down = v.copy(), v.copy()
+        up[i] += 1e-6
+        down[i] -= 1e-6
+        slope = (optimise.network_part(optimise.with_values(net, up), block, 0.3)[1]
+                 - optimise.network_part(optimise.with_values(net, down), block, 0.3)[1]) / 2e-6
+        assert part[4 + i] == pytest.approx(slope, abs=1e-4)
+
+
+def adam(x, y, w, net, rounds, share=0.1, rate=0.01, alpha=1e-4, tolerance=1e-4, patience=10):
+    """The same training in one piece: whole gradients, early stop on the held-out rows. Gives the least held-out loss."""
+    out = optimise.held_out(x, share)
+    m = v = 0.0
+    best, anchor, stale = np.inf, np.inf, 0
+    for step in range(1, rounds + 2):
+        part = optimise.network_part(net, ("s", x, y[:, None], w), share)
+        seen = part[3] / part[2]
+        stale = 0 if seen < best - tolerance else stale + 1
+        best = min(best, seen)
+        if stale > patience:
+            break
+        now = optimise.flat(net)
+        g = (part[4:] + alpha * now) / part[0]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        net = optimise.with_values(net, now - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
+    return best, out
+
+
+def test_perceptrons_train_side_by_side(spark):
+    rows = labelled(np.random.default_rng(5), 900)
+    d = spark.createDataFrame(rows, "season string, a double, b double, c double, k double, y double, z double, w double").repartition(5)
+    data = optimise.blocks(d, "season", [F.col(c) for c in "abck"], [F.col("y")], F.col("w"))
+    scale = optimise.scales(data, ["2022-2023", "2023-2024"], 4, 4)
+    nets = optimise.networks(data, scale, (16, 8), 120, 42)
+    for season, net in nets.items():
+        v = np.array([r[1:] for r in rows if r[0] == season])
+        x, y, w = v[:, :4].copy(), v[:, 4], v[:, 6]
+        want, out = adam(x, y, w, optimise.new_network(scale[season], (16, 8), 42), 120)
+        p = optimise.chance(net, x)
+        loss = lambda keep, p: np.average(-(y * np.log(p) + (1 - y) * np.log(1 - p))[keep], weights=w[keep])
+        assert loss(out, p) == pytest.approx(want, rel=0.01)
+        assert loss(~out, p) < 0.8 * loss(~out, np.full(len(y), np.average(y, weights=w)))
+    data.unpersist()
+
+
+def test_optimality_sees_a_wrong_fit(spark):
+    rows = [(r[0], *r[1:4], r[5]) for r in labelled(np.random.default_rng(7), 200)]
+    d = spark.createDataFrame(rows, "season string, a double, b double, c double, y double")
+    fits = models.fit_outcomes(d, ["y"], ["a", "b", "c"], ["a"], DEFAULT.but(aux_max_rows=0))
+    check = lambda m: models.optimality(d, m, ["season"], {c: F.col(c) for c in "abc"}, F.col("y")).toPandas()
+    good = check(fits)
+    assert len(good) == 8 and good.residual.abs().max() < 1e-5
+    off = fits.withColumn("coefficients", F.transform("coefficients", lambda c: c * 1.01))
+    assert check(off).residual.abs().max() > 1e-2
+
+
+def test_outcomes_without_a_cap(spark):
+    rows = [("s", i, float(i % 7), float(i % 3 == 0)) for i in range(400)]
+    d = spark.createDataFrame(rows, "season string, id int, x double, t double")
+    all_rows, some = (models.fit_outcomes(d, ["t"], ["x"], ["season", "id"], DEFAULT.but(aux_max_rows=n)).first() for n in (0, 100))
+    assert (all_rows.train_rows, some.train_rows) == (400, 100) and all_rows.kind == some.kind == "logistic"
 
 
 def test_ridge_matches_explicit_leave_one_out(spark):
