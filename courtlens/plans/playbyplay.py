@@ -13,7 +13,8 @@ from courtlens.plans.roster import role_lookup
 from courtlens.session import stable
 from courtlens.sources.seasons import checked
 
-SET_KEY = ["season", "contestid", "set_no"]
+CONTEST_KEY = ["season", "contestid"]
+SET_KEY = [*CONTEST_KEY, "set_no"]
 RALLY_KEY = [*SET_KEY, "rally_id"]
 CLEAN_COLUMNS = [
     *RALLY_KEY, "file_row", "row_in_rally", "action_seq", "date", "away_team", "home_team",
@@ -69,14 +70,14 @@ def _seasons_without_ids(pbp: DataFrame) -> list[str]:
 def distinct_typed_touches(pbp: DataFrame) -> DataFrame:
     """Dedup and typed keys in one shuffle, for logs with ids and no oversized set.
 
-    Rows are spread by set first. The set is part of the dedup key and of every later
+    Rows are spread by contest first. The contest is part of the dedup key and of every later
     window, so neither needs another exchange.
     """
     raw = pbp.select("season", "file_row", F.col("contestid").alias("__c"), F.col("set_no").alias("__s"), *_TEXT)
     d = raw.withColumns({
         "contestid": N.number(F.col("__c"), "bigint"), "set_no": N.number(F.col("__s"), "int"),
     }).dropna(subset=["contestid", "set_no"])
-    spread = d.repartition(*SET_KEY)
+    spread = d.repartition(*CONTEST_KEY)
     return ordered.keep_first(spread, [*SET_KEY, "__c", "__s", *_TEXT], "file_row").drop("__c", "__s")
 
 

@@ -12,7 +12,7 @@ from courtlens.config import DEFAULT, ModelConfig
 from courtlens.functions.text import clean_team
 from courtlens.operators import ordered
 from courtlens.plans import credit, firstball, models, playbyplay, rallies, rankings, roster, serving
-from courtlens.session import stable
+from courtlens.session import laid_out, stable
 from courtlens.sources import sinks
 
 
@@ -30,8 +30,18 @@ class SeasonTables:
     ):
         self.players, self.player_box, self.team_box, self.pbp = players, player_match, team_match, pbp
         self.cfg, self.wp_model = cfg, wp_model
+        self._written = materialize
         self._keep = stable if materialize else (lambda df: df)
 
+    def _by_contest(self, df: DataFrame, spread: bool = False) -> DataFrame:
+        """A written table that keeps its contests together, so that what reads it shuffles no touch or rally again.
+
+        Where one contest may hold most rows, and without written tables, there is no such layout.
+        """
+        if not self._written or self.hot:
+            return self._keep(df)
+        return laid_out(df, playbyplay.CONTEST_KEY, ["set_no"], spread)
+
     @cached_property
     def player_master(self) -> DataFrame:
         return stable(roster.player_master(self.players))
@@ -64,9 +74,9 @@ class SeasonTables:
 
     @cached_property
     def clean_pbp(self) -> DataFrame:
-        return self._keep(playbyplay.clean_pbp(
+        return self._by_contest(playbyplay.clean_pbp(
             self.pbp, self.player_master, self.teams, chunk=self.chunk
-        ))
+        ), spread=True)
 
     @cached_property
     def event_table(self) -> DataFrame:
@@ -74,7 +84,7 @@ class SeasonTables:
 
     @cached_property
     def rally_table(self) -> DataFrame:
-        return self._keep(rallies.rally_table(self.clean_pbp, self.hot))
+        return self._by_contest(rallies.rally_table(self.clean_pbp, self.hot))
 
     @cached_property
     def contest_master(self) -> DataFrame:
@@ -82,7 +92,7 @@ class SeasonTables:
 
     @cached_property
     def rally_pass(self) -> DataFrame:
-        return self._keep(
+        return self._by_contest(
             firstball.rally_pass(self.event_table, self.rally_table, self.hot)
         )
 
@@ -108,7 +118,7 @@ class SeasonTables:
 
     @cached_property
     def rally_win_probability(self) -> DataFrame:
-        return self._keep(models.win_probability(self.rally_table, self.wp_model, self.cfg))
+        return self._by_contest(models.win_probability(self.rally_table, self.wp_model, self.cfg), spread=True)
 
     @cached_property
     def win_probability_metrics(self) -> DataFrame:

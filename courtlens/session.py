@@ -17,6 +17,8 @@ def build_session(app: str = "courtlens", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # tables spread by some of the keys of a join need not be spread again (see laid_out)
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
@@ -47,6 +49,9 @@ def run_folder(spark: SparkSession) -> str:
 
 def close(spark: SparkSession) -> None:
     """Remove every intermediate table of this application; call it when results are saved."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith(_LAID_OUT):
+            spark.sql(f"drop table if exists `{t.name}`")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -61,3 +66,22 @@ def stable(df: DataFrame) -> DataFrame:
     path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_LAID_OUT = "courtlens_laid_out_"
+
+
+def laid_out(df: DataFrame, keys: list[str], order: list[str], spread: bool = True) -> DataFrame:
+    """As ``stable``, and the table keeps its layout: rows of equal ``keys`` lie in one bucket, sorted.
+
+    Aggregates and windows by these keys and any more, and joins of two such tables on them and any more,
+    then need no shuffle. There are as many buckets as shuffle partitions. Say ``spread=False`` for a table that comes
+    from such a table without a shuffle. The files lie in the run folder; the catalog only holds their names.
+    No bucket is cut, so use it where no key holds a large share of all rows.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = uuid.uuid4().hex
+    (df.repartition(n, *keys) if spread else df).write.bucketBy(n, *keys).sortBy(*keys, *order).option(
+        "path", f"{run_folder(spark)}/{name}").saveAsTable(f"{_LAID_OUT}{name}", format="parquet")
+    return spark.table(f"{_LAID_OUT}{name}")

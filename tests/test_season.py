@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from courtlens.catalog.queries import fixed_curve
 from courtlens.config import DEFAULT
 from courtlens.operators import ordered
-from courtlens.plans import playbyplay
+from courtlens.plans import credit, firstball, playbyplay, rallies, serving
 from courtlens.plans.season import SeasonTables
 from courtlens.session import stable
 from courtlens.sources import readers, shaped
@@ -45,6 +45,27 @@ def test_log_is_shuffled_once(plain):
     assert len(wide) == 1
 
 
+def test_written_log_is_never_shuffled_again(spark, plain):
+    """Rallies, first contacts, credit and receives read the written log without an exchange of touches or rallies."""
+    plain.rally_pass, plain.rally_win_probability, plain.servers, plain.team_phase_context
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    try:
+        plans = {
+            "rallies": rallies.rally_table(plain.clean_pbp),
+            "passes": firstball.rally_pass(plain.event_table, plain.rally_table),
+            "credit": credit.event_credit(plain.event_table, plain.rally_win_probability),
+            "receives": serving.receive_attempts(plain.event_table, plain.rally_table, plain.rally_pass, plain.servers),
+        }
+        for what, df in plans.items():
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan or what == "receives", what
+            assert "contestid" not in "".join(l for l in plan.split("\n") if "Exchange hashpartitioning" in l), what
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_invariants(plain):
     credit = plain.event_credit
     shares = credit.groupBy(*playbyplay.RALLY_KEY).agg(F.sum("event_weight_share").alias("s"))
@@ -83,4 +104,8 @@ def test_contest_ids_rebuilt_inside_the_log(spark, sf, plain):
     a = with_ids.groupBy("contestid").agg(F.count(F.lit(1)).alias("n"), F.min("file_row").alias("f"))
     b = without.groupBy("contestid").agg(F.count(F.lit(1)).alias("n"), F.min("file_row").alias("f"))
     assert without.count() == with_ids.count()
+    # a block may hold a contest of one team pair and date, never parts of two contests
+    both = with_ids.select("file_row", F.col("contestid").alias("real")).join(
+        without.select("file_row", F.col("contestid").alias("made")), "file_row")
+    assert both.groupBy("made").agg(F.count_distinct("real").alias("n")).filter("n > 1").count() == 0
     assert b.count() >= a.count()
