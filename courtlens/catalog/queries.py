@@ -21,8 +21,9 @@ from courtlens.functions import text as T
 from courtlens.operators import ordered, resolve, shape, stats
 from courtlens.plans import credit, firstball, marts, models, playbyplay, rallies, rankings
 from courtlens.plans import replacement, roster, serving
+from courtlens.plans.refresh import SeasonStore
 from courtlens.plans.season import SeasonTables
-from courtlens.session import run_folder
+from courtlens.session import run_folder, stable
 from courtlens.sources import readers, seasons, shaped, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1125,6 +1126,42 @@ def saved_and_downloaded(spark, folder):
     return marts.typed_outputs(readers.read_csv(spark, f"{out}/filtered_rankings"))
 
 
+_TURN = "(select season, dense_rank() over (order by season) as turn from (select distinct season from roster) s)"
+
+
+@query("s: season status b: rewritten s: team_clean player_clean role_family player_uid", f"""select season, case turn when 1 then 'stale' when 2 then 'fresh' else 'absent' end as status,
+  turn <> 2 as rewritten, team_clean, player_clean, role_family, player_uid from master join {_TURN} using (season)""")
+def refreshed_seasons(spark, folder):
+    """Season files published, then one file changed and other seasons added: what is built again, and what stands.
+
+    The first season first has half of its roster, and the second stays as it is.
+    """
+    source, target = (f"{run_folder(spark)}/{uuid.uuid4().hex}" for _ in range(2))
+    every = {"players": stable(shaped.roster(spark, folder)), "player_match": stable(shaped.player_box(spark, folder)),
+             "team_match": stable(shaped.team_box(spark, folder)), "pbp": stable(shaped.pbp(spark, folder).limit(0))}
+    names = _seasons_of(every["players"])
+
+    def files(kinds, chosen, change=lambda d: d):
+        for kind in kinds:
+            for s in chosen:
+                sinks.save_csv(change(seasons.pick(every[kind], [s]).drop("season")), source,
+                               config.SOURCE_FILES[kind].format(year=seasons.Season.parse(s).start))
+
+    store = SeasonStore(spark, source, target, _TEST, fixed_curve, ["player_master", "team_strength"])
+    files(every, names[:2])
+    files(["players"], names[:1], lambda d: d.where("number % 2 = 0"))
+    store.refresh()
+    first = store.table("player_master").select("season", F.col("_metadata.file_modification_time").alias("t"))
+    first = stable(first.groupBy("season").agg(F.max("t").alias("then")))
+    files(["players"], names[:1])
+    files(every, names[2:])
+    status = spark.createDataFrame(list(store.refresh().items()), "season string, status string")
+    now = store.table("player_master")
+    now = now.withColumn("t", F.col("_metadata.file_modification_time"))
+    return now.join(first, "season", "left").join(status, "season").withColumn(
+        "rewritten", F.col("then").isNull() | (F.col("t") > F.col("then")))
+
+
 # --- single-set rates -------------------------------------------------------
 
 _G = "season, contestid, set_no"

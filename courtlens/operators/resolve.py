@@ -6,13 +6,17 @@ Each test is rewritten as an equi join, so no name pair that fails is ever forme
 * same letters and digits          -> join on the compacted text
 * a known name continues the text  -> join on the prefixes of the known name that end
                                       before a space or bracket
-* a known name inside the text     -> join on the word-bounded pieces of the text, no
-                                      longer than the longest known name
+* a known name inside the text     -> join on the rarest word of the known name, then a
+                                      look at the few texts that have that word
+
+A text that holds a name between word boundaries holds each word of the name as a word of its own.
+So known names are indexed by one word each, that which fewest names share, and a text is looked
+up by its words: the work grows with the length of the texts and not with its square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtlens import config
@@ -38,34 +42,43 @@ def _boundary_prefixes(teams: DataFrame) -> DataFrame:
     )
 
 
-def _bounded_pieces(names: DataFrame, longest: int) -> DataFrame:
-    """All substrings of ``name`` that start and end at a word boundary of the text."""
-    n = F.length("name")
-    word = lambda i: F.substring(F.col("name"), i, F.lit(1)).rlike(r"\w")
-    positions = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    starts = F.filter(positions, lambda i: (i == 1) | ~word(i - 1))
-    ends = F.filter(positions, lambda i: (i == n) | ~word(i + 1))
-    return (
-        names.filter(n > 0)
-        .select("name", F.explode(starts).alias("i"), ends.alias("ends"))
-        .select(
-            "name", "i",
-            F.explode(F.filter("ends", lambda e: (e >= F.col("i")) & (e < F.col("i") + longest))).alias("e"),
-        )
-        .select("name", F.expr("substring(name, i, e - i + 1)").alias("team_clean"))
-        .distinct()
-    )
+def _found(text: Column, pattern: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
+
+
+def name_index(teams: DataFrame) -> DataFrame:
+    """(word, team_clean): every known name under its rarest word, names without a word under their first sign."""
+    name = F.col("team_clean")
+    words = _found(name, r"\w+")
+    listed = teams.select(name, F.explode(words).alias("word"))
+    shared = listed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    by_word = listed.join(shared, "word").groupBy("team_clean").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    by_sign = teams.where((F.length(name) > 0) & (F.size(words) == 0)).select(name, F.substring(name, 1, 1).alias("word"))
+    return by_word.unionByName(by_sign).select("word", "team_clean")
+
+
+def inside_hits(names: DataFrame, teams: DataFrame) -> DataFrame:
+    """Distinct (name, team_clean) where the known name stands in the text between word boundaries.
+
+    Only a hash of the text travels with its words; the texts come back for the candidates, where the names are
+    looked for, so texts that share a hash do no harm.
+    """
+    text = F.col("name")
+    named = names.select(text, F.xxhash64(text).alias("h"))
+    words = named.select("h", F.explode(F.concat(_found(text, r"\w+"), _found(text, r"\W"))).alias("word")).distinct()
+    candidates = words.join(name_index(teams), "word").select("h", "team_clean").distinct()
+    bounded = F.concat(F.lit(r"(\A|\W)\Q"), F.col("team_clean"), F.lit(r"\E(\W|\z)"))
+    return named.join(candidates, "h").where(F.regexp_like(text, bounded)).select("name", "team_clean").distinct()
 
 
 def fuzzy_hits(names: DataFrame, teams: DataFrame) -> DataFrame:
     """Distinct (name, team_clean) pairs that pass at least one of the three tests."""
-    longest = teams.agg(F.coalesce(F.max(F.length("team_clean")), F.lit(0))).first()[0]
     t = teams.select("team_clean").distinct()
     same = names.withColumn("k", T.compact(F.col("name"))).join(
         t.withColumn("k", T.compact(F.col("team_clean"))), "k"
     ).select("name", "team_clean")
     longer = names.join(_boundary_prefixes(t), "name").select("name", "team_clean")
-    inside = _bounded_pieces(names, int(longest)).join(t, "team_clean").select("name", "team_clean")
+    inside = inside_hits(names, t)
     return same.unionByName(longer).unionByName(inside).distinct()
 
 

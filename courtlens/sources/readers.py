@@ -66,10 +66,12 @@ def read_pbp(spark: SparkSession, folder: str, seasons: list[str]) -> DataFrame:
     Files are read by their own headers. The order column grows by season, file and row.
     """
     frames = []
-    for n, season in enumerate(seasons):
+    for season in seasons:
         raw = ordered.with_file_row(read_csv(spark, season_path(folder, "pbp", season), config.PBP_COLUMNS))
+        # the same numbers whichever other seasons are read
+        base = (S.Season.parse(season).start - 1900) << 49
         frames.append(raw.withColumnRenamed("set", "set_no").withColumns({
-            "season": F.lit(season), "file_row": F.col("file_row") + F.lit(n << 52)}))
+            "season": F.lit(season), "file_row": F.col("file_row") + F.lit(base)}))
     return _by_name(frames)
 
 
@@ -78,10 +80,12 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+def saved(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether the folder holds a table of this name."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, name))
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def table_or_build(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     """The saved table when present, otherwise the plan that makes it."""
-    path = os.path.join(folder, name)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(hadoop) else build()
+    return spark.read.parquet(os.path.join(folder, name)) if saved(spark, folder, name) else build()

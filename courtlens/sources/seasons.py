@@ -85,16 +85,23 @@ def pick(df: DataFrame, seasons: list[str] | None = None, first: str | None = No
     return df
 
 
-def file_years(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, year) of every source file in a folder, from file metadata only."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+def source_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, year, season, path, length, modified) of every source file in a folder, from file metadata only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     kind = F
     for k, template in config.SOURCE_FILES.items():
         stem = re.escape(template.split("{")[0])
         kind = kind.when(F.col("path").rlike(rf"/{stem}\d{{4}}\.csv(/|$)"), k)
+    y = F.col("year").cast("int")
     return files.select(
-        kind.otherwise(None).alias("kind"), F.regexp_extract("path", r"_(\d{4})\.csv(?:/|$)", 1).alias("year")
-    ).filter("kind is not null")
+        kind.otherwise(None).alias("kind"), F.regexp_extract("path", r"_(\d{4})\.csv(?:/|$)", 1).alias("year"),
+        "path", "length", F.col("modificationTime").alias("modified"),
+    ).filter("kind is not null").withColumn("season", F.concat_ws("-", y.cast("string"), (y + 1).cast("string")))
+
+
+def file_years(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, year) of every source file in a folder."""
+    return source_files(spark, folder).select("kind", "year")
 
 
 def complete_seasons(years: DataFrame, kinds: int = len(config.SOURCE_FILES)) -> DataFrame:

@@ -30,6 +30,21 @@ def save_table(df: DataFrame, folder: str, name: str, partition: str | None = "s
     return int(seen.get["rows"])
 
 
+def save_seasons(df: DataFrame, folder: str, name: str, seasons: list[str]) -> None:
+    """Replace these seasons of a table partitioned by season; the other seasons are not touched.
+
+    A season that has rows no longer loses its old ones too.
+    """
+    path = os.path.join(folder, name)
+    seen = Observation(f"seasons_{name}")
+    df.observe(seen, F.collect_set("season").alias("written")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path)
+    spark = df.sparkSession
+    for season in set(seasons) - set(seen.get["written"]):
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(path, f"season={season}"))
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def save_csv(df: DataFrame, folder: str, name: str) -> int:
     return save_table(df, folder, name, partition=None, fmt="csv")
 
