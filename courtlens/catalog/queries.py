@@ -720,6 +720,29 @@ def expected_outcome_metrics(spark, folder):
     return models.expected_outcome_metrics(scored, serving.SR_TARGETS).join(means, ["season", "target"])
 
 
+_FOLDS = 3
+
+
+@query("s: season i: fold s: target input i: train_rows d: residual", f"""select season, fold, target, input, train_rows, 0 as residual from (
+  select season, fold, target, count(*) as train_rows from (select season, contestid % {_FOLDS} as own, target, y from (
+    {" union all ".join(f"select season, contestid, '{t}' as target, cast({t} as double) as y from att" for t in serving.SR_TARGETS)}) a) o
+  join (select unnest(range({_FOLDS})) as fold) f on own <> fold group by season, fold, target having count(*) >= 50 and count(distinct y) = 2) g
+  cross join (select unnest(['intercept', {", ".join(f"'{c}'" for c in serving.SR_FEATURES)}]) as input) n""")
+def expected_outcome_folds(spark, folder):
+    """Models that leave out one fold of contests each: the gradient of their loss over the other folds is 0."""
+    t = tables(spark, folder, "logistic")
+    att = t.receive_attempts
+    fits = models.fit_outcomes(att, serving.SR_TARGETS, serving.SR_FEATURES, playbyplay.RALLY_KEY, t.cfg.but(aux_max_rows=0), _FOLDS)
+    x = {c: N.finite_or_zero(F.col(c)) for c in serving.SR_FEATURES}
+    others = F.filter(F.sequence(F.lit(0), F.lit(_FOLDS - 1)), lambda f: f != models.fold_of(_FOLDS))
+    rows = att.select("season", "contestid", *[c.alias(n) for n, c in x.items()], F.explode(F.array(*[
+        F.struct(F.lit(g).alias("target"), F.col(g).cast("double").alias("y")) for g in serving.SR_TARGETS])).alias("t"),
+    ).select("season", "t.*", *x, F.explode(others).alias("fold"))
+    fits = stable(fits.where("kind = 'logistic'"))
+    found = models.optimality(rows, fits, ["season", "fold", "target"], {c: F.col(c) for c in x}, F.col("y"))
+    return _residuals(found).join(fits.select("season", "fold", "target", "train_rows"), ["season", "fold", "target"])
+
+
 # --- rankings ---------------------------------------------------------------
 
 _KEY = "s: season team_clean player_clean "
@@ -1162,6 +1185,25 @@ def refreshed_seasons(spark, folder):
         "rewritten", F.col("then").isNull() | (F.col("t") > F.col("then")))
 
 
+@query("s: l_returnflag d: price", "select l_returnflag, median(l_extendedprice) as price from lineitem group by l_returnflag")
+def medians_of_hot_keys(spark, folder):
+    """Exact medians of three keys that share all line items, by sketch and narrowing."""
+    return stats.medians(_table(spark, folder, "lineitem"), ["l_returnflag"], "l_extendedprice", "price")
+
+
+@query("s: season i: contests players d: beyond", """select season, count(distinct contestid) as contests, count(distinct player_clean) as players, 0 as beyond
+  from clean_pbp where player_clean <> '' group by season""")
+def season_player_counts(spark, folder):
+    """Distinct players of a season, exactly and from sketches stored for each contest; how far these lie beyond 3 %."""
+    out = f"{run_folder(spark)}/{uuid.uuid4().hex}"
+    log = tables(spark, folder).clean_pbp.where("player_clean <> ''")
+    sinks.save_table(stats.distinct_sketches(log, ["season", "contestid"], "player_clean"), out, "players_of_contests")
+    merged = stats.merged_distinct(readers.read_table(spark, out, "players_of_contests"), ["season"], "estimate")
+    exact = log.groupBy("season").agg(F.count_distinct("contestid").alias("contests"), F.count_distinct("player_clean").alias("players"))
+    return exact.join(merged, "season").withColumn(
+        "beyond", F.greatest(F.lit(0.0), F.abs(F.col("estimate") / F.col("players") - 1) - 0.03))
+
+
 # --- single-set rates -------------------------------------------------------
 
 _G = "season, contestid, set_no"

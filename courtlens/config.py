@@ -170,6 +170,7 @@ class ModelConfig:
     tabular_min_players: int = 10
     aux_min_rows: int = 50
     aux_max_rows: int = 300_000
+    aux_folds: int = 0   # 0: every row is scored by a model that it helped to fit
     wp_max_rallies: int = 500_000
     logistic_max_iter: int = 500
     mlp_max_iter: int = 150

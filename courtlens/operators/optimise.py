@@ -80,18 +80,28 @@ class Scale:
     sd: np.ndarray
 
 
-def scales(data: RDD, keys: list[str], inputs: int, scaled: int) -> dict[str, Scale]:
-    """The scale of the first ``scaled`` inputs; the others, and inputs that do not vary, stay as they are."""
+def scales(data: RDD, groups: dict[object, list[str]], inputs: int, scaled: int) -> dict[object, Scale]:
+    """For each group of keys the scale of its first ``scaled`` inputs.
+
+    The others, and inputs that do not vary, stay as they are. Sums are taken once for each key, however many groups
+    it is in, so the scale of all folds but one is a sum of sums. Groups without rows are left out.
+    """
+    keys = sorted({k for ks in groups.values() for k in ks})
     first = summed(data, dict.fromkeys(keys), lambda _, b: np.concatenate([[b[3].sum()], b[3] @ b[1], b[3] @ b[2]]))
-    means = {k: v[1: inputs + 1] / v[0] for k, v in first.items()}
-    second = summed(data, means, lambda m, b: b[3] @ (b[1] - m) ** 2)
+    middle = {k: v[1: inputs + 1] / v[0] for k, v in first.items()}
+    second = summed(data, middle, lambda m, b: b[3] @ (b[1] - m) ** 2)
     out = {}
-    for k, v in first.items():
-        sd = np.sqrt(second[k] / v[0])
-        sd = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(means[k])), sd, 1.0)
-        mean = means[k].copy()
+    for group, ks in groups.items():
+        ks = [k for k in ks if k in first]
+        if not ks:
+            continue
+        total = sum(first[k] for k in ks)
+        mean = total[1: inputs + 1] / total[0]
+        var = sum(second[k] + first[k][0] * (middle[k] - mean) ** 2 for k in ks) / total[0]
+        sd = np.sqrt(var)
+        sd = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(mean)), sd, 1.0)
         mean[scaled:], sd[scaled:] = 0.0, 1.0
-        out[k] = Scale(float(v[0]), v[inputs + 1:], mean, sd)
+        out[group] = Scale(float(total[0]), total[inputs + 1:], mean, sd)
     return out
 
 
@@ -125,11 +135,15 @@ class Logistic:
     coefficients: list[float] = field(default_factory=list)   # on the raw scale
 
 
-def _newton_part(state: tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]], block: Block) -> np.ndarray:
+#: (means, deviations, target, parameters to try)
+Trial = tuple[np.ndarray, np.ndarray, int, np.ndarray]
+
+
+def _newton_part(trials: list[Trial], block: Block) -> np.ndarray:
     """(loss, gradient, curvature) of every trial on a block."""
-    (mean, sd, trials), (_, x, ys, w), out = state, block, []
-    a = np.column_stack([np.ones(len(x)), (x - mean) / sd])
-    for target, beta in sorted(trials.items()):
+    (_, x, ys, w), out = block, []
+    for mean, sd, target, beta in trials:
+        a = np.column_stack([np.ones(len(x)), (x - mean) / sd])
         z = a @ beta
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
         y = ys[:, target]
@@ -138,35 +152,44 @@ def _newton_part(state: tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]], bl
     return np.concatenate(out)
 
 
-def logistic(data: RDD, scale: dict[str, Scale], wanted: dict[str, list[int]], penalty: float = 1.0,
-             rounds: int = 100) -> dict[tuple[str, int], Logistic]:
-    """L2 logistic models with a free intercept, one for each key and target that is wanted.
+@dataclass
+class Wanted:
+    """A model to fit: the target it predicts and the keys whose rows it learns from."""
+    scale: Scale
+    target: int
+    keys: list[str]
+
+
+def logistic(data: RDD, wanted: dict[object, Wanted], penalty: float = 1.0, rounds: int = 100) -> dict[object, Logistic]:
+    """L2 logistic models with a free intercept, all at once.
 
     They minimise log-loss + penalty * |beta|^2 / 2 on scaled inputs. Newton steps are damped by halving;
-    a model that has arrived takes no further part.
+    a model that has arrived takes no further part. Models may share keys.
     """
-    size = len(next(iter(scale.values())).mean) + 1 if scale else 0
-    free = np.full(size, penalty)
-    free[:1] = 0.0
-    fits = {(k, t): Fit(np.zeros(size), np.zeros(size)) for k, ts in wanted.items() for t in ts}
+    fits = {m: Fit(np.zeros(len(x.scale.mean) + 1), np.zeros(len(x.scale.mean) + 1)) for m, x in wanted.items()}
     for _ in range(rounds):
-        live: dict[str, dict[int, np.ndarray]] = {}
-        for (k, t), f in fits.items():
-            if not f.done:
-                live.setdefault(k, {})[t] = f.trial
+        live: dict[str, list] = {}
+        for m, f in fits.items():
+            for key in wanted[m].keys if not f.done else []:
+                live.setdefault(key, []).append(m)
         if not live:
             break
-        state = {k: (scale[k].mean, scale[k].sd, ts) for k, ts in live.items()}
-        for k, v in summed(data, state, _newton_part).items():
-            for part, t in zip(v.reshape(len(live[k]), -1), sorted(live[k])):
-                beta = live[k][t]
-                fits[k, t].take(
-                    part[0] + 0.5 * (free * beta * beta).sum(), part[1: size + 1] + free * beta,
-                    part[size + 1:].reshape(size, size) + np.diag(free + 1e-12), scale[k].n)
+        state = {key: [(wanted[m].scale.mean, wanted[m].scale.sd, wanted[m].target, fits[m].trial) for m in ms]
+                 for key, ms in live.items()}
+        total: dict[object, np.ndarray] = {}
+        for key, v in summed(data, state, _newton_part).items():
+            for m, part in zip(live[key], np.split(v, len(live[key]))):
+                total[m] = total[m] + part if m in total else part
+        for m, part in total.items():
+            beta = fits[m].trial
+            size, free = len(beta), np.full(len(beta), penalty)
+            free[0] = 0.0
+            fits[m].take(part[0] + 0.5 * (free * beta * beta).sum(), part[1: size + 1] + free * beta,
+                         part[size + 1:].reshape(size, size) + np.diag(free + 1e-12), wanted[m].scale.n)
     out = {}
-    for (k, t), f in fits.items():
-        raw = f.b[1:] / scale[k].sd
-        out[k, t] = Logistic(float(f.b[0] - raw @ scale[k].mean), [float(c) for c in raw])
+    for m, f in fits.items():
+        raw = f.b[1:] / wanted[m].scale.sd
+        out[m] = Logistic(float(f.b[0] - raw @ wanted[m].scale.mean), [float(c) for c in raw])
     return out
 
 

@@ -121,11 +121,11 @@ def fit_logistic(train: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
     """
     states = stable(wp_states(train))
     data = _state_blocks(states)
-    scale = optimise.scales(data, _seasons(states), len(WP_INPUTS), len(WP_FEATURES))
-    fits = optimise.logistic(data, scale, {k: [0] for k in scale}, rounds=cfg.logistic_max_iter)
+    scale = optimise.scales(data, {s: [s] for s in _seasons(states)}, len(WP_INPUTS), len(WP_FEATURES))
+    fits = optimise.logistic(data, {k: optimise.Wanted(x, 0, [k]) for k, x in scale.items()}, rounds=cfg.logistic_max_iter)
     data.unpersist()
     return train.sparkSession.createDataFrame(
-        [(season, f.intercept, f.coefficients) for (season, _), f in sorted(fits.items())],
+        [(season, f.intercept, f.coefficients) for season, f in sorted(fits.items())],
         "season string, intercept double, coefficients array<double>")
 
 
@@ -177,7 +177,7 @@ def fit_mlp(train: DataFrame, cfg: ModelConfig = DEFAULT) -> dict[str, optimise.
     """Perceptron with rectified units per season, trained by Adam with early stop on the distinct states."""
     states = stable(wp_states(train))
     data = _state_blocks(states)
-    scale = optimise.scales(data, _seasons(states), len(WP_INPUTS), len(WP_FEATURES))
+    scale = optimise.scales(data, {s: [s] for s in _seasons(states)}, len(WP_INPUTS), len(WP_FEATURES))
     nets = optimise.networks(data, scale, cfg.mlp_hidden, cfg.mlp_max_iter, SEED)
     data.unpersist()
     return nets
@@ -252,50 +252,64 @@ def win_probability_metrics(
 
 # --- expected outcomes ------------------------------------------------------
 
+def fold_of(folds: int) -> Column:
+    """The fold of a row; a contest lies in one fold, so no rally helps to predict another of its own match."""
+    return F.coalesce(F.pmod(F.col("contestid"), F.lit(folds)), F.lit(0)).cast("int")
+
+
 def fit_outcomes(
     rows: DataFrame, targets: list[str], features: list[str], row_key: list[str],
-    cfg: ModelConfig = DEFAULT,
+    cfg: ModelConfig = DEFAULT, folds: int = 0,
 ) -> DataFrame:
     """One model per (season, target), all fitted at once on at most the cap of rows, or on all (cap 0).
 
     Small or one-class samples get their mean instead. Coefficients are on the raw scale. A row
-    is held once for all of its targets.
+    is held once for all of its targets. With ``folds`` there is a model for each fold too, learnt from
+    the rows of the other folds of its season (column ``fold``, null without folds).
     """
     sample = shape.sample_rows(rows, row_key, cfg.aux_max_rows, ["season"]) if cfg.aux_max_rows > 0 else rows
     x = [N.finite_or_zero(F.col(c)) for c in features]
-    sample = stable(sample.select("season", *[c.alias(f) for c, f in zip(x, features)],
+    part = fold_of(folds) if folds else F.lit(0)
+    sample = stable(sample.select("season", F.concat_ws("/", "season", part.cast("string")).alias("part"),
+                                  *[c.alias(f) for c, f in zip(x, features)],
                                   *[F.col(t).cast("double").alias(t) for t in targets]))
-    data = optimise.blocks(sample, "season", [F.col(c) for c in features], [F.col(t) for t in targets], F.lit(1.0))
-    k = len(features)
-    scale = optimise.scales(data, _seasons(sample), k, k)
+    data = optimise.blocks(sample, "part", [F.col(c) for c in features], [F.col(t) for t in targets], F.lit(1.0))
+    k, seasons = len(features), _seasons(sample)
+    groups = {(s, f): [f"{s}/{g}" for g in range(folds) if g != f] for s in seasons for f in range(folds)}
+    groups = groups or {(s, None): [f"{s}/0"] for s in seasons}
+    scale = optimise.scales(data, groups, k, k)
     fitted = lambda s, t: s.n >= cfg.aux_min_rows and 0 < s.positive[t] < s.n
-    fits = optimise.logistic(data, scale, {
-        season: [t for t in range(len(targets)) if fitted(s, t)] for season, s in scale.items()}, rounds=cfg.logistic_max_iter)
+    fits = optimise.logistic(data, {
+        (*group, t): optimise.Wanted(s, t, groups[group]) for group, s in scale.items() for t in range(len(targets)) if fitted(s, t)
+    }, rounds=cfg.logistic_max_iter)
     data.unpersist()
     out = []
-    for season, s in sorted(scale.items()):
+    for (season, fold), s in scale.items():
         for t, target in enumerate(targets):
-            rate, f = float(s.positive[t] / s.n), fits.get((season, t))
-            out.append((season, target, int(s.n), rate, "logistic" if f else "mean", None if f else rate,
+            rate, f = float(s.positive[t] / s.n), fits.get((season, fold, t))
+            out.append((season, fold, target, int(s.n), rate, "logistic" if f else "mean", None if f else rate,
                         f.intercept if f else 0.0, f.coefficients if f else [0.0] * k))
     return rows.sparkSession.createDataFrame(
-        out, "season string, target string, train_rows bigint, positive_rate double, kind string, "
+        out, "season string, fold int, target string, train_rows bigint, positive_rate double, kind string, "
              "constant double, intercept double, coefficients array<double>")
 
 
 def expected_outcomes(
     rows: DataFrame, targets: list[str], features: list[str], row_key: list[str],
-    cfg: ModelConfig = DEFAULT,
+    cfg: ModelConfig = DEFAULT, folds: int = 0,
 ) -> DataFrame:
-    """Add ``expected_<target>`` to every row (rows are scored by their own season's model)."""
-    models = fit_outcomes(rows, targets, features, row_key, cfg)
-    wide = models.groupBy("season").agg(*[
+    """Add ``expected_<target>`` to every row: by its own season's model, or with ``folds`` by one that never saw its contest.
+
+    Rows of a season whose other folds are empty have null expectations.
+    """
+    models = fit_outcomes(rows, targets, features, row_key, cfg, folds)
+    wide = models.groupBy("season", F.coalesce("fold", F.lit(0)).alias("__fold")).agg(*[
         F.max(F.when(
             F.col("target") == t, F.struct("constant", "intercept", "coefficients")
         )).alias(f"__{t}")
         for t in targets
     ])
-    d = rows.join(F.broadcast(wide), "season", "left")
+    d = rows.withColumn("__fold", fold_of(folds) if folds else F.lit(0)).join(F.broadcast(wide), ["season", "__fold"], "left")
     x = [N.finite_or_zero(F.col(c)) for c in features]
     p = {
         f"expected_{t}": F.coalesce(
@@ -304,7 +318,7 @@ def expected_outcomes(
         )
         for t in targets
     }
-    return d.withColumns(p).drop(*[f"__{t}" for t in targets])
+    return d.withColumns(p).drop("__fold", *[f"__{t}" for t in targets])
 
 
 def expected_outcome_metrics(scored: DataFrame, targets: list[str]) -> DataFrame:

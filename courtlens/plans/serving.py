@@ -120,7 +120,7 @@ def receive_attempts(
 
 def with_expectations(attempts: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
     """Attempts with the expected rate of each outcome. Reads ``attempts`` twice."""
-    return expected_outcomes(attempts, SR_TARGETS, SR_FEATURES, RALLY_KEY, cfg)
+    return expected_outcomes(attempts, SR_TARGETS, SR_FEATURES, RALLY_KEY, cfg, cfg.aux_folds)
 
 
 def serve_receive_value(attempts: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:

@@ -33,9 +33,9 @@ def test_many_fits_at_once_match_newton(spark):
     d = spark.createDataFrame(rows, "season string, a double, b double, c double, k double, y double, z double, w double").repartition(7)
     col = lambda *names: [F.col(n) for n in names]
     data = optimise.blocks(d, "season", col("a", "b", "c", "k"), col("y", "z"), F.col("w"))
-    scale = optimise.scales(data, ["2022-2023", "2023-2024"], 4, 3)
-    fits = optimise.logistic(data, scale, {s: [0, 1] for s in scale})
-    assert optimise.logistic(data, scale, {}) == {}
+    scale = optimise.scales(data, {s: [s] for s in ("2022-2023", "2023-2024", "none")}, 4, 3)
+    fits = optimise.logistic(data, {(s, t): optimise.Wanted(x, t, [s]) for s, x in scale.items() for t in (0, 1)})
+    assert set(scale) == {"2022-2023", "2023-2024"} and optimise.logistic(data, {}) == {}
     for season in scale:
         v = np.array([r[1:] for r in rows if r[0] == season])
         x, w = v[:, :4], v[:, 6]
@@ -55,8 +55,8 @@ def test_separable_labels_still_converge(spark):
     """The penalty keeps a perfect split finite, and steps that overshoot are halved."""
     d = spark.createDataFrame([("s", float(i), float(i >= 50)) for i in range(100)], "season string, x double, y double")
     data = optimise.blocks(d, "season", [F.col("x")], [F.col("y")], F.lit(1.0))
-    scale = optimise.scales(data, ["s"], 1, 1)
-    f = optimise.logistic(data, scale, {"s": [0]})["s", 0]
+    scale = optimise.scales(data, {"s": ["s"]}, 1, 1)
+    f = optimise.logistic(data, {"s": optimise.Wanted(scale["s"], 0, ["s"])})["s"]
     b = newton((np.arange(100.0)[:, None] - 49.5) / scale["s"].sd, (np.arange(100) >= 50).astype(float), np.ones(100))
     assert f.coefficients[0] * scale["s"].sd[0] == pytest.approx(b[1], rel=1e-6)
 
@@ -100,7 +100,7 @@ def test_perceptrons_train_side_by_side(spark):
     rows = labelled(np.random.default_rng(5), 900)
     d = spark.createDataFrame(rows, "season string, a double, b double, c double, k double, y double, z double, w double").repartition(5)
     data = optimise.blocks(d, "season", [F.col(c) for c in "abck"], [F.col("y")], F.col("w"))
-    scale = optimise.scales(data, ["2022-2023", "2023-2024"], 4, 4)
+    scale = optimise.scales(data, {s: [s] for s in ("2022-2023", "2023-2024")}, 4, 4)
     nets = optimise.networks(data, scale, (16, 8), 120, 42)
     for season, net in nets.items():
         v = np.array([r[1:] for r in rows if r[0] == season])
@@ -131,6 +131,35 @@ def test_outcomes_without_a_cap(spark):
     assert (all_rows.train_rows, some.train_rows) == (400, 100) and all_rows.kind == some.kind == "logistic"
 
 
+def test_folds_are_scored_by_models_that_never_saw_them(spark):
+    rng = np.random.default_rng(9)
+    rows = [("s", i % 11, i, float(rng.normal()), float(rng.random() < 0.4)) for i in range(500)]
+    d = spark.createDataFrame(rows, "season string, contestid bigint, id int, x double, t double")
+    got = models.expected_outcomes(d, ["t"], ["x"], ["season", "id"], DEFAULT.but(aux_max_rows=0), folds=3).toPandas()
+    fits = {r.fold: r for r in models.fit_outcomes(d, ["t"], ["x"], ["season", "id"], DEFAULT.but(aux_max_rows=0), 3).collect()}
+    for fold in range(3):
+        other = np.array([r[3:] for r in rows if r[1] % 3 != fold])
+        mean, sd = other[:, 0].mean(), other[:, 0].std()
+        b = newton((other[:, :1] - mean) / sd, other[:, 1], np.ones(len(other)))
+        assert fits[fold].train_rows == len(other)
+        mine = got[got.contestid % 3 == fold]
+        assert np.allclose(mine.expected_t, 1 / (1 + np.exp(-(b[0] + b[1] * (mine.x - mean) / sd))), atol=1e-8)
+    one = models.expected_outcomes(d.where("contestid = 1"), ["t"], ["x"], ["season", "id"], DEFAULT, folds=3)
+    assert one.where("expected_t is not null").count() == 0    # all rows lie in one fold
+
+
+@pytest.mark.parametrize("most", [100_000, 50, 1])
+def test_medians_by_narrowing(spark, monkeypatch, most):
+    monkeypatch.setattr(stats, "MEDIAN_VALUES", most)
+    rng = np.random.default_rng(6)
+    groups = {"hot": rng.normal(size=4_001), "even": rng.random(2_000), "ties": np.r_[np.full(900, 2.0), rng.random(300)],
+              "one": np.array([3.5]), "two": np.array([1.0, 4.0]), "skew": np.r_[rng.exponential(size=999) ** 6, [1e300]]}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("none", None)]
+    d = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r.k: r.m for r in stats.medians(d, ["k"], "v", "m").collect()}
+    assert got == {k: pytest.approx(float(np.median(v)), abs=1e-12) for k, v in groups.items()}
+
+
 def test_ridge_matches_explicit_leave_one_out(spark):
     rng = np.random.default_rng(3)
     rows = []
