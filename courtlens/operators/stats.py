@@ -73,8 +73,8 @@ def median_fill(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame
     return d.withColumn(out, F.coalesce(F.col(col), F.col("__md"))).drop("__md")
 
 
-#: Distinct values of a group that one task may sort, and the part of the ranks round the middle that is kept in a round.
-MEDIAN_VALUES, MEDIAN_BAND = 100_000, 0.03
+#: Distinct values of a group that one task may sort, and the steps of the ranks at which a sketch is read.
+MEDIAN_VALUES, MEDIAN_STEPS = 100_000, 40
 
 
 def medians(df: DataFrame, keys: list[str], col: str, out: str = "median") -> DataFrame:
@@ -89,16 +89,21 @@ def medians(df: DataFrame, keys: list[str], col: str, out: str = "median") -> Da
     band = df.select(*keys, F.col(col).cast("double").alias("v")).where("v is not null and not isnan(v)")
     size = band.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     want = size.select(*keys, F.expr("(n - 1) div 2").alias("first"), F.expr("n div 2").alias("second"))
+    before = None
     while True:
         values = band.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
         most = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if most <= MEDIAN_VALUES:
+        if most <= MEDIAN_VALUES or most == before:
             break
+        before = most
         named = band.groupBy(*keys).agg(F.kll_sketch_agg_double("v").alias("s"), F.count(F.lit(1)).alias("m"),
                                         F.min("v").alias("least"), F.max("v").alias("top")).join(want, keys)
-        at = lambda rank: F.kll_sketch_get_quantile_double("s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), rank)))
-        edges = stable(named.select(*keys, "first", "second", "least", "top", at(F.col("first") / F.col("m") - MEDIAN_BAND).alias("lo"),
-                                    at(F.col("second") / F.col("m") + MEDIAN_BAND).alias("hi")))
+        read = F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(i / MEDIAN_STEPS) for i in range(MEDIAN_STEPS + 1)]))
+        place = lambda rank: (F.col(rank) * MEDIAN_STEPS / F.col("m"))
+        edges = stable(named.select(
+            *keys, "first", "second", "least", "top",
+            F.get(read, F.greatest(F.lit(0), F.floor(place("first")) - 1).cast("int")).alias("lo"),
+            F.get(read, F.least(F.lit(MEDIAN_STEPS), F.ceil(place("second")) + 1).cast("int")).alias("hi")))
         seen = band.join(edges, keys).groupBy(*keys, "first", "second", "least", "top", "lo", "hi").agg(
             F.count_if(v < F.col("lo")).alias("below"), F.count_if(v.between(F.col("lo"), F.col("hi"))).alias("inside"))
         holds = (F.col("below") <= F.col("first")) & (F.col("second") < F.col("below") + F.col("inside"))
