@@ -35,6 +35,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads hashes of short strings, which are small numbers, over all 64 bits; different ones stay different."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
+
+
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of the fields of a protocol buffer message."""
     at = 0
@@ -84,9 +90,12 @@ class Vocabulary:
         self.power = np.full(self.longest + 1, _BASE, np.uint64)
         self.power[0] = 1
         self.power = np.cumprod(self.power, dtype=np.uint64)
-        key = np.array([self._hash(self.text[i]) for i in plain], np.uint64)
+        key = _mixed(np.array([self._hash(self.text[i]) for i in plain], np.uint64))
         order = np.argsort(key)
         self.key, self.piece = key[order], np.array(plain, np.int64)[order]
+        # where the keys of each leading 16 bits begin, so that a probe looks at one short stretch of the sorted keys
+        self.begin = np.searchsorted(self.key, np.arange(2**16, dtype=np.uint64) << np.uint64(48)).astype(np.int32)
+        self.begin = np.append(self.begin, np.int32(len(self.key)))
         # where no piece goes on behind a space mark, words can be split there
         inner = any("▁" in t.lstrip("▁") for t in self.id_of)
         self.words = re.compile(r"(?s:.+)" if inner else "▁+[^▁]*|[^▁]+").findall
@@ -106,9 +115,18 @@ class Vocabulary:
 
     def find(self, h: np.ndarray, size: int) -> np.ndarray:
         """Ids of the pieces with these hashes of substrings of one size, -1 where there is none."""
-        h = h ^ np.uint64(size * int(_SALT) & (2**64 - 1))
-        at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
-        return np.where(self.key[at] == h, self.piece[at], -1)
+        h = _mixed(h ^ np.uint64(size * int(_SALT) & (2**64 - 1)))
+        out = np.full(len(h), -1, np.int64)
+        head = (h >> np.uint64(48)).astype(np.int32)
+        at, end = self.begin[head], self.begin[head + 1]
+        rows = np.flatnonzero(at < end)
+        at, end, h = at[rows], end[rows], h[rows]
+        while len(rows):
+            same = self.key[at] == h
+            out[rows[same]] = self.piece[at[same]]
+            on = ~same & (at + 1 < end)
+            rows, at, end, h = rows[on], at[on] + 1, end[on], h[on]
+        return out
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: the best pair first, the leftmost of equals."""
@@ -151,6 +169,15 @@ class Vocabulary:
 
 def viterbi(words: list[str], v: Vocabulary) -> list[list[int]]:
     """Ids of words of one length; characters without a piece come as -1 - code point."""
+    ids, count = ways(words, v)
+    return [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])]
+
+
+def ways(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words of one length, one after the other, and their number for each word.
+
+    Characters without a piece come as -1 - code point.
+    """
     n, size = len(words), len(words[0])
     c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64).reshape(n, size)
     h = np.zeros((size + 1, n), np.uint64)
@@ -181,15 +208,16 @@ def viterbi(words: list[str], v: Vocabulary) -> list[list[int]]:
                 up = total > best[j, at]
                 at, total = at[up], total[up]
                 best[j, at], last[j, at], start[j, at] = total, -2, i
-    out = []
-    for r in range(n):
-        ids, j = [], size
-        while j:
-            p = int(last[j, r])
-            ids.append(p if p >= 0 else -1 - ord(words[r][j - 1]))
-            j = int(start[j, r])
-        out.append(ids[::-1])
-    return out
+    # all words go back by one piece at a time, filling their rows from the right
+    ids, place = np.zeros((n, size), np.int64), np.full(n, size)
+    at, rows = np.full(n, size), np.arange(n)
+    while len(rows):
+        p = last[at, rows]
+        place[rows] -= 1
+        ids[rows, place[rows]] = np.where(p >= 0, p, -1 - c[rows, at - 1].astype(np.int64))
+        at = start[at, rows]
+        rows, at = rows[at > 0], at[at > 0]
+    return ids[np.arange(size) >= place[:, None]], size - place
 
 
 class Codec:
@@ -223,8 +251,11 @@ class Codec:
             rows = max(1, min(ROWS, 4_000_000 // size))
             for i in range(0, len(words), rows):
                 some = words[i: i + rows]
-                for w, ids in zip(some, viterbi(some, self.v)):
-                    self.known[w] = self._whole(ids)
+                ids, count = ways(some, self.v)
+                raw, end = ids.astype("<i4").tobytes(), np.cumsum(count)
+                odd = np.add.reduceat(ids < 0, end - count) > 0
+                for w, a, b, n in zip(some, (end - count).tolist(), end.tolist(), odd.tolist()):
+                    self.known[w] = self._whole(ids[a:b].tolist()) if n else raw[4 * a: 4 * b]
         return [np.frombuffer(b"".join([self.known[w] for w in ws]), "<i4") for ws in split]
 
     def decode(self, ids) -> str:
