@@ -29,6 +29,17 @@ def text_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(key: str, n: int) -> Column:
     """Remainder of crc32 of the key written as text; a null key falls in no fold (-1)."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % n, F.lit(-1))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtlens.llm.common import SPACE
+from courtlens.llm.common import SPACE, unused
 from courtlens.session import stable
 
 #: Words that a run needs to be a passage.
@@ -95,19 +95,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
 
     A text whose lines all go becomes empty; null stays null. Rows that repeat key and text
     are the same document and get the same result; rows that share a key but not the text
-    are ordered by the hash of the text. ``deleted`` names a column for the count of lines cut,
-    ``length`` a column of ``docs`` that holds the length of the text and follows it where lines are cut.
+    are ordered by the hash of the text. ``deleted`` names a column for the count of lines cut, which is
+    replaced where there is one, ``length`` a column of ``docs`` that holds the length of the text and follows it where lines are cut.
     """
-    named = docs.withColumn("__k", F.struct(F.col(key).alias("d"), F.xxhash64(F.col(text)).alias("h")))
-    ranges = repeated_ranges(named.where(F.col(text).isNotNull()).select(F.col("__k").alias("k"), F.col(text).alias("t")),
+    k, places, cut, n = unused(docs, "k", "places", "cut", "n_cut")
+    named = docs.withColumn(k, F.struct(F.col(key).alias("d"), F.xxhash64(F.col(text)).alias("h")))
+    ranges = repeated_ranges(named.where(F.col(text).isNotNull()).select(F.col(k).alias("k"), F.col(text).alias("t")),
                              min_words)
-    joined = named.join(ranges.select(F.col("k").alias("__k"), F.col("places").alias("__places")), "__k", "left")
-    cut = F.expr(
-        f"if(__places is null, `{text}`, element_at(transform(array(split(`{text}`, '\\\\n')), ls ->"
-        " array_join(transform(array_except(sequence(0, size(ls) - 1), __places), p -> ls[p]), '\\n')), 1))")
-    joined = joined.withColumn("__cut", cut).withColumn("__n", F.coalesce(F.size("__places"), F.lit(0)).cast("bigint"))
-    more = [F.col("__n").alias(deleted)] if deleted else []
-    new = {text: F.col("__cut")}
+    joined = named.join(ranges.select(F.col("k").alias(k), F.col("places").alias(places)), k, "left")
+    kept = F.expr(
+        f"if({places} is null, `{text}`, element_at(transform(array(split(`{text}`, '\\\\n')), ls ->"
+        f" array_join(transform(array_except(sequence(0, size(ls) - 1), {places}), p -> ls[p]), '\\n')), 1))")
+    joined = joined.withColumn(cut, kept).withColumn(n, F.coalesce(F.size(places), F.lit(0)).cast("bigint"))
+    new = {text: F.col(cut)}
     if length:
-        new[length] = F.when(F.col("__n") > 0, F.length("__cut").cast(dict(docs.dtypes)[length])).otherwise(F.col(length))
+        new[length] = F.when(F.col(n) > 0, F.length(cut).cast(dict(docs.dtypes)[length])).otherwise(F.col(length))
+    if deleted:
+        new[deleted] = F.col(n)
+    more = [F.col(n).alias(deleted)] if deleted and deleted not in docs.columns else []
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns], *more)

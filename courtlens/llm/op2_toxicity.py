@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courtlens.llm import linear
-from courtlens.llm.common import fold, text_batches
+from courtlens.llm.common import fold, text_batches, unused
 from courtlens.session import stable
 
 #: What a sign may stand for.
@@ -250,7 +250,11 @@ def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without rows scored ``REJECT`` or more; columns stay as they are."""
+    """``docs`` without rows scored ``REJECT`` or more; columns stay as they are, whatever their names.
+
+    Null and empty texts get the prior and stay unless that rejects; repeated rows fare alike.
+    """
     letters, model = train(docs, labels.where(fold(key, 3) != 1), key, text)
-    scored = docs.withColumn("__score", score_column(letters, model)(F.col(text)))
-    return scored.where(F.col("__score") < REJECT).select(*docs.columns)
+    score, = unused(docs, "score")
+    scored = docs.withColumn(score, score_column(letters, model)(F.col(text)))
+    return scored.where(F.col(score) < REJECT).select(*docs.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtlens.llm.common import SPACE
+from courtlens.llm.common import SPACE, unused
 from courtlens.session import stable
 
 #: A host goes when more than this part of its documents is expected to fail.
@@ -112,8 +112,12 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """``docs`` without rejected rows; columns stay as they are."""
-    m = docs.withColumn("base_failed", word_measures(text)["base_failed"]).select(F.col(host), "base_failed")
-    hosts = host_verdicts(m, host).where("host_failed").select(F.col("host").alias("__host"))
+    """``docs`` without rejected rows; columns stay as they are, whatever their names.
+
+    Null and empty texts fail, a null host is a host of its own, repeated rows count and fare as often as they stand.
+    """
+    m = docs.select(F.col(host).alias("host"), word_measures(text)["base_failed"].alias("base_failed"))
+    failed, = unused(docs, "failed_host")
+    hosts = host_verdicts(m, "host").where("host_failed").select(F.col("host").alias(failed))
     return docs.where(~word_measures(text)["base_failed"]).join(
-        hosts, F.col(host).eqNullSafe(F.col("__host")), "left_anti")
+        hosts, F.col(host).eqNullSafe(F.col(failed)), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtlens.llm.common import components, text_batches
+from courtlens.llm.common import components, text_batches, unused
 from courtlens.session import stable
 
 #: Links join fingerprints at this distance or less; the two-segment index is exact up to 3.
@@ -172,12 +172,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest key.
 
-    Components whose rows have no key keep one of them. Columns stay as they are.
+    Components whose rows have no key keep one of them. Columns stay as they are, whatever their names.
     """
+    fp, id_ = unused(docs, "fp", "row_id")
     found = near_duplicates(docs, key, text).where(
         F.col("component_id").isNull() | (F.col(key) == F.col("component_id")))
-    chosen = found.groupBy("fp_class").agg(F.min(F.struct(F.col(key).alias("k"), "fingerprint")).alias("__one"))
-    mine = with_fingerprint(docs, text, "__fp").withColumn(
-        "__id", F.struct(F.col(key).alias("k"), _hex("__fp").alias("fingerprint")))
-    kept = mine.join(chosen.select(F.col("__one").alias("__id")), "__id").dropDuplicates(["__id"])
+    chosen = found.groupBy("fp_class").agg(F.min(F.struct(F.col(key).alias("k"), "fingerprint")).alias("one"))
+    mine = with_fingerprint(docs, text, fp).withColumn(
+        id_, F.struct(F.col(key).alias("k"), _hex(fp).alias("fingerprint")))
+    kept = mine.join(chosen.select(F.col("one").alias(id_)), id_).dropDuplicates([id_])
     return kept.select(*docs.columns)
