@@ -776,7 +776,10 @@ def player_rankings(spark, folder):
 @query("s: season role_family i: players misplaced d: outside", "select season, role_family, count(*) as players, 0 as misplaced, 0 as outside from ranked group by season, role_family")
 def player_rankings_fitted(spark, folder):
     """Rankings with fitted win probability, outcomes and ridge: players, ranks that differ from a plain window's, scores outside 0 to 100."""
-    r = tables(spark, folder, "logistic").player_rankings
+    return _ranks_checked(tables(spark, folder, "logistic").player_rankings)
+
+
+def _ranks_checked(r):
     by = lambda *keys: F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("final_value_z", 12))))
     wrong = (F.col("overall_rank") != by("season")) | (F.col("role_rank") != by("season", "role_family"))
     d = r.withColumns({"wrong": wrong, "beyond": F.greatest(F.lit(0.0), -F.col("overall_score"), F.col("overall_score") - 100)})
@@ -784,6 +787,12 @@ def player_rankings_fitted(spark, folder):
         F.count(F.lit(1)).alias("players"), F.count_if("wrong").alias("misplaced"), F.sum("beyond").alias("outside"))
 
 
+@query("s: season role_family i: players misplaced d: outside", "select season, role_family, count(*) as players, 0 as misplaced, 0 as outside from ranked group by season, role_family")
+def player_rankings_default(spark, folder):
+    """The same with the default win-probability model, the perceptron."""
+    return _ranks_checked(tables(spark, folder, "mlp").player_rankings)
+
+
 @query("s: season role_family kind i: train_rows d: off_grid", """select season, role_family, case when count_if(event_rallies >= 5) >= 10 then 'ridge_cv' else 'role_mean' end as kind,
   count_if(event_rallies >= 5) as train_rows, 0 as off_grid from ranked group by season, role_family""")
 def tabular_models(spark, folder):

@@ -118,6 +118,15 @@ WP_FEATURES = [
     "is_deuce_or_later",
 ]
 
+FIRST_BALL_COUNTS = [
+    "fb_receptions", "fb_clean_receptions", "fb_reception_errors", "fb_attacks", "fb_kills",
+    "fb_middle_attacks", "fb_receive_point_wins",
+]
+FIRST_BALL_RATES = [
+    "fb_attack_rate", "fb_kill_rate", "fb_middle_attack_rate", "fb_reception_error_rate",
+    "fb_receive_point_win_rate",
+]
+
 GAME_EVENTS = [
     "Serve", "Service error", "Reception", "Set", "Set error", "Attack", "Attack error",
     "Ace", "Block", "Dig", "First ball kill", "Kill",

@@ -190,6 +190,30 @@ def dense_rank(
     return df.join(ranks, [*keys, value], "left")
 
 
+def dense_ranks(
+    df: DataFrame, value: str, ranks: dict[str, list[str]], descending: bool = True
+) -> DataFrame:
+    """Several dense ranks of ``value``, each within its own keys (out -> keys), in one ordered pass.
+
+    The distinct (keys, value) are spread by the keys that all ranks share and the value, once; equal values
+    share a range, so each rank counts the first rows of its values there and adds the ranges before.
+    """
+    every = list(dict.fromkeys(k for keys in ranks.values() for k in keys))
+    shared = [k for k in every if all(k in keys for keys in ranks.values())]
+    by = F.col(value).desc() if descending else F.col(value).asc()
+    d = _ranged(df.select(*every, value).distinct(), shared, [by])
+    for out, keys in ranks.items():
+        rest = [k for k in every if k not in keys]
+        first = F.row_number().over(W.partitionBy(*keys, _P, value).orderBy(*(rest or [value]))) == 1
+        d = d.withColumn(f"__f_{out}", first.cast("bigint"))
+        per_part = d.groupBy(*keys, _P).agg(F.sum(f"__f_{out}").alias("__t"))
+        before = W.partitionBy(*keys).orderBy(_P).rowsBetween(W.unboundedPreceding, -1)
+        offsets = per_part.select(*keys, _P, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
+        upto = W.partitionBy(*keys, _P).orderBy(by).rangeBetween(W.unboundedPreceding, 0)
+        d = d.join(offsets, [*keys, _P]).withColumn(out, F.sum(f"__f_{out}").over(upto) + F.col("__o")).drop("__o")
+    return df.join(d.select(*every, value, *ranks), [*every, value], "left")
+
+
 # --- compositions -----------------------------------------------------------
 
 def keep_first(df: DataFrame, subset: list[str], order: str) -> DataFrame:

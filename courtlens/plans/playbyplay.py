@@ -40,6 +40,20 @@ def distinct_touches(pbp: DataFrame) -> DataFrame:
     )
 
 
+def outline(pbp: DataFrame) -> DataFrame:
+    """(season, contestid, the three team texts, rows): all that has to be known of a log before it is cleaned.
+
+    A few rows for each contest, from one pass that adds up in every task first.
+    """
+    d = N.with_missing(checked(pbp), {c: "string" for c in [*_TEXT, "contestid"]})
+    return d.groupBy("season", "contestid", "team", "home_team", "away_team").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def largest_contest(outlined: DataFrame) -> int:
+    sizes = outlined.groupBy("season", "contestid").agg(F.sum("rows").alias("n"))
+    return int(sizes.agg(F.max("n")).first()[0] or 0)
+
+
 def _typed_keys(pbp: DataFrame) -> DataFrame:
     return pbp.withColumns({
         "contestid": N.number(F.col("contestid"), "bigint"),
@@ -47,10 +61,12 @@ def _typed_keys(pbp: DataFrame) -> DataFrame:
     })
 
 
-def with_contest_ids(pbp: DataFrame, negative_synthetic: bool = False) -> DataFrame:
+def with_contest_ids(
+    pbp: DataFrame, negative_synthetic: bool = False, missing: list[str] | None = None
+) -> DataFrame:
     """Numeric contest ids; seasons with a missing one get ids from row order."""
     d = _typed_keys(pbp)
-    missing = _seasons_without_ids(pbp)
+    missing = _seasons_without_ids(pbp) if missing is None else missing
     if not missing:
         return d
     whole = d.filter(~F.col("season").isin(missing))
@@ -63,7 +79,7 @@ def with_contest_ids(pbp: DataFrame, negative_synthetic: bool = False) -> DataFr
 
 
 def _seasons_without_ids(pbp: DataFrame) -> list[str]:
-    gaps = _typed_keys(pbp).filter("contestid is null").select("season").distinct()
+    gaps = pbp.where(N.number(F.col("contestid"), "bigint").isNull()).select("season").distinct()
     return [r[0] for r in gaps.collect()]
 
 
@@ -151,21 +167,25 @@ def with_score_and_rallies(pbp: DataFrame, chunk: int | None) -> DataFrame:
 def clean_pbp(
     pbp: DataFrame, master: DataFrame, teams: DataFrame, *,
     dedup: bool = True, chunk: int | None | str = "auto", negative_synthetic: bool = False,
+    outlined: DataFrame | None = None,
 ) -> DataFrame:
     """The cleaned log, one row per touch (more where a player has two roster entries).
 
-    ``chunk`` is the row limit per task inside a set; 'auto' measures the largest set.
+    ``chunk`` is the row limit per task inside a set; 'auto' measures the largest set. ``outlined`` is the
+    written ``outline`` of the log, if there is one already.
     """
-    d = scan = N.with_missing(checked(pbp), {c: "string" for c in [*_TEXT, "contestid"]})
+    d = N.with_missing(checked(pbp), {c: "string" for c in [*_TEXT, "contestid"]})
+    outlined = stable(outline(pbp)) if outlined is None else outlined
     if chunk == "auto":
         chunk = ordered.pick_chunk(_typed_keys(d), SET_KEY)
-    if dedup and chunk is None and not _seasons_without_ids(d):
+    missing = _seasons_without_ids(outlined)
+    if dedup and chunk is None and not missing:
         d = distinct_typed_touches(d)
     else:
         d = distinct_touches(d) if dedup else d
-        d = with_contest_ids(d, negative_synthetic).dropna(subset=["contestid", "set_no"])
+        d = with_contest_ids(d, negative_synthetic, missing).dropna(subset=["contestid", "set_no"])
     d = resolve(
-        d, {"team_clean": "team", "home_clean": "home_team", "away_clean": "away_team"}, teams, scan
+        d, {"team_clean": "team", "home_clean": "home_team", "away_clean": "away_team"}, teams, outlined
     )
     d = d.withColumns({
         "player_clean": T.clean_name(F.col("player")),

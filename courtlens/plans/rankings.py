@@ -230,8 +230,7 @@ def with_ranks(d: DataFrame) -> DataFrame:
     which a run happened to add up its sums.
     """
     d = stable(d.withColumn("__v", F.round("final_value_z", 12)))
-    d = ordered.dense_rank(d, ["season", "role_family"], "__v", "role_rank")
-    d = ordered.dense_rank(d, ["season"], "__v", "overall_rank")
+    d = ordered.dense_ranks(d, "__v", {"role_rank": ["season", "role_family"], "overall_rank": ["season"]})
     extra = [
         c for c in d.columns
         if (c.startswith(("box_", "fb_", "sr_", "event_count_")) or c in _EXTRA)

@@ -14,11 +14,13 @@ such terms, so they do not move the score.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtlens.config import GAME_EVENTS
 from courtlens.functions import numeric as N
 from courtlens.operators import ordered
+from courtlens.session import stable
 
 GAME = ["season", "contestid", "set_no"]
 
@@ -39,21 +41,24 @@ def game_roster(pbp: DataFrame) -> DataFrame:
     return _playing(pbp).select(*GAME, "away_team", "home_team", "team", "player").distinct()
 
 
+def tallies(pbp: DataFrame) -> DataFrame:
+    """Touches of each event per player, team and game, written: all counts below are sums of it."""
+    return stable(_playing(pbp).groupBy(*GAME, "home_team", "away_team", "team", "player").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(F.col("event") == e).alias(f"n_{slug(e)}") for e in GAME_EVENTS]))
+
+
 def opportunities(pbp: DataFrame, events: list[str] = GAME_EVENTS) -> DataFrame:
-    """Per player and game: own count, team opportunities and their share per roster mate.
+    """Per player and game: own count, team opportunities and their share per roster mate."""
+    return chances(tallies(pbp), events)
 
-    Team totals are aggregated first and joined to the roster, so the touches are never
-    multiplied by the roster.
-    """
-    p = _playing(pbp)
-    counted = lambda prefix: [
-        F.count_if(F.col("event") == e).alias(f"{prefix}{slug(e)}") for e in events
-    ]
-    team = p.groupBy(*GAME, "team").agg(*counted("opp_"))
-    own = p.groupBy(*GAME, "team", "player").agg(*counted("n_"))
-    size = own.groupBy(*GAME, "team").agg(F.count(F.lit(1)).alias("roster_size"))
-    d = own.join(team, [*GAME, "team"]).join(size, [*GAME, "team"])
-    return d.withColumns({
+
+def chances(tallied: DataFrame, events: list[str] = GAME_EVENTS) -> DataFrame:
+    """The same from ``tallies``. Team totals are summed first and joined to the roster, so nothing is multiplied by it."""
+    own = tallied.groupBy(*GAME, "team", "player").agg(*[F.sum(f"n_{slug(e)}").alias(f"n_{slug(e)}") for e in events])
+    team = own.groupBy(*GAME, "team").agg(
+        *[F.sum(f"n_{slug(e)}").alias(f"opp_{slug(e)}") for e in events], F.count(F.lit(1)).alias("roster_size"))
+    return own.join(team, [*GAME, "team"]).withColumns({
         f"share_{slug(e)}": F.col(f"opp_{slug(e)}") / F.col("roster_size") for e in events
     })
 
@@ -78,12 +83,23 @@ def serve_episodes(pbp: DataFrame, chunk: int | None | str = "auto") -> DataFram
         *[count(ev, f"{s}_team").alias(f"{s}_{slug(ev)}")
           for ev in ("Set", "Attack", "Reception") for s in ("home", "away")],
     )
-    last = d.groupBy(*GAME).agg(F.max("episode").alias("last_episode"))
-    return e.join(last, GAME).filter(F.col("episode") < F.col("last_episode")).drop("last_episode")
+    if chunk is None:
+        e = e.withColumn("last_episode", F.max("episode").over(W.partitionBy(*GAME)))
+    else:   # a game may hold most episodes
+        e = stable(e)
+        e = e.join(e.groupBy(*GAME).agg(F.max("episode").alias("last_episode")), GAME)
+    return e.filter(F.col("episode") < F.col("last_episode")).drop("last_episode")
 
 
-def team_rates(pbp: DataFrame, chunk: int | None | str = "auto") -> DataFrame:
-    """Team totals per game and what follows a serve: sets, attacks, attacks after a return."""
+def team_rates(pbp: DataFrame, chunk: int | None | str = "auto", tallied: DataFrame | None = None) -> DataFrame:
+    """Team totals per game and what follows a serve: sets, attacks, attacks after a return.
+
+    With ``tallied``, the ``tallies`` of the log, the log itself is read for the episodes only.
+    """
+    tallied = tallies(pbp) if tallied is None else tallied
+    if chunk == "auto":
+        largest = tallied.groupBy(*GAME).agg(F.sum("rows").alias("n")).agg(F.max("n")).first()[0] or 0
+        chunk = ordered.HOT_ROWS if largest > ordered.HOT_ROWS else None
     e = serve_episodes(pbp, chunk)
     sides = F.explode(F.array(*[
         F.struct(
@@ -100,13 +116,11 @@ def team_rates(pbp: DataFrame, chunk: int | None | str = "auto") -> DataFrame:
         F.sum(F.when(F.col("serving") & (F.col("returned") > 0), F.col("attacks")).otherwise(0))
         .alias("attacks_from_opp_return"),
     )
-    p = _playing(pbp)
     opponent = F.when(F.col("team") == F.col("home_team"), F.col("away_team")).otherwise(F.col("home_team"))
     named = {"serves": "Serve", "returns": "Reception", "digs": "Dig", "sets": "Set", "attacks": "Attack"}
-    scored = F.col("event").isin("Kill", "First ball kill", "Ace", "Block")
-    total = p.groupBy(*GAME, "team", opponent.alias("opponent")).agg(
-        *[F.count_if(F.col("event") == v).alias(f"team_{k}") for k, v in named.items()],
-        F.count_if(scored).alias("team_points"),
+    total = tallied.groupBy(*GAME, "team", opponent.alias("opponent")).agg(
+        *[F.sum(f"n_{slug(v)}").alias(f"team_{k}") for k, v in named.items()],
+        F.sum(F.col("n_kill") + F.col("n_first_ball_kill") + F.col("n_ace") + F.col("n_block")).alias("team_points"),
     )
     d = total.join(after, [*GAME, "team"], "left").fillna(
         0, ["sets_from_serve", "attacks_from_opp_serve", "attacks_from_opp_return"]
@@ -124,12 +138,12 @@ def team_rates(pbp: DataFrame, chunk: int | None | str = "auto") -> DataFrame:
     })
 
 
-def player_rates(chances: DataFrame) -> DataFrame:
+def player_rates(counted: DataFrame) -> DataFrame:
     """Serve outcomes per serve, other touches as share of the team's opportunities."""
     n, o = (lambda e: F.col(f"n_{e}")), (lambda e: F.col(f"opp_{e}"))
     kills, kill_chances = n("kill") + n("first_ball_kill"), o("kill") + o("first_ball_kill")
     error = N.safe_rate(n("service_error"), n("serve"))
-    return chances.select(
+    return counted.select(
         *GAME, "team", "player",
         (F.lit(1.0) - error).alias("serve_pct"), error.alias("serve_error_pct"),
         N.safe_rate(n("ace"), n("serve")).alias("ace_pct"),
@@ -145,10 +159,11 @@ def player_rates(chances: DataFrame) -> DataFrame:
 
 def replacement_values(pbp: DataFrame, chunk: int | None | str = "auto") -> DataFrame:
     """Mean expected point change of a game if each other player took the player's chances."""
-    rates = player_rates(opportunities(pbp))
-    teams = team_rates(pbp, chunk).select(
+    tallied = tallies(pbp)
+    rates = player_rates(chances(tallied))
+    teams = stable(team_rates(pbp, chunk, tallied).select(
         *GAME, "team", "point_pct", "team_digs", "team_sets", "sets_per_serve"
-    )
+    ))
     c = F.col
 
     def serve_gain(serve_pct: Column, point_pct: Column) -> Column:

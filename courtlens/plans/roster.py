@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courtlens import config
 from courtlens.functions import numeric as N
 from courtlens.functions import text as T
 from courtlens.operators import stats
@@ -105,14 +106,7 @@ def player_match_enriched(
         "season", F.col("team_clean").alias("opp_clean"),
         F.col("team_strength_index").alias("opp_strength_index"),
     )
-    counts = [
-        "fb_receptions", "fb_clean_receptions", "fb_reception_errors", "fb_attacks", "fb_kills",
-        "fb_middle_attacks", "fb_receive_point_wins",
-    ]
-    rates = [
-        "fb_attack_rate", "fb_kill_rate", "fb_middle_attack_rate", "fb_reception_error_rate",
-        "fb_receive_point_win_rate",
-    ]
+    counts, rates = config.FIRST_BALL_COUNTS, config.FIRST_BALL_RATES
     fb = first_ball_contest.select("contestid", *PLAYER_KEY, *counts, *rates)
     out = (
         player_match.join(s, ["season", "team_clean"], "left")

@@ -63,10 +63,14 @@ class SeasonTables:
         named = self.team_box.withColumn("team_clean", clean_team(F.col("team")))
         return self._keep(roster.team_strength(named, self.player_master))
 
+    @cached_property
+    def outline(self) -> DataFrame:
+        return stable(playbyplay.outline(self.pbp))
+
     @cached_property
     def chunk(self) -> int | None:
         """Row limit per task inside a contest, None when no contest is large."""
-        return ordered.pick_chunk(self.pbp, ["season", "contestid"])
+        return ordered.HOT_ROWS if playbyplay.largest_contest(self.outline) > ordered.HOT_ROWS else None
 
     @property
     def hot(self) -> bool:
@@ -75,7 +79,7 @@ class SeasonTables:
     @cached_property
     def clean_pbp(self) -> DataFrame:
         return self._by_contest(playbyplay.clean_pbp(
-            self.pbp, self.player_master, self.teams, chunk=self.chunk
+            self.pbp, self.player_master, self.teams, chunk=self.chunk, outlined=self.outline
         ), spread=True)
 
     @cached_property
