@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -266,10 +267,16 @@ class Codec:
         return raw.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def kept_codec(model: bytes) -> Codec:
+    """The codec of this Python worker; what it has learnt of words and pairs serves the worker's next tasks too."""
+    return Codec(model)
+
+
 def encoder(model: bytes):
     """Column function from text to ids; null and empty texts give no ids."""
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(model)
+        codec = kept_codec(model)
         for texts in parts:
             rows = list(texts)
             out = []
@@ -282,7 +289,7 @@ def encoder(model: bytes):
 def decoder(model: bytes):
     """Column function from ids to text; null ids give null, no ids the empty text."""
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(model)
+        codec = kept_codec(model)
         for ids in parts:
             yield pd.Series([None if x is None else codec.decode(x) for x in ids], dtype=object)
     return F.pandas_udf(run, T.StringType())
@@ -291,7 +298,7 @@ def decoder(model: bytes):
 def digest(model: bytes):
     """Column function from text to (n_tokens, ids_crc32, round_trip), with one codec for both ways."""
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model)
+        codec = kept_codec(model)
         for texts in parts:
             ids = codec.encode(list(texts))
             yield pd.DataFrame({
