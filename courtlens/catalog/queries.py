@@ -538,7 +538,7 @@ def win_probability_optimum(spark, folder):
 _STATES = f"""select season, home_match_win as y, count(*) over (partition by season) as n, sum(home_match_win) over (partition by season) as won,
   avg(home_match_win) over (partition by season, set_no, home_sets_before, away_sets_before, score_home_start, score_away_start, server_side) as p
   from wp join split using (season, contestid) where split = 'train' and point_delta_total = 1"""
-_BOUNDS = f"""select season, count(*) as rows, avg(-(y * ln(won / n) + (1 - y) * ln(1 - won / n))) as base_loss,
+_BOUNDS = f"""select season, count(*) as rows, avg(case when won > 0 and won < n then -(y * ln(won / n) + (1 - y) * ln(1 - won / n)) else 0 end) as base_loss,
   avg(case when p > 0 and p < 1 then -(y * ln(p) + (1 - y) * ln(1 - p)) else 0 end) as least_loss, 0 as outside from ({_STATES}) z group by season"""
 
 
@@ -559,7 +559,9 @@ def win_probability_mlp_loss(spark, folder):
         F.sum("n").alias("rows"), F.sum("won").alias("won"), F.sum("loss").alias("loss"), F.sum("least").alias("least"))
     per_row = {"base_loss": part(F.col("won") / F.col("rows"), F.col("rows")), "least_loss": F.col("least"), "loss": F.col("loss")}
     g = g.withColumns({c: v / F.col("rows") for c, v in per_row.items()})
-    return g.withColumn("outside", F.greatest(F.lit(0.0), F.col("loss") - F.col("base_loss"), F.col("least_loss") - F.col("loss")))
+    # where all contests end alike the rate has no loss, which no curve reaches
+    above = F.when(F.col("base_loss") > 0, F.col("loss") - F.col("base_loss")).otherwise(0.0)
+    return g.withColumn("outside", F.greatest(F.lit(0.0), above, F.col("least_loss") - F.col("loss")))
 
 
 @query("s: season i: rows won", """select w.season, count(*) as rows, cast(sum(home_match_win) as bigint) as won from wp w
