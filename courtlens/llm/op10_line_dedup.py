@@ -1,21 +1,24 @@
 """Repeated runs of lines removed by winnowing over line hashes, in DataFrame functions only.
 
-Order: documents by key (null first), lines by place. What stands first stays.
+Order: documents by key (null first), lines by place. What stands first stays. A line goes when
+it lies in a run of lines with ``MIN_WORDS`` words or more that any earlier place holds too.
 
 * Lines become hashes of their words. Lines without words belong to no run; they go with
-  the lines around them.
-* The window of a line is the shortest run from it that holds ``MIN_WORDS`` words, the gram
-  the shortest that holds half as many. Of the grams inside a window the smallest hash is
-  selected. Equal windows select equal grams, so every repeated run of that many words shares
-  a fingerprint with its first occurrence.
-* Fingerprints that stand at two places or more are joined by position to the first place
-  with the same window. As windows begin at every line, those of a match reach back to the
-  first line of the run; forwards the lines after the window are compared one by one, as far
-  as they could not fill a window of their own.
-* Later runs are deleted. Where a run overlaps its own first occurrence, only what lies
-  beyond that goes.
-
-No pairs are made: each later place meets one first place.
+  a window around them.
+* Windows are the shortest runs of that many words from every line on, and up to every line.
+  Every longer run is a union of its windows, its last lines included, so what windows find is
+  the maximal run, whichever of several earlier places holds it.
+* A gram is the shortest run from a line that holds half as many words. Of the grams inside a window
+  the smallest hash is selected. Equal windows select equal grams, so every repeated run
+  shares a fingerprint with its earlier place.
+* Fingerprints are joined by position: only those that stand at two places or more go on.
+* From such a position the match is extended to both sides by the windows that selected it,
+  each against the first place that holds the same lines. The first place is enough: whatever
+  another earlier place would remove of a window, the first one removes too.
+* Later windows are deleted. Where one overlaps its own first place, only what lies beyond goes.
+
+No pairs are made: each later window meets one first place. Keys with more than one row in
+``HOT_PART`` are fewer than that many; they are broadcast, so no task gets all rows of such a key.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ from courtlens.session import stable
 
 #: Words that a run needs to be a passage.
 MIN_WORDS = 50
+#: A key is hot when it holds more than one in this many rows.
+HOT_PART = 1_000
 
 _WORDS = f"filter(split(l, '{SPACE}'), w -> w <> '')".replace("\\", "\\\\")
 _LINES = (
     "filter(transform(transform(split(t, '\\\\n'), l -> " + _WORDS + "),"
-    " (ws, p) -> struct(xxhash64(ws) as h, size(ws) as n, p as p)), x -> x.n > 0)"
+    " ws -> struct(xxhash64(ws) as h, size(ws) as n)), x -> x.n > 0)"
 )
 # lines that the gram and the window of line i take; no line has fewer than one word
 _SPANS = (
@@ -41,52 +46,46 @@ _SPANS = (
     " c -> struct(if(c.s >= {half}, c.g, null) as g, if(c.s >= {m}, c.w, null) as w)))"
 )
 _GRAMS = "transform(s, (x, i) -> if(x.g is null, null, xxhash64(transform(slice(a, i + 1, x.g), y -> y.h))))"
-# (place, window lines, window hash, selected gram, place of that gram, source places, hashes of the lines after it)
+# (first line, last line, window hash, selected gram, place of that gram). The windows from line i end where it has
+# enough words, and go on over the ends up to which line i + 1 has too few: those are the shortest up to these ends
 _WINDOWS = (
-    "filter(transform(s, (x, i) -> if(x.w is null, null, struct(i as i, x.w as w,"
-    " xxhash64(transform(slice(a, i + 1, x.w), y -> y.h)) as c,"
-    " array_min(filter(transform(sequence(i, i + x.w - 1), j -> if(j + s[j].g <= i + x.w,"
-    " struct(g[j] as f, -j as j), null)), z -> z is not null)) as sel))), z -> z is not null)"
+    "flatten(transform(filter(s, x -> x.w is not null), (x, i) -> transform("
+    "sequence(i + x.w - 1, greatest(i + x.w - 1, coalesce(i + get(s, i + 1).w, size(s)) - 1)), e -> struct(i as i, e as e,"
+    " xxhash64(transform(slice(a, i + 1, e - i + 1), y -> y.h)) as c,"
+    " array_min(transform(filter(sequence(i, e), j -> j + s[j].g <= e + 1), j -> struct(g[j] as f, j as j))) as sel))))"
 )
 
 
 def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(k, i, w, c, f, fp_at, p, tail): the windows of all documents (k, t)."""
+    """(k, i, e, c, f, j): the windows of all documents (k, t) with the fingerprint each selects."""
     m = {"m": min_words, "half": (min_words + 1) // 2}
     d = docs.select("k", F.expr(_LINES).alias("a"))
     d = d.withColumn("s", F.expr(_SPANS.format(**m))).withColumn("g", F.expr(_GRAMS))
-    d = d.select("k", F.col("a"), F.explode(F.expr(_WINDOWS)).alias("x"))
-    # the lines after the window, as long as they hold too few words for a window
-    tail = (f"aggregate(slice(a, x.i + x.w + 1, {min_words}), struct(0 as s, cast(array() as array<bigint>) as r),"
-            f" (c, y) -> if(c.s + y.n < {min_words}, struct(c.s + y.n as s, concat(c.r, array(y.h)) as r),"
-            f" struct({min_words} as s, c.r as r)), c -> c.r)")
-    return d.select(
-        "k", "x.i", "x.w", "x.c", F.col("x.sel.f").alias("f"), (-F.col("x.sel.j")).alias("fp_at"),
-        F.expr(f"transform(slice(a, x.i + 1, x.w + {min_words}), y -> y.p)").alias("p"), F.expr(tail).alias("tail"))
+    return d.select("k", F.explode(F.expr(_WINDOWS)).alias("x")).select(
+        "k", "x.i", "x.e", "x.c", F.col("x.sel.f").alias("f"), F.col("x.sel.j").alias("j"))
+
+
+def _join_spread(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` joined to ``keys`` (one row for each, ``n`` rows of ``total`` in all), hot keys apart."""
+    hot = F.broadcast(keys.where(F.col("n") * HOT_PART > total).drop("n"))
+    rest = keys.where(F.col("n") * HOT_PART <= total).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest, on))
 
 
 def repeated_ranges(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k, places): for documents (k, t) that hold later runs, the places of the lines to delete."""
+    """(k, ranges): for documents (k, t) that hold later runs, the runs (lo, hi) to delete, as numbers of lines with words."""
     w = stable(_windows(docs, min_words))
+    total = w.count()
     # fingerprints at one place only need no further look
-    shared = w.groupBy("f").agg(
-        F.min(F.struct("k", "fp_at")).alias("lo"), F.max(F.struct("k", "fp_at")).alias("hi")
-    ).where("lo <> hi").select("f")
-    candidates = w.join(shared, "f")
-    first = w.groupBy("f", "c").agg(
-        F.min(F.struct("k", "i", "w", "tail")).alias("o"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1").select("f", "c", F.col("o.k").alias("ok"), F.col("o.i").alias("oi"),
-                            F.col("o.w").alias("ow"), F.col("o.tail").alias("otail"))
-    later = candidates.join(first, ["f", "c"]).where("k <> ok or i <> oi")
-    same = ("aggregate(arrays_zip(tail, otail), struct(true as on, 0 as n),"
-            " (c, y) -> if(c.on and y.tail = y.otail, struct(true as on, c.n + 1 as n),"
-            " struct(false as on, c.n as n)), c -> c.n)")
-    later = later.withColumn("n", F.col("w") + F.expr(same)).withColumn(
-        "skip", F.expr("if(k = ok, greatest(0, oi + ow - i), 0)")).where("skip < n")
-    # places from the first to the last line, with the blank ones between
-    return later.select("k", F.expr("p[skip]").alias("lo"), F.expr("p[n - 1]").alias("hi")).distinct().groupBy("k").agg(
-        F.array_distinct(F.flatten(F.transform(
-            F.collect_list(F.struct("lo", "hi")), lambda r: F.sequence(r["lo"], r["hi"])))).alias("places"))
+    shared = stable(w.groupBy("f").agg(
+        F.min(F.struct("k", "j")).alias("lo"), F.max(F.struct("k", "j")).alias("hi"), F.count(F.lit(1)).alias("n")
+    ).where("lo <> hi").select("f", "n"))
+    near = stable(_join_spread(w, shared, ["f"], total))
+    first = stable(near.groupBy("f", "c").agg(
+        F.min(F.struct("k", "i", "e")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    later = _join_spread(near, first, ["f", "c"], total).where("k <> o.k or i <> o.i")
+    later = later.select("k", F.expr("if(k = o.k, greatest(i, o.e + 1), i)").alias("lo"), F.col("e").alias("hi"))
+    return later.where("lo <= hi").groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
@@ -98,15 +97,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     are ordered by the hash of the text. ``deleted`` names a column for the count of lines cut, which is
     replaced where there is one, ``length`` a column of ``docs`` that holds the length of the text and follows it where lines are cut.
     """
-    k, places, cut, n = unused(docs, "k", "places", "cut", "n_cut")
+    k, ranges, places, cut, n = unused(docs, "k", "ranges", "places", "cut", "n_cut")
     named = docs.withColumn(k, F.struct(F.col(key).alias("d"), F.xxhash64(F.col(text)).alias("h")))
-    ranges = repeated_ranges(named.where(F.col(text).isNotNull()).select(F.col(k).alias("k"), F.col(text).alias("t")),
-                             min_words)
-    joined = named.join(ranges.select(F.col("k").alias(k), F.col("places").alias(places)), k, "left")
+    found = repeated_ranges(named.where(F.col(text).isNotNull()).select(F.col(k).alias("k"), F.col(text).alias("t")),
+                            min_words)
+    joined = named.join(found.select(F.col("k").alias(k), F.col("ranges").alias(ranges)), k, "left")
+    # places from the first to the last line of a run, with the blank ones between
+    lines = f"split(`{text}`, '\\\\n')"
+    word = SPACE.replace("[", "[^", 1).rstrip("+").replace("\\", "\\\\")
+    gone = F.expr(
+        f"if({ranges} is null, null, element_at(transform(array(filter(transform({lines}, (l, p) -> if(l rlike '{word}', p, null)),"
+        f" p -> p is not null)), ps -> array_distinct(flatten(transform({ranges}, r -> sequence(ps[r.lo], ps[r.hi]))))), 1))")
     kept = F.expr(
-        f"if({places} is null, `{text}`, element_at(transform(array(split(`{text}`, '\\\\n')), ls ->"
+        f"if({places} is null, `{text}`, element_at(transform(array({lines}), ls ->"
         f" array_join(transform(array_except(sequence(0, size(ls) - 1), {places}), p -> ls[p]), '\\n')), 1))")
-    joined = joined.withColumn(cut, kept).withColumn(n, F.coalesce(F.size(places), F.lit(0)).cast("bigint"))
+    joined = joined.withColumn(places, gone).withColumn(cut, kept)
+    joined = joined.withColumn(n, F.coalesce(F.size(places), F.lit(0)).cast("bigint"))
     new = {text: F.col(cut)}
     if length:
         new[length] = F.when(F.col(n) > 0, F.length(cut).cast(dict(docs.dtypes)[length])).otherwise(F.col(length))

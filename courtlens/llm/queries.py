@@ -117,21 +117,19 @@ def op10_line_runs(spark, folder):
         "doc_id", "text", "n_deleted")
 
 
-# every line of a document is numbered (p), those with words again (i); window i is the shortest run of
-# at least 50 words; a later window meets the first one with the same lines and goes on while lines agree
+# every line of a document is numbered (p), those with words again (i); windows are the shortest runs of at least
+# 50 words from every line on and up to every line; a later one goes but for the lines of the first with the same lines
 CHECKS["op10_line_runs"] = r"""
-with recursive a as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as p from documents where text is not null),
+with a as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as p from documents where text is not null),
 l as (select *, row_number() over (partition by doc_id order by p) as i from (
     select doc_id, p, list_aggregate(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), 'string_agg', ' ') as h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from a) where n > 0),
 c as (select *, sum(n) over (partition by doc_id order by i) as s from l),
-e as (select x.doc_id, x.i, min(y.i) as e from c x join c y on y.doc_id = x.doc_id and y.i >= x.i and y.s - x.s + x.n >= 50 group by x.doc_id, x.i),
+e as (select x.doc_id, x.i, min(y.i) as e from c x join c y on y.doc_id = x.doc_id and y.i >= x.i and y.s - x.s + x.n >= 50 group by x.doc_id, x.i
+  union select y.doc_id, max(x.i) as i, y.i as e from c x join c y on y.doc_id = x.doc_id and y.i >= x.i and y.s - x.s + x.n >= 50 group by y.doc_id, y.i),
 w as (select e.doc_id, e.i, e.e, string_agg(c.h, chr(10) order by c.i) as t from e join c on c.doc_id = e.doc_id and c.i between e.i and e.e group by e.doc_id, e.i, e.e),
 f as (select *, first_value(doc_id) over o as od, first_value(i) over o as oi, first_value(e) over o as oe from w window o as (partition by t order by doc_id, i)),
-m as (select doc_id, i, e, od, oi, oe, e as z, oe as oz from f where doc_id <> od or i <> oi
-  union all select m.doc_id, m.i, m.e, od, oi, oe, m.z + 1, m.oz + 1 from m join c x on x.doc_id = m.doc_id and x.i = m.z + 1
-    join c y on y.doc_id = m.od and y.i = m.oz + 1 and y.h = x.h
-    join c k on k.doc_id = m.doc_id and k.i = m.e where x.s - k.s < 50),
-r as (select doc_id, case when doc_id = od then greatest(i, oe + 1) else i end as lo, max(z) as hi from m group by doc_id, od, i, oe having lo <= hi),
+r as (select distinct doc_id, case when doc_id = od then greatest(i, oe + 1) else i end as lo, e as hi from f
+  where (doc_id <> od or i <> oi) and case when doc_id = od then greatest(i, oe + 1) else i end <= e),
 b as (select r.doc_id, x.p as lo, y.p as hi from r join l x on x.doc_id = r.doc_id and x.i = r.lo join l y on y.doc_id = r.doc_id and y.i = r.hi),
 g as (select distinct b.doc_id, a.p from b join a on a.doc_id = b.doc_id and a.p between b.lo and b.hi),
 k as (select a.doc_id, string_agg(a.line, chr(10) order by a.p) as text from a where not exists (select 1 from g where g.doc_id = a.doc_id and g.p = a.p) group by a.doc_id)

@@ -56,35 +56,22 @@ def test_host_verdict(spark):
 
 
 def brute_lines(rows, need):
-    """Line runs by the definition: windows from every line, first place wins, tails compared line by line."""
-    seqs, first, gone = {}, {}, collections.defaultdict(set)
+    """Line runs by the definition: every run of enough words goes that any earlier place holds, but for the lines of that place."""
+    seqs, gone = {}, collections.defaultdict(set)
     for i, t in rows:
         if t is not None:
             seqs[i] = [(p, " ".join(WORD.findall(x)), len(WORD.findall(x))) for p, x in enumerate(t.split("\n")) if WORD.search(x)]
     for i in sorted(seqs):
         s = seqs[i]
         for a in range(len(s)):
-            n = 0
-            for b in range(a, len(s)):
-                n += s[b][2]
-                if n >= need:
-                    break
-            if n < need:
-                continue
-            window = tuple(x[1] for x in s[a: b + 1])
-            if window not in first:
-                first[window] = (i, a, b)
-                continue
-            oi, oa, ob = first[window]
-            o, end, extra = seqs[oi], b, 0
-            while end + 1 < len(s) and ob + end - b + 1 < len(o) and s[end + 1][1] == o[ob + end - b + 1][1]:
-                extra += s[end + 1][2]
-                if extra >= need:
-                    break
-                end += 1
-            start = max(a, ob + 1) if oi == i else a
-            if start <= end:
-                gone[i] |= set(range(s[start][0], s[end][0] + 1))
+            for o in (o for o in sorted(seqs) if o <= i):
+                for b in range(a if o == i else len(seqs[o])):
+                    words = n = 0
+                    while a + n < len(s) and b + n < len(seqs[o]) and s[a + n][1] == seqs[o][b + n][1]:
+                        words, n = words + s[a + n][2], n + 1
+                        start = max(a, b + n) if o == i else a
+                        if words >= need and start < a + n:
+                            gone[i] |= set(range(s[start][0], s[a + n - 1][0] + 1))
     return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in rows}
 
 
@@ -99,6 +86,23 @@ def test_line_runs_match_brute_force(spark, seed):
     assert {r.doc_id: r.text for r in got.collect()} == brute_lines(rows, 10)
 
 
+def test_line_runs_meet_any_earlier_place(spark):
+    w, t = " ".join(f"w{i}" for i in range(55)), "a short tail of few words"
+    rows = [(1, w), (2, f"{w}\n{t}"), (3, f"{w}\n\n{t}"), (4, f"head\n{t}\n{w}"), (5, f"x y\n{t}\n{w}\n{t}\nz")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, [(i, x, "s") for i, x in rows])).collect()}
+    assert got == {1: w, 2: t, 3: "", 4: f"head\n{t}", 5: "x y\nz"} == brute_lines(rows, 50)
+
+
+@pytest.mark.parametrize("part", [1, 10**9])
+def test_line_runs_with_all_keys_or_none_hot(spark, monkeypatch, part):
+    monkeypatch.setattr(lines, "HOT_PART", part)
+    rng = random.Random(7)
+    pool = [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 14))) for _ in range(9)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 18)))) for i in range(20)]
+    got = lines.dedup_lines(docs(spark, [(i, t, "s") for i, t in rows]), min_words=15)
+    assert {r.doc_id: r.text for r in got.collect()} == brute_lines(rows, 15)
+
+
 def test_line_runs_edges(spark):
     long = "\n".join(f"line {i} " + "w " * 10 for i in range(3000))
     same = "p " * 60
