@@ -298,9 +298,11 @@ def chronological_split(
     return placed.select(*partition, contest, split.alias("split"))
 
 
-def with_file_row(df: DataFrame, out: str = "file_row") -> DataFrame:
+def with_file_row(df: DataFrame, out: str = "file_row", keys: list[str] | None = None) -> DataFrame:
     """Unique, order-preserving integer for rows of file sources.
 
+    With ``keys``, columns with one value in each file, numbers are unique and begin anew for each key.
+
     Tasks are not numbered in file order, so rows are ordered by (file, block offset)
     first and by position inside the block second.
     """
@@ -309,8 +311,9 @@ def with_file_row(df: DataFrame, out: str = "file_row") -> DataFrame:
         "__start": F.col("_metadata.file_block_start"),
         "__id": F.monotonically_increasing_id(),
     })
-    blocks = d.groupBy("__path", "__start").agg(F.min("__id").alias("__first"))
-    numbered = row_numbers(blocks, [], [F.col("__path"), F.col("__start")], "__block")
+    keys = keys or []
+    blocks = d.groupBy(*keys, "__path", "__start").agg(F.min("__id").alias("__first"))
+    numbered = row_numbers(blocks, keys, [F.col("__path"), F.col("__start")], "__block").drop(*keys)
     return (
         d.join(numbered, ["__path", "__start"])
         .withColumn(out, F.col("__block") * F.lit(1 << 34) + (F.col("__id") - F.col("__first")))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from courtlens import config
 from courtlens.functions import text as T
@@ -14,6 +16,10 @@ from courtlens.operators import ordered
 from courtlens.sources import seasons as S
 
 
+def _csv(spark: SparkSession):
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+
+
 def read_csv(
     spark: SparkSession, path: str | list[str], columns: list[str] | None = None,
     types: dict[str, str] | None = None,
@@ -23,7 +29,7 @@ def read_csv(
     One header holds for all files of a call. Quoted values may hold line breaks, so a file
     is one split; convert large files to Parquet once.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = _csv(spark).csv(path)
     if columns is not None:
         raw = raw.select(*[c for c in raw.columns if c in columns])
     typed = {c: F.col(f"`{c}`").try_cast(t) for c, t in (types or {}).items() if c in raw.columns}
@@ -39,9 +45,28 @@ def _by_name(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _box_file(spark: SparkSession, folder: str, kind: str, season: str) -> DataFrame:
-    df = T.standardize_columns(read_csv(spark, season_path(folder, kind, season)))
-    return df if "season" in df.columns else df.withColumn("season", F.lit(season))
+def _season_scans(spark: SparkSession, folder: str, kind: str, seasons: list[str]) -> list[DataFrame]:
+    """The files of all seasons, one scan for each distinct header and not for each file, so that the
+    plan does not grow with the seasons. ``__season`` is the season in the name of a row's file.
+    """
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for season in seasons:
+        path = season_path(folder, kind, season)
+        alike.setdefault(tuple(_csv(spark).csv(path).columns), []).append(path)
+    name = re.escape(config.SOURCE_FILES[kind]).replace(re.escape("{year}"), "([0-9]{4})")
+    year = F.regexp_extract(F.col("_metadata.file_path"), f".*/{name}", 1).cast("int")
+    return [
+        _csv(spark).schema(StructType([StructField(c, StringType()) for c in header])).csv(paths)
+        .withColumn("__season", F.concat_ws("-", year, year + 1))
+        for header, paths in alike.items()
+    ]
+
+
+def _box_rows(scan: DataFrame) -> DataFrame:
+    """A scan under standard names; the season of the file counts where its rows name none."""
+    df = T.standardize_columns(scan.drop("__season"))
+    return df if "season" in df.columns else T.standardize_columns(
+        scan.withColumnRenamed("__season", "season"))
 
 
 def read_box_tables(spark: SparkSession, folder: str, seasons: list[str]) -> dict[str, DataFrame]:
@@ -49,7 +74,7 @@ def read_box_tables(spark: SparkSession, folder: str, seasons: list[str]) -> dic
 
     Every season file is read by its own header, then all are put together by column name.
     """
-    out = {kind: S.checked(_by_name([_box_file(spark, folder, kind, s) for s in seasons]))
+    out = {kind: S.checked(_by_name([_box_rows(d) for d in _season_scans(spark, folder, kind, seasons)]))
            for kind in ("players", "player_match", "team_match")}
     out["players"] = drop_pseudo_players(out["players"])
     out["player_match"] = out["player_match"].dropDuplicates()
@@ -66,12 +91,13 @@ def read_pbp(spark: SparkSession, folder: str, seasons: list[str]) -> DataFrame:
     Files are read by their own headers. The order column grows by season, file and row.
     """
     frames = []
-    for season in seasons:
-        raw = ordered.with_file_row(read_csv(spark, season_path(folder, "pbp", season), config.PBP_COLUMNS))
+    for scan in _season_scans(spark, folder, "pbp", seasons):
+        raw = ordered.with_file_row(
+            scan.select(*[c for c in scan.columns if c in config.PBP_COLUMNS], F.col("__season").alias("season")),
+            keys=["season"])
         # the same numbers whichever other seasons are read
-        base = (S.Season.parse(season).start - 1900) << 49
-        frames.append(raw.withColumnRenamed("set", "set_no").withColumns({
-            "season": F.lit(season), "file_row": F.col("file_row") + F.lit(base)}))
+        base = F.shiftleft((F.substring("season", 1, 4).cast("bigint") - 1900), 49)
+        frames.append(raw.withColumnRenamed("set", "set_no").withColumn("file_row", F.col("file_row") + base))
     return _by_name(frames)
 
 

@@ -43,6 +43,24 @@ def test_quoted_line_breaks_and_order(spark, tmp_path):
         ("2023-2024", "Serve", "1", "1", 'one\ntwo, "x"'), ("2023-2024", "Kill", "1", "1", "b"), ("2024-2025", "Dig", "2", "5", "c")]
 
 
+def test_seasons_with_one_header_share_a_scan(spark, tmp_path):
+    folder, every = tmp_path / "a b", [f"{y}-{y + 1}" for y in range(2010, 2022)]
+    folder.mkdir()
+    for s in every:
+        more, extra = ("", "") if s < "2019" else (",more", ",m")
+        write(folder, f"wvb_pbp_div1_{s[:4]}.csv", f"contestid,set,event{more}\n" + "".join(f"{s[:4]},{n},e{n}{extra}\n" for n in range(4)))
+        for kind in ("playerseason", "playermatch", "teammatch"):
+            write(folder, f"wvb_{kind}_div1_{s[:4]}.csv", f"team,player{more}\nT{s},P{extra}\n")
+    log = readers.read_pbp(spark, str(folder), every)
+    rows = log.orderBy("file_row").collect()
+    assert [(r.season, r.contestid, r.set_no, r.event) for r in rows] == [(s, s[:4], str(n), f"e{n}") for s in every for n in range(4)]
+    one = readers.read_pbp(spark, str(folder), every[3:4]).collect()
+    assert sorted(r.file_row for r in one) == sorted(r.file_row for r in rows if r.season == every[3])
+    box = readers.read_box_tables(spark, str(folder), every)["team_match"]
+    assert sorted((r.season, r.team, r.more) for r in box.collect()) == [(s, f"T{s}", "m" if s >= "2019" else None) for s in every]
+    assert box._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
 STATE = {"set_no": 1, "home_sets_before": 0, "away_sets_before": 0, "score_home_start": 3, "score_away_start": 2,
          "server_side": "home", "set_after": 1, "home_sets_after": 0, "away_sets_after": 0, "score_home_after_state": 4,
          "score_away_after_state": 2, "server_side_after": "home"}
