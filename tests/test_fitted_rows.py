@@ -14,3 +14,9 @@ def test_every_passer_with_fitted_expectations(spark, sf):
     got = catalog.QUERIES["serve_receive_value_fitted"](spark, sf)
     assert keys(got) == keys(catalog.tables(spark, sf).passers)
     assert got.where(~F.col("sound")).count() == 0
+
+
+def test_every_player_with_a_fitted_ranking(spark, sf):
+    got = catalog.QUERIES["player_rankings_fitted"](spark, sf)
+    assert keys(got) == keys(catalog.tables(spark, sf).player_rankings)
+    assert got.where(~F.col("sound") | F.col("misplaced")).count() == 0
