@@ -1,29 +1,38 @@
-"""Main text of web pages: declared structure first, a host suffix array for the rest.
+"""Main text of web pages: a host suffix array over the token streams of all pages, then what the pages declare.
 
-A page that declares its article (``article``, ``main``, or a container named so) is settled
-by that declaration: menus, headers, footers, sidebars, notices, adverts, forms and comments
-inside it go, its other blocks stay, whatever other pages hold. A class or id is a bad name only
+A page that declares its article (``article``, ``main``, or a container named so) has it as its text:
+menus, headers, footers, sidebars, notices, adverts, forms and comments
+inside it go, its other blocks stay. A class or id is a bad name only
 as a whole: ``sidebar`` and ``sidebar-box`` are, ``has-sidebar`` is not. An article declared inside
 a badly named container, or badly named itself, wins over the name if it holds more words than
 what the page declares elsewhere; teasers and comments hold less. Where nothing but badly named
-containers holds text, their blocks count as undeclared.
-
-Blocks that no declaration settles go to the suffix array of their host. Pages of a host with
-equal token streams are one page. Token streams of the host's distinct pages are concatenated,
-suffixes are sorted by prefix doubling, and substrings of ``MIN_TOKENS`` tokens that stand on
-``SHARE`` of those pages, and on ``MIN_PAGES`` at least, are boilerplate; covered tokens go and
-the runs between them stay. So copies of a page keep its text, and so does a quotation on a few
-pages. A host with many tokens is cut into shards of whole pages; the pages of a window are
-counted in the suffix array of every shard and added up by its hash.
+containers holds text, their blocks count as undeclared. A page that declares no article has its
+undeclared blocks as its text.
+
+Every page gives the suffix array of its host up to two token streams: its text, declared or open, and
+its frame, that is its other blocks. Equal streams of a host and a kind are one. Streams are concatenated,
+suffixes are sorted by prefix doubling, and the streams that hold a substring of ``MIN_TOKENS`` tokens are
+counted by kind. It is boilerplate when it stands in ``SHARE`` of the host's distinct texts, or of the open
+ones among them, and in ``MIN_PAGES`` of them at least, unless the host's pages overrule that: where at least
+as many streams declare it as article as hold it open or in a frame, it stays. Covered tokens
+of a text go and the runs between them stay. So copies of a page keep their text, so does a quotation on a few
+pages, and so does what declared articles share, unless most pages hold it beside their article.
+
+A host with many tokens is cut into shards of whole streams. What stands in a share of all streams stands in
+that share of one shard's, so each shard names the windows that reach it there, by their hashes; all shards
+count the named ones, and the sums decide.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,8 +44,10 @@ from courtlens.session import stable
 
 MIN_TOKENS = 8
 SHARD_TOKENS = 500_000
-#: Distinct pages of a host that must hold a string before it is boilerplate: this share, and so many at least.
+#: Distinct texts of a host that must hold a string before it is boilerplate: this share, and so many at least.
 SHARE, MIN_PAGES = 0.25, 3
+#: Kinds of token streams.
+FRAME, OPEN_TEXT, ARTICLE = -1, 0, 1
 
 #: Names of elements.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg"}
@@ -197,26 +208,52 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return _settle(out)
 
 
-def _parse(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parts(page: str | None) -> tuple[int, list[str], list[str]]:
+    """The kind of a page's text, the blocks of the text, and the other blocks."""
+    found = blocks(page or "")
+    kind = ARTICLE if any(v > 0 for v, _ in found) else OPEN_TEXT
+    return kind, [t for v, t in found if v >= kind], [t for v, t in found if v < kind]
+
+
+def _digest(stream: str) -> str:
+    return hashlib.md5(stream.encode()).hexdigest()
+
+
+def _streams(texts: bool):
+    """(host, kind, digest, n, stream) of all pages, equal ones once a task; only their sizes if not ``texts``."""
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
+        for p in parts:
+            out = []
+            for host, h in zip(p["host"], p["h"]):
+                kind, text, frame = _parts(h)
+                for k, bs in ((kind, text), (FRAME, frame)):
+                    stream = " ".join(bs)
+                    key = (host, k, _digest(stream))
+                    if bs and key not in seen:
+                        seen.add(key)
+                        out.append((*key, stream.count(" ") + 1, stream if texts else None))
+            yield pd.DataFrame(out, columns=["host", "kind", "digest", "n", "stream"])
+    return run
+
+
+def _texts(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pages with their texts and the keys of their streams."""
     for p in parts:
-        text, rest = [], []
-        for h in p.pop("h"):
-            found = blocks(h or "")
-            own = [t for v, t in found if v > 0]
-            text.append("\n".join(own) if own else None)
-            rest.append([] if own else [t for v, t in found if v == 0])
-        yield p.assign(text=text, rest=rest)
+        found = [_parts(h)[:2] for h in p.pop("h")]
+        yield p.assign(kind=[k for k, _ in found], digest=[_digest(" ".join(bs)) for _, bs in found],
+                       text=["\n".join(bs) for _, bs in found])
 
 
 def _suffixes(tokens: np.ndarray, page: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the substrings of ``length`` in suffix order, the number of each substring, and its pages by number.
+    """Starts of the substrings of ``length`` in suffix order, the number of each substring, and whether it is its first on a page.
 
     Suffixes are ranked by prefix doubling as far as ``length``: equal ranks are neighbours
     of the suffix array that agree on so many tokens. Substrings do not cross pages.
     """
     n = len(tokens)
     if n < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
     have = 1
     while have < length:
@@ -225,20 +262,19 @@ def _suffixes(tokens: np.ndarray, page: np.ndarray, length: int) -> tuple[np.nda
         rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
         have += step
     at = np.flatnonzero(page[: n - length + 1] == page[length - 1:])
-    order = at[np.lexsort((page[at], rank[at]))]  # the suffix array of the windows
+    order = at[np.argsort(rank[at] * (n + 1) + page[at])]  # the suffix array of the windows
     r, g = rank[order], page[order]
     first = np.ones(len(r), bool)
     first[1:] = r[1:] != r[:-1]
     another = first.copy()
     another[1:] |= g[1:] != g[:-1]
-    number = np.cumsum(first) - 1
-    return order, number, np.bincount(number[another])
+    return order, np.cumsum(first) - 1, another
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, length: int, least: int = 2) -> np.ndarray:
     """Which tokens lie in a substring of ``length`` that stands on ``least`` pages or more."""
-    order, number, pages = _suffixes(tokens, page, length)
-    return _cover(order[pages[number] >= least], len(tokens), length)
+    order, number, another = _suffixes(tokens, page, length)
+    return _cover(order[np.bincount(number[another])[number] >= least], len(tokens), length)
 
 
 def _cover(starts: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -248,54 +284,87 @@ def _cover(starts: np.ndarray, n: int, length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _stream(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all pages of a group, the page of each word, and where the pages end."""
-    words = [[w for b in bs for w in b.split(" ")] for bs in p["rest"]]
+def _words(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words of all streams of a group, the words by number, the stream of each word, and where the streams end."""
+    words = [s.split(" ") for s in p["stream"]]
     size = np.array([len(w) for w in words])
-    return np.array([w for ws in words for w in ws], object), np.repeat(np.arange(len(words)), size), np.cumsum(size)[:-1]
+    tokens, names = pd.factorize(np.array(list(chain.from_iterable(words)), object))
+    return tokens, names, np.repeat(np.arange(len(words)), size), np.cumsum(size)[:-1]
+
+
+def _votes(p: pd.DataFrame, tokens: np.ndarray, page: np.ndarray, length: int):
+    """Starts of the windows in suffix order, their numbers, and a table by number: a start, and the streams of each kind."""
+    order, number, another = _suffixes(tokens, page, length)
+    kind, n = p["kind"].to_numpy()[page[order]], number[-1] + 1 if len(number) else 0
+    count = {name: np.bincount(number[another & (kind == k)], minlength=n)
+             for name, k in (("open", OPEN_TEXT), ("declared", ARTICLE), ("frame", FRAME))}
+    return order, number, pd.DataFrame({"start": order[np.unique(number, return_index=True)[1]], **count})
+
 
+def _need(n: int, share: float) -> int:
+    return max(MIN_PAGES, math.ceil(n * share))
 
-def _hashes(words: np.ndarray, length: int, host: str) -> np.ndarray:
-    """Hash of the host and the ``length`` words from each start on; the same in every shard."""
-    n = max(0, len(words) - length + 1)
-    x = pd.util.hash_array(words)
-    out = np.full(n, pd.util.hash_array(np.array([host], object))[0], np.uint64)
+
+def _boilerplate(t, need_open, need):
+    """Whether windows are boilerplate, by their streams of each kind; ``t`` is a table of pandas or of Spark."""
+    return ((t["open"] >= need_open) | (t["open"] + t["declared"] >= need)) & (t["declared"] < t["open"] + t["frame"])
+
+
+def _hashes(tokens: np.ndarray, names: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` words from each start on; the same in every shard."""
+    n = max(0, len(tokens) - length + 1)
+    x = pd.util.hash_array(names)[tokens]
+    out = np.zeros(n, np.uint64)
     for i in range(length):
         out = out * np.uint64(0x9E3779B97F4A7C15) + x[i: n + i]
     return out.view(np.int64)
 
 
 def _masks(p: pd.DataFrame, gone: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"host": p["host"], "digest": p["digest"], "gone": [m.tolist() for m in np.split(gone, ends)]})
+    """(host, kind, digest, gone, w): where covered runs of words begin and end in each text that has any; w is null."""
+    edges = [np.flatnonzero(np.diff(m, prepend=False, append=False)).astype(np.int32) for m in np.split(gone, ends)]
+    some = p.assign(gone=edges, w=None)[["host", "kind", "digest", "gone", "w"]]
+    return some[[k != FRAME and len(e) > 0 for k, e in zip(p["kind"], edges)]]
 
 
-def _whole(length: int):
-    """A host in one piece."""
+def _decide(length: int, share: float):
+    """The masks of a host in one piece; of a shard one row with the hashes of the windows that may be boilerplate."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        words, page, ends = _stream(p)
-        return _masks(p, repeated(pd.factorize(words)[0], page, length, int(p["need"].iloc[0])), ends)
+        tokens, names, page, ends = _words(p)
+        order, number, table = _votes(p, tokens, page, length)
+        n_open, n = int((p["kind"] == OPEN_TEXT).sum()), int((p["kind"] != FRAME).sum())
+        if p["shards"].iloc[0] == 1:
+            good = _boilerplate(table, _need(n_open, share), _need(n, share))
+            return _masks(p, _cover(order[good.to_numpy()[number]], len(tokens), length), ends)
+        texts = table["open"] + table["declared"]
+        least = share * (1 - 1e-9)
+        maybe = ((table["open"] > 0) & (table["open"] >= least * n_open)) | ((texts > 0) & (texts >= least * n))
+        w = _hashes(tokens, names, length)[table["start"][maybe]]
+        return pd.DataFrame({"host": p["host"].iloc[:1], "kind": FRAME, "digest": None, "gone": None, "w": [w]})
     return run
 
 
 def _count(length: int):
-    """(host, shard, need, w, n): pages of a shard that hold each window of it."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        words, page, _ = _stream(p)
-        order, number, pages = _suffixes(pd.factorize(words)[0], page, length)
-        at = order[np.unique(number, return_index=True)[1]]
-        one = p.iloc[0]
-        return pd.DataFrame({"host": one["host"], "shard": one["shard"], "need": one["need"],
-                             "w": _hashes(words, length, one["host"])[at], "n": pages})
+    """(host, w, open, declared, frame): streams of a shard, by kind, that hold each of the named windows."""
+    def run(p: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if p.empty:
+            return pd.DataFrame(columns=["host", "w", "open", "declared", "frame"])
+        tokens, names, page, _ = _words(p)
+        table = _votes(p, tokens, page, length)[2]
+        table = table.assign(host=p["host"].iloc[0], w=_hashes(tokens, names, length)[table["start"]])
+        return table.loc[table["w"].isin(found["w"]), ["host", "w", "open", "declared", "frame"]]
     return run
 
 
 def _meet(length: int):
-    """A shard and the windows of it that are boilerplate of the host."""
+    """The masks of a shard, given the windows that are boilerplate of the host."""
     def run(p: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        words, page, ends = _stream(p)
-        h = _hashes(words, length, p["host"].iloc[0])
+        if p.empty:
+            return pd.DataFrame(columns=["host", "kind", "digest", "gone", "w"])
+        tokens, names, page, ends = _words(p)
+        h = _hashes(tokens, names, length)
         inside = page[: len(h)] == page[length - 1:][: len(h)]
-        return _masks(p, _cover(np.flatnonzero(inside & np.isin(h, found["w"])), len(words), length), ends)
+        return _masks(p, _cover(np.flatnonzero(inside & np.isin(h, found["w"])), len(tokens), length), ends)
     return run
 
 
@@ -312,8 +381,14 @@ def _unique_runs(rest: list[str], gone: np.ndarray) -> str:
 
 def _finish(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
-        # a page without blocks has no mask
-        text = [_unique_runs(list(rest), gone) if len(rest) else "" for rest, gone in zip(p["rest"], p["gone"])]
+        text = []
+        for t, edges in zip(p["text"], p["gone"]):
+            if edges is not None:
+                rest = t.split("\n")
+                edge = np.zeros(sum(b.count(" ") + 1 for b in rest) + 1, bool)
+                edge[edges] = True
+                t = _unique_runs(rest, np.logical_xor.accumulate(edge)[:-1])
+            text.append(t)
         yield pd.DataFrame({"k": p["k"], "u": p["u"], "text": text})
 
 
@@ -323,30 +398,43 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
 
     Null and empty html gives an empty text. A page whose url names no host (null, or no
     ``//``) belongs to the host of all such pages. Repeated rows, and other pages of a host with
-    equal tokens, count as one page and get the same tokens. An empty table gives an empty result.
+    equal texts, count as one page and get the same tokens. An empty table gives an empty result.
     """
-    rows = text_batches(pages).select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(page).alias("h"))
+    rows = text_batches(pages).select(
+        F.col(key).alias("k"), F.col(url).alias("u"), F.col(page).alias("h"),
+        F.coalesce(F.lower(F.regexp_extract(url, r"//([^/?#:]+)", 1)), F.lit("")).alias("host"))
     kinds = dict(rows.dtypes)
-    # pages are parsed once for each half, so that settled texts are neither written nor moved
-    parsed = rows.mapInPandas(_parse, f"k {kinds['k']}, u {kinds['u']}, text string, rest array<string>")
-    left = stable(parsed.where("text is null").select(
-        "k", "u", "rest", F.coalesce(F.lower(F.regexp_extract("u", r"//([^/?#:]+)", 1)), F.lit("")).alias("host"),
-        F.md5(F.array_join("rest", " ")).alias("digest")))
-    once = left.where("size(rest) > 0").groupBy("host", "digest").agg(F.first("rest").alias("rest"))
-    once = stable(once.withColumn("n", F.expr("aggregate(rest, 0L, (n, b) -> n + size(split(b, ' ')))")))
-    hosts = once.groupBy("host").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum("n") / shard_tokens)).alias("shards"),
-        F.greatest(F.lit(MIN_PAGES), F.ceil(F.count(F.lit(1)) * share)).cast("bigint").alias("need"))
-    dealt = once.drop("n").join(stable(hosts), "host").withColumn("shard", F.pmod(F.xxhash64("digest"), F.col("shards")))
-    kind = "host string, digest string, gone array<boolean>"
-    whole = dealt.where("shards = 1").groupBy("host").applyInPandas(_whole(length), kind)
-    many = dealt.where("shards > 1")
-    counts = stable(many.groupBy("host", "shard").applyInPandas(
-        _count(length), "host string, shard bigint, need bigint, w bigint, n bigint"))
-    shared = counts.groupBy("w").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("w")
-    met = many.groupBy("host", "shard").cogroup(
-        counts.select("host", "shard", "w").join(shared, "w").groupBy("host", "shard")).applyInPandas(_meet(length), kind)
-    found = left.join(whole.union(met), ["host", "digest"], "left").mapInPandas(
-        _finish, f"k {kinds['k']}, u {kinds['u']}, text string")
-    return parsed.where("text is not null").select("k", "u", "text").union(found).select(
+    # pages are parsed again for each use, so that their texts are not written; a stream moves once, to its shard
+    kind = "host string, kind int, digest string, n bigint, stream string"
+    sizes = rows.select("host", "h").mapInPandas(_streams(False), kind).groupBy("host", "kind", "digest").agg(F.max("n").alias("n"))
+    need = lambda which: F.greatest(F.lit(MIN_PAGES), F.ceil(F.count_if(which) * share)).cast("bigint")
+    # there are no more hosts of several shards than tokens / shard_tokens
+    many = F.broadcast(stable(sizes.groupBy("host").agg(
+        F.ceil(F.sum("n") / shard_tokens).cast("bigint").alias("shards"),
+        need(F.col("kind") == OPEN_TEXT).alias("need_open"), need(F.col("kind") != FRAME).alias("need")).where("shards > 1")))
+    streams = rows.select("host", "h").mapInPandas(_streams(True), kind).drop("n").join(many, "host", "left").select(
+        "host", "kind", "digest", "stream", F.coalesce("shards", F.lit(1)).alias("shards"),
+        F.coalesce(F.pmod(F.xxhash64("digest"), F.col("shards")), F.lit(0)).alias("shard"))
+
+    def dealt(x: DataFrame) -> DataFrame:
+        return x.repartition("host", "shard").dropDuplicates(["host", "shard", "kind", "digest"])
+
+    kind = "host string, kind int, digest string, gone array<int>, w array<bigint>"
+    first = stable(dealt(streams).groupBy("host", "shard").applyInPandas(_decide(length, share), kind))
+    named = first.where("w is not null").select("host", F.explode("w").alias("w")).distinct()
+    again = stable(dealt(streams.join(F.broadcast(named.select("host").distinct()), "host", "left_semi")))
+
+    def to_shards(windows: DataFrame) -> DataFrame:
+        return windows.join(many, "host").select("host", "w", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard")).groupBy("host", "shard")
+
+    counts = again.groupBy("host", "shard").cogroup(to_shards(named)).applyInPandas(
+        _count(length), "host string, w bigint, open bigint, declared bigint, frame bigint")
+    sums = counts.groupBy("host", "w").agg(*(F.sum(c).alias(c) for c in ("open", "declared", "frame")))
+    sums = sums.join(many, "host")
+    shared = sums.where(_boilerplate(sums, F.col("need_open"), F.col("need"))).select("host", "w")
+    met = again.groupBy("host", "shard").cogroup(to_shards(shared)).applyInPandas(_meet(length), kind)
+    masks = stable(first.where("w is null").union(met).select("host", "kind", "digest", "gone"))
+    texts = rows.mapInPandas(_texts, f"k {kinds['k']}, u {kinds['u']}, host string, kind int, digest string, text string")
+    return texts.join(masks, ["host", "kind", "digest"], "left").mapInPandas(
+        _finish, f"k {kinds['k']}, u {kinds['u']}, text string").select(
         F.col("k").alias(key), F.col("u").alias(url), "text", F.length("text").cast("bigint").alias("n_chars"))

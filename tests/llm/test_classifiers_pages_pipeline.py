@@ -208,6 +208,67 @@ def test_copies_and_quotations_stay(spark, shard):
     assert len(got) == len(pages)
 
 
+@pytest.mark.parametrize("shard", [500_000, 60])
+def test_streams_of_declared_pages_are_counted(spark, shard):
+    """What declared articles share stays, but not what most streams hold beside an article; open texts keep what articles hold."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    notice, quote, plain, own = text(12), text(10), text(9), [text(20) for _ in range(16)]
+    # every fourth article holds the notice that all pages have in their footers, and all hold the quotation
+    page = lambda i: (f"<nav>{text(5)}</nav><article><p>{own[i]}</p><p>{notice if i % 4 == 0 else ''}</p><p>{quote}</p></article>"
+                      f"<footer>{notice} {i}</footer>")
+    pages = [(i, "http://declared.example/", page(i)) for i in range(16)]
+    pages += [(100 + i, "http://declared.example/", page(i)) for i in range(4)]
+    # a host of which a few pages declare nothing
+    pages += [(200 + i, "http://mixed.example/", f"<main>{own[i]} {quote}</main>") for i in range(9)]
+    pages += [(300 + i, "http://mixed.example/", f"<div>{plain}</div><div>{own[9 + i]}</div><div>{quote}</div>") for i in range(5)]
+    # teasers beside articles are not the articles' boilerplate
+    pages += [(400 + i, "http://teasers.example/", f"<article>{own[i]}</article><aside>{own[0]}</aside>") for i in range(9)]
+    got = {r.page_id: r.text for r in web.main_text(
+        spark.createDataFrame(pages, "page_id bigint, url string, html string"), shard_tokens=shard).collect()}
+    assert all(got[i] == f"{own[i]}\n{quote}" for i in range(16)) and all(got[100 + i] == got[i] for i in range(4))
+    assert all(got[200 + i] == f"{own[i]} {quote}" for i in range(9))
+    assert all(got[300 + i] == f"{own[9 + i]}\n{quote}" for i in range(5))
+    assert all(got[400 + i] == own[i] for i in range(9)) and len(got) == len(pages)
+
+
+@pytest.mark.parametrize("shard", [500_000, 300])
+def test_masks_against_brute_force(spark, shard):
+    """Few words, so that windows of two words stand in texts and frames of all kinds; every page against plain counting."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    pages = []
+    for i in range(90):
+        tag = "main" if i % 3 else "div"
+        pages.append((i, f"http://h{i % 2}.example/", f"<nav>{text(rng.randrange(9))}</nav><{tag}><p>{text(rng.randrange(40))}</p><p>{text(9)}</p></{tag}>"))
+    got = {r.page_id: r.text for r in web.main_text(
+        spark.createDataFrame(pages, "page_id bigint, url string, html string"), length=2, shard_tokens=shard).collect()}
+    changed = 0
+    for host in {u for _, u, _ in pages}:
+        parts = {i: web._parts(h) for i, u, h in pages if u == host}
+        streams = {(k, " ".join(bs)) for kind, text, frame in parts.values() for k, bs in ((kind, text), (web.FRAME, frame)) if bs}
+        votes = {}
+        for k, s in streams:
+            for w in {*zip(s.split(), s.split()[1:])}:
+                votes.setdefault(w, {-1: 0, 0: 0, 1: 0})[k] += 1
+        need = lambda n: max(web.MIN_PAGES, -(-n // 4))
+        n_open, n = sum(k == 0 for k, _ in streams), sum(k >= 0 for k, _ in streams)
+        bad = {w for w, v in votes.items() if (v[0] >= need(n_open) or v[0] + v[1] >= need(n)) and v[1] < v[0] + v[-1]}
+        for i, (_, bs, _) in parts.items():
+            words = " ".join(bs).split()
+            gone = np.zeros(len(words), bool)
+            for j, w in enumerate(zip(words, words[1:])):
+                gone[j: j + 2] |= w in bad
+            want, at = [], 0
+            for b in bs:
+                left = [w for j, w in enumerate(b.split(), at) if not gone[j]]
+                at += len(b.split())
+                want += [" ".join(left)] if left else []
+            assert got[i] == "\n".join(want)
+            changed += gone.any()
+    assert 0 < changed < len(pages)
+
+
 def test_repeated_against_brute_force():
     rng = np.random.default_rng(3)
     tokens, page = rng.integers(0, 3, 400), np.sort(rng.integers(0, 9, 400))
