@@ -20,7 +20,8 @@ pages, and so does what declared articles share, unless most pages hold it besid
 
 A host with many tokens is cut into shards of whole streams. What stands in a share of all streams stands in
 that share of one shard's, so each shard names the windows that reach it there, by their hashes; all shards
-count the named ones, and the sums decide.
+count the named ones, and the sums decide. Where shards hold fewer than ``SHARD_TEXTS`` texts, as those of very
+long pages do, that would name too many, and all windows are counted.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from courtlens.llm.common import text_batches
 from courtlens.session import stable
 
 MIN_TOKENS = 8
-SHARD_TOKENS = 500_000
+SHARD_TOKENS, SHARD_TEXTS = 500_000, 16
 #: Distinct texts of a host that must hold a string before it is boilerplate: this share, and so many at least.
 SHARE, MIN_PAGES = 0.25, 3
 #: Kinds of token streams.
@@ -328,8 +329,13 @@ def _masks(p: pd.DataFrame, gone: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
 
 
 def _decide(length: int, share: float):
-    """The masks of a host in one piece; of a shard one row with the hashes of the windows that may be boilerplate."""
+    """The masks of a host in one piece; of a shard one row with the hashes of the windows that may be boilerplate, if any.
+
+    Where all windows are counted, the row names none."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
+        row = {"host": p["host"].iloc[:1], "kind": FRAME, "digest": None, "gone": None}
+        if p["few"].iloc[0]:
+            return pd.DataFrame({**row, "w": [[]]})
         tokens, names, page, ends = _words(p)
         order, number, table = _votes(p, tokens, page, length)
         n_open, n = int((p["kind"] == OPEN_TEXT).sum()), int((p["kind"] != FRAME).sum())
@@ -340,19 +346,19 @@ def _decide(length: int, share: float):
         least = share * (1 - 1e-9)
         maybe = ((table["open"] > 0) & (table["open"] >= least * n_open)) | ((texts > 0) & (texts >= least * n))
         w = _hashes(tokens, names, length)[table["start"][maybe]]
-        return pd.DataFrame({"host": p["host"].iloc[:1], "kind": FRAME, "digest": None, "gone": None, "w": [w]})
+        return pd.DataFrame({**row, "w": [w]})[:len(w)]
     return run
 
 
 def _count(length: int):
-    """(host, w, open, declared, frame): streams of a shard, by kind, that hold each of the named windows."""
+    """(host, w, open, declared, frame): streams of a shard, by kind, that hold each of the named windows, or each window."""
     def run(p: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if p.empty:
             return pd.DataFrame(columns=["host", "w", "open", "declared", "frame"])
         tokens, names, page, _ = _words(p)
         table = _votes(p, tokens, page, length)[2]
         table = table.assign(host=p["host"].iloc[0], w=_hashes(tokens, names, length)[table["start"]])
-        return table.loc[table["w"].isin(found["w"]), ["host", "w", "open", "declared", "frame"]]
+        return table.loc[p["few"].iloc[0] | table["w"].isin(found["w"]), ["host", "w", "open", "declared", "frame"]]
     return run
 
 
@@ -411,9 +417,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     # there are no more hosts of several shards than tokens / shard_tokens
     many = F.broadcast(stable(sizes.groupBy("host").agg(
         F.ceil(F.sum("n") / shard_tokens).cast("bigint").alias("shards"),
-        need(F.col("kind") == OPEN_TEXT).alias("need_open"), need(F.col("kind") != FRAME).alias("need")).where("shards > 1")))
+        need(F.col("kind") == OPEN_TEXT).alias("need_open"), need(F.col("kind") != FRAME).alias("need"),
+        F.count_if(F.col("kind") != FRAME).alias("texts")).where("shards > 1").withColumn("few", F.expr(f"texts < shards * {SHARD_TEXTS}"))))
     streams = rows.select("host", "h").mapInPandas(_streams(True), kind).drop("n").join(many, "host", "left").select(
-        "host", "kind", "digest", "stream", F.coalesce("shards", F.lit(1)).alias("shards"),
+        "host", "kind", "digest", "stream", F.coalesce("shards", F.lit(1)).alias("shards"), F.coalesce("few", F.lit(False)).alias("few"),
         F.coalesce(F.pmod(F.xxhash64("digest"), F.col("shards")), F.lit(0)).alias("shard"))
 
     def dealt(x: DataFrame) -> DataFrame:
@@ -422,7 +429,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     kind = "host string, kind int, digest string, gone array<int>, w array<bigint>"
     first = stable(dealt(streams).groupBy("host", "shard").applyInPandas(_decide(length, share), kind))
     named = first.where("w is not null").select("host", F.explode("w").alias("w")).distinct()
-    again = stable(dealt(streams.join(F.broadcast(named.select("host").distinct()), "host", "left_semi")))
+    again = stable(dealt(streams.join(F.broadcast(first.where("w is not null").select("host").distinct()), "host", "left_semi")))
 
     def to_shards(windows: DataFrame) -> DataFrame:
         return windows.join(many, "host").select("host", "w", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard")).groupBy("host", "shard")

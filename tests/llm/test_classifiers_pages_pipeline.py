@@ -232,7 +232,7 @@ def test_streams_of_declared_pages_are_counted(spark, shard):
     assert all(got[400 + i] == own[i] for i in range(9)) and len(got) == len(pages)
 
 
-@pytest.mark.parametrize("shard", [500_000, 300])
+@pytest.mark.parametrize("shard", [500_000, 900, 300])
 def test_masks_against_brute_force(spark, shard):
     """Few words, so that windows of two words stand in texts and frames of all kinds; every page against plain counting."""
     rng = random.Random(5)
